@@ -1,6 +1,6 @@
 """Registered queries with the SQL that checks them."""
 
-from altertrace.queries import logs, model, scores, traces  # noqa: F401
+from altertrace.queries import logs, model, scores, search, traces  # noqa: F401
 from altertrace.queries.base import REGISTRY  # noqa: F401
 
 

@@ -31,7 +31,7 @@ WEIGHT = 1_000_000  # roulette shares as whole numbers, so sums are exact
 def _draw_rows(population: DataFrame, k: int) -> DataFrame:
     """``factual_id, draw`` with ``k`` draws per factual, and the group size ``_n``."""
     sizes = population.groupBy("factual_id").agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint"))
+    return sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")))
 
 
 def _placed(population: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def select_roulette(population: DataFrame, k: int, seed: int) -> DataFrame:
     rows = rows.withColumn("_bin", F.explode(F.sequence(bin_of("_lo"), bin_of("_hi - 1"))))
     u = draws.uniform(seed, F.col("factual_id"), F.col("draw"))
     picks = (
-        totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).cast("bigint"))
+        totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>")))
         .withColumn("_x", F.floor(u * F.col("_total")))
         .withColumn("_bin", bin_of("_x"))
         .select("factual_id", "draw", "_x", "_bin")
@@ -388,7 +388,6 @@ class Strategy:
     sample: int = 50
     generations: int = 10
     max_len: int = 25
-    checkpoint_every: int = 1
 
 
 def evolve(
@@ -402,8 +401,9 @@ def evolve(
 ) -> tuple[DataFrame, DataFrame]:
     """Run the search for every factual; returns the last population and statistics.
 
-    Only the loop counter lives on the driver. Each generation is cut by a
-    reliable checkpoint, so a lost executor costs one generation at most.
+    Only the loop counter lives on the driver. Children, scores and population of
+    each generation are written to reliable checkpoints: they are read several
+    times, and a lost executor costs one generation at most.
     """
     s = strategy
     population = cut(evaluate(initial).withColumn("generation", F.lit(0)))
@@ -418,14 +418,11 @@ def evolve(
         else:
             children = mutate(children, s.rates, v, d, s.max_len, seed * 1000 + gen)
         # ids of a generation follow those of all generations before it
-        children = children.withColumn("cand_id", F.col("cand_id") + F.lit(gen * 2 * (s.sample + s.population)))
+        children = cut(children.withColumn("cand_id", F.col("cand_id") + F.lit(gen * 2 * (s.sample + s.population))))
         scored = evaluate(children.drop(*EDITS)).join(children.select(*KEYS, *EDITS), list(KEYS))
         scored = scored.withColumn("generation", F.lit(gen))
-        if gen % s.checkpoint_every == 0:
-            scored = cut(scored)
-        population = s.recombine(scored, population, s.population)
-        if gen % s.checkpoint_every == 0:
-            population = cut(population)
+        scored = cut(scored)
+        population = cut(s.recombine(scored, population, s.population))
         row = population_statistics(population.drop("generation").withColumn("generation", F.lit(gen)))
         edits = mutation_summary(scored, ["factual_id"])
         stats = stats.unionByName(row.join(edits, "factual_id", "left"), allowMissingColumns=True)

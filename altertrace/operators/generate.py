@@ -21,7 +21,7 @@ KEYS = ("factual_id", "cand_id")
 
 def numbered_candidates(factuals: DataFrame, n: int) -> DataFrame:
     """``n`` candidate ids per factual."""
-    ids = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    ids = F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     return factuals.select("factual_id", ids.alias("cand_id"))
 
 
@@ -78,7 +78,8 @@ def generate_case_based(factuals: DataFrame, traces: DataFrame, n: int, seed: in
 def attach_sampled_features(candidates: DataFrame, fitted: em.Emissions, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Draw the features of every event from the model, given its activity."""
     keys = list(keys)
-    steps = candidates.select(*keys, F.posexplode("acts").alias("pos", "act_id"))
+    # the outer form keeps Spark from pushing "acts is not empty" below a generator's expressions
+    steps = candidates.select(*keys, F.posexplode_outer("acts").alias("pos", "act_id")).where("act_id IS NOT NULL")
     drawn = em.sample_features(steps, fitted, seed, [*keys, "pos"])
     rows = F.sort_array(F.collect_list(F.struct("pos", "x")))  # at most one trace length
     feats = drawn.groupBy(*keys).agg(F.transform(rows, lambda r: r["x"]).alias("feats"))
@@ -94,5 +95,5 @@ def generate_sampled(factuals: DataFrame, options: DataFrame, fitted: em.Emissio
 
 def initiate_factual(factuals: DataFrame, n: int = 1) -> DataFrame:
     """The factual itself, ``n`` times."""
-    ids = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint")
+    ids = F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     return factuals.select("factual_id", ids.alias("cand_id"), "acts", "feats")

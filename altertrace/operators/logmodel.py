@@ -108,14 +108,15 @@ def cumulative_log_likelihood(steps: DataFrame, case: str = "case_id", p: str =
 
 def step_rows(traces: DataFrame, keys: list[str], feats: str | None = None) -> DataFrame:
     """Events of array traces with position, activity and previous activity."""
-    cols = [F.posexplode("acts").alias("pos", "act_id")]
+    # the outer form keeps Spark from pushing "acts is not empty" below a generator's expressions
+    cols = [F.posexplode_outer("acts").alias("pos", "act_id")]
     held = [c for c in ("acts", feats) if c]
     out = traces.select(*keys, *held, *cols)
     prev = F.when(F.col("pos") > 0, F.get("acts", F.col("pos") - 1)).otherwise(F.lit(EDGE))
     out = out.withColumn("prev_id", prev)
     if feats:
         out = out.withColumn("x", F.get(feats, F.col("pos")))
-    return out.drop(*held)
+    return out.drop(*held).where("act_id IS NOT NULL")
 
 
 # -- sampling -----------------------------------------------------------------

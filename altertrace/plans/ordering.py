@@ -11,11 +11,12 @@ of the table. Everything here therefore windows over ``(keys, _seg)``, where
   its cut points (at most ``2**len(STEPS) - 1``, evenly thinned);
 * every other group has no cut points and stays whole, ``_seg = 0``.
 
-The cut-point table has fewer than one row per ``one_in`` input rows, which is
-what makes broadcasting it safe. What a segment needs from its neighbours (row
-offset, next/previous value, running total) comes from a second small table with
-one row per segment of the large groups. With no large group both tables are
-empty and adaptive execution drops the joins.
+Cut points are looked up once, when the operator is built: a scan of the key and
+order columns that keeps one row in ``one_in``. Usually there are none and the
+plan is the ordinary window, with a single shuffle. Otherwise the table is joined
+(broadcast if it passed the size check of ``lookup``), and what a segment needs
+from its neighbours (row offset, next/previous value, running total) comes from
+a second table with one row per segment of the large groups.
 
 ``order`` must identify a row within its group.
 """
@@ -27,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from altertrace.plans.tables import lookup
+
 ONE_IN = 1 << 20
 STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 
@@ -45,7 +48,8 @@ def _order_columns(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list
     return df, names, helpers
 
 
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], one_in: int) -> DataFrame:
+def _cut_points(df: DataFrame, keys: list[str], order: list[str], one_in: int) -> DataFrame | None:
+    """Cut points of the large groups, or None if every group is ordinary."""
     picked = (
         df.select(*keys, *order)
         .where(F.pmod(F.xxhash64(*keys, *order), F.lit(one_in)) == 0)
@@ -53,12 +57,13 @@ def _cut_points(df: DataFrame, keys: list[str], order: list[str], one_in: int) -
     )
     limit = 2 * STEPS[0] - 1
     stride = F.ceil(F.size("_all") / F.lit(limit)).cast("int")
-    return (
+    cuts = lookup(
         picked.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_all"))
         .where(F.size("_all") >= 2)
         .select(*keys, F.filter("_all", lambda x, i: i % stride == 0).alias("_cuts"))
     )
+    return None if cuts.isEmpty() else cuts
 
 
 def _segment_of(cuts: Column, key: Column) -> Column:
@@ -74,7 +79,9 @@ def _segment_of(cuts: Column, key: Column) -> Column:
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], one_in: int = ONE_IN) -> DataFrame:
     """Add ``_seg``: 0 for ordinary groups, consecutive ranges for large ones."""
     keys, order = list(keys), list(order)
-    cuts = F.broadcast(_cut_points(df, keys, order, one_in))
+    cuts = _cut_points(df, keys, order, one_in)
+    if cuts is None:
+        return df.withColumn("_seg", F.lit(0))
     return (
         df.join(cuts, keys, "left")
         .withColumn("_seg", _segment_of(F.col("_cuts"), F.struct(*order)))
@@ -104,11 +111,15 @@ def ordered(
         df = df.withColumn(marker, F.lit(0))
     df, order, helpers = _order_columns(df, order)
     wanted = set(df.columns) - set(helpers) - {marker}
-    cuts = F.broadcast(_cut_points(df, keys, order, one_in))
+    cuts = _cut_points(df, keys, order, one_in)
     rank = F.struct(*order)
-    parts = df.join(cuts, keys, "left").withColumn("_seg", _segment_of(F.col("_cuts"), rank)).drop("_cuts")
+    if cuts is None:
+        parts, unit = df, keys
+    else:
+        parts = df.join(cuts, keys, "left").withColumn("_seg", _segment_of(F.col("_cuts"), rank)).drop("_cuts")
+        unit = [*keys, "_seg"]
 
-    w = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    w = Window.partitionBy(*unit).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = {}
     if number:
@@ -124,6 +135,11 @@ def ordered(
     for new, src in running.items():
         cols[f"_run_{new}"] = F.sum(src).over(upto)
     parts = parts.withColumns(cols)
+    keep = [c for c in df.columns if c in wanted and c not in {number, *lead, *lag, *running}]
+    if cuts is None:
+        plain = [F.col("_n").cast("bigint").alias(number)] if number else []
+        plain += [F.col(f"_lead_{n}").alias(n) for n in lead] + [F.col(f"_lag_{n}").alias(n) for n in lag]
+        return parts.select(*keep, *plain, *[F.col(f"_run_{n}").alias(n) for n in running])
 
     # one row per segment of the groups that were cut
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -146,14 +162,13 @@ def ordered(
 
     final = {}
     if number:
-        final[number] = F.col("_n") + F.coalesce(F.col("_offset"), F.lit(0))
+        final[number] = (F.col("_n") + F.coalesce(F.col("_offset"), F.lit(0))).cast("bigint")
     for new in lead:
         final[new] = F.when(F.col("_end"), F.col(f"_next_{new}")).otherwise(F.col(f"_lead_{new}"))
     for new in lag:
         final[new] = F.when(F.col("_begin"), F.col(f"_prev_{new}")).otherwise(F.col(f"_lag_{new}"))
     for new in running:
         final[new] = F.col(f"_run_{new}") + F.coalesce(F.col(f"_base_{new}"), F.lit(0))
-    keep = [c for c in df.columns if c in wanted and c not in final]
     return out.select(*keep, *[c.alias(n) for n, c in final.items()])
 
 
@@ -172,7 +187,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[s
     present = df.where(F.col(value).isNotNull())
     sizes = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     placed = number_rows(present.select(*keys, value, *tie), keys, [value, *tie], "_at")
-    joined = placed.join(sizes, keys) if keys else placed.join(F.broadcast(sizes))
+    joined = placed.join(sizes, keys) if keys else placed.withColumn("_size", F.lit(present.count()))
     middle = joined.where(
         (F.col("_at") == F.expr("(_size - 1) div 2")) | (F.col("_at") == F.expr("_size div 2"))
     )

@@ -158,11 +158,15 @@ def text(acts: str = "acts") -> str:
     return f"array_to_string(list_transform({acts}, lambda x: CAST(x AS VARCHAR)), '>')"
 
 
+NUDGE = 1e-10  # keeps exact decimal ties away from the rounding edge
+
+
 def r6(expr, name: str | None = None):
-    """Round to six digits without negative zero."""
-    out = F.round(expr if not isinstance(expr, str) else F.col(expr), 6) + F.lit(0.0)
+    """Six digits for comparison: ties go up on every engine, no negative zero."""
+    value = F.col(expr) if isinstance(expr, str) else expr
+    out = F.round(value + F.lit(NUDGE), 6) + F.lit(0.0)
     return out.alias(name) if name else out
 
 
 def r6_sql(expr: str) -> str:
-    return f"(round({expr}, 6) + 0.0)"
+    return f"(round(({expr}) + {NUDGE!r}, 6) + 0.0)"

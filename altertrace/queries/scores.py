@@ -14,6 +14,7 @@ from altertrace.operators import logmodel as lm
 from altertrace.operators import measures as ms
 from altertrace.operators import scoring as sc
 from altertrace.operators import traces as tr
+from altertrace.plans.tables import cut
 from altertrace.queries.base import ORDER_KEYS, TR, CASES, order_cases, order_events, order_vocabulary, query, r6, r6_sql, table, text
 from altertrace.queries.model import BAYES, BERN, CHAIN, CONT, BINARY, EPS_SQL, MEV, MOMENTS, maha_sql, model_events, scaled_events
 from altertrace.operators import emissions as em
@@ -320,13 +321,17 @@ VIABILITY = f"WITH RECURSIVE {CPAIRS}, {FULL_MODEL}, {VIA}"
 
 
 def viable_pairs(spark, sf):
-    """Every customer pair with all measures, viability and both outcome scores."""
+    """Every customer pair with all measures, viability and both outcome scores.
+
+    Written once: ranking, medians and reports each read it several times, and the
+    edit distances are the expensive part.
+    """
     events, border, border_counts = _with_borders(spark, sf)
     _, chain, fitted = fitted_model(spark, sf)
     factuals, candidates = customer_groups(spark, sf, events)
     feasible = ms.feasibility(candidates, ["cand_id"], chain, fitted)
     pairs = ms.pair_factuals_candidates(factuals, candidates).withColumns({"fa_score": scorer("fa_acts"), "score": scorer("acts")})
-    return ms.score_pairs(pairs, feasible, border, border_counts, ["cand_id"])
+    return cut(ms.score_pairs(pairs, feasible, border, border_counts, ["cand_id"]))
 
 
 def measures_only(df):
@@ -345,7 +350,7 @@ def _(spark, sf):
     "measure_mask_grid",
     f"""{VIABILITY}, m AS (SELECT printf('%d%d%d%d', k // 8, (k // 4) % 2, (k // 2) % 2, k % 2) AS mask, k // 8 AS a, (k // 4) % 2 AS b, (k // 2) % 2 AS c2, k % 2 AS d
  FROM (SELECT unnest(range(1, 16)) AS k))
-SELECT mask, count(*) AS n, round(avg(a * similarity + b * sparsity + c2 * feasibility + d * delta), 6) + 0.0 AS mean_viability FROM via, m GROUP BY mask""",
+SELECT mask, count(*) AS n, {r6_sql('avg(a * similarity + b * sparsity + c2 * feasibility + d * delta)')} AS mean_viability FROM via, m GROUP BY mask""",
 )
 def _(spark, sf):
     grid = ms.measure_mask_grid(viable_pairs(spark, sf).select(*KEYS, *ms.MEASURES))

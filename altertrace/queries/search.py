@@ -34,6 +34,10 @@ def _text(df):
     return df.select(*KEYS, tr.sequence_text("acts").alias("acts"))
 
 
+def _feature_sum(i):
+    return F.aggregate("feats", F.lit(0.0), lambda s, f: s + F.get(f, F.lit(i)))
+
+
 # -- generators ---------------------------------------------------------------
 
 _RAND_SLOT = uniform_sql(SEED, "factual_id", "cand_id", "k", "'act'")
@@ -89,7 +93,7 @@ FROM sampled LEFT JOIN fs USING (factual_id, cand_id)""",
 def _(spark, sf):
     options = lm.cumulative_chain(model_events(spark, sf))
     out = gen.generate_sampled(factuals_of(spark, sf), options, fit_default(spark, sf), N, 6, SEED)
-    sums = [r6(F.aggregate("feats", F.lit(0.0), lambda s, f, i=i: s + F.get(f, F.lit(i))), f"x{i}") for i in range(D)]
+    sums = [r6(_feature_sum(i), f"x{i}") for i in range(D)]
     return out.select(*KEYS, tr.sequence_text("acts").alias("acts"), *sums)
 
 
@@ -327,8 +331,7 @@ def _(spark, sf):
     redrawn = (F.col("n_insert") + F.col("n_change")) > 0
 
     def total(i):
-        value = F.aggregate("feats", F.lit(0.0), lambda s, f: s + F.get(f, F.lit(i)))
-        return F.when(redrawn & (F.size("feats") > 0), r6(value))
+        return F.when(redrawn & (F.size("feats") > 0), r6(_feature_sum(i)))
 
     return out.select(*KEYS, tr.sequence_text("acts").alias("acts"), redrawn.alias("redrawn"), total(0).alias("x0"), total(2).alias("x2"))
 

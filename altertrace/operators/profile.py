@@ -29,6 +29,19 @@ def _kind(field: T.StructField) -> str:
     return "text"
 
 
+def _cell(field: T.StructField):
+    """A value in the slot of its type (whole, real, text); numbers are not turned to text."""
+    col = F.col(field.name)
+    whole = isinstance(field.dataType, T.IntegralType)
+    real = isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType)
+    stamp = isinstance(field.dataType, T.TimestampType)
+    return F.struct(
+        (F.unix_micros(col) if stamp else col.cast("bigint") if whole else F.lit(None).cast("bigint")).alias("whole"),
+        (col.cast("double") if real else F.lit(None).cast("double")).alias("real"),
+        (F.lit(None).cast("string") if whole or real or stamp else col.cast("string")).alias("text"),
+    )
+
+
 def profile_columns(
     df: DataFrame,
     case: str,
@@ -67,14 +80,16 @@ def profile_columns(
         )
         counted = wide.select(F.inline("stats"))
     else:
-        long = df.select(F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("i", "value"))
+        cells = F.array(*[_cell(df.schema[c]) for c in cols])
+        long = df.select(F.posexplode(cells).alias("i", "v")).select("i", "v.*")
+        missing = (F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull())
         counted = (
-            long.groupBy("i", "value")
+            long.groupBy("i", "whole", "real", "text")
             .agg(F.count(F.lit(1)).alias("n"))
             .groupBy("i")
             .agg(
-                F.count_if(F.col("value").isNotNull()).alias("n_values"),
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
+                F.count_if(~missing).alias("n_values"),
+                F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_missing"),
             )
             .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"), "n_values", "n_missing")
         )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from altertrace.functions import draws
 from altertrace.operators.encode import category_codes
 from altertrace.plans.ordering import ONE_IN, number_rows, ordered, segmented
-from altertrace.plans.tables import lookup, one_row
+from altertrace.plans.tables import cut, lookup, one_row
 
 PAD = 0
 TEXT_SEP = ">"
@@ -106,7 +106,7 @@ def trace_prefix_counts(traces: DataFrame, acts: str = "acts") -> DataFrame:
     Equal traces are merged before the explode, and the totals come from the
     trace lengths alone, so no window over all prefixes is needed.
     """
-    variants = trace_variants(traces, acts)
+    variants = cut(trace_variants(traces, acts))
     counts = prefixes(variants, acts).groupBy("prefix", "prefix_len").agg(F.sum("n_cases").alias("n"))
     longer = variants.groupBy(F.size(acts).alias("size")).agg(F.sum("n_cases").alias("n"))
     reach = lookup(longer.select("n", F.explode(F.sequence(F.lit(1), F.greatest("size", F.lit(1)))).alias("prefix_len")))

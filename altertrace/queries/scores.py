@@ -50,11 +50,14 @@ def model_traces(spark, sf, events=None):
 
 
 def customer_groups(spark, sf, events=None):
-    """``(factuals, candidates)``: first order of every customer, and their others."""
+    """``(factuals, candidates)``: first order of every customer, and their others.
+
+    The traces are written once; both sides are filters on them.
+    """
     cases = order_cases(spark, sf).select("case_id", "customer", "order_date")
     tc = model_traces(spark, sf, events).join(cases, "case_id")
     firsts = tc.groupBy("customer").agg(F.min_by("case_id", F.struct("order_date", "case_id")).alias("factual_id"))
-    both = tc.join(firsts, "customer")
+    both = cut(tc.join(firsts, "customer").drop("customer", "order_date", "part"))
     factuals = both.where("case_id = factual_id").select("factual_id", "acts", "feats")
     candidates = both.where("case_id <> factual_id").select("factual_id", F.col("case_id").alias("cand_id"), "acts", "feats")
     return factuals, candidates
@@ -250,9 +253,12 @@ FULL_MODEL = f"{CHAIN}, {MOMENTS}, {BAYES}, {FEAS}"
 
 
 def fitted_model(spark, sf):
-    """``(model events, chain, emissions)`` of the order log."""
-    ev = model_events(spark, sf)
-    return ev, lm.fit_chain(ev), em.fit_emissions(scaled_events(spark, sf), CONT, BINARY)
+    """``(model events, chain, emissions)`` of the order log.
+
+    The ordered events are written once and read by both fits and by scoring.
+    """
+    ev = cut(model_events(spark, sf).select("case_id", "pos", "act_id", "prev_id", "next_id", "x", *CONT, *BINARY))
+    return ev, lm.fit_chain(ev), em.fit_emissions(ev, CONT, BINARY)
 
 
 def _event_totals(spark, sf):
@@ -263,8 +269,9 @@ def _event_totals(spark, sf):
 
 @query("feasibility", f"WITH {MEV}, {FULL_MODEL} SELECT case_id, {r6_sql('feasibility')} AS feasibility FROM fe")
 def _(spark, sf):
-    _, chain, fitted = fitted_model(spark, sf)
-    return ms.feasibility(model_traces(spark, sf), ["case_id"], chain, fitted).withColumn("feasibility", r6("feasibility"))
+    ev, chain, fitted = fitted_model(spark, sf)
+    logged = tr.build_traces(ev, ["pos"], {"acts": F.col("act_id"), "feats": F.col("x")})
+    return ms.feasibility(logged, ["case_id"], chain, fitted).withColumn("feasibility", r6("feasibility"))
 
 
 @query(

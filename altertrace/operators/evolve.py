@@ -306,7 +306,7 @@ def mutate_sampled_features(
     offspring: DataFrame, rates: Rates, fitted: em.Emissions, v: int, d: int, max_len: int, seed: int
 ) -> DataFrame:
     """Mutate, then re-draw the features of traces with an insert or change from the model."""
-    edited = mutate(offspring, rates, v, d, max_len, seed)
+    edited = cut(mutate(offspring, rates, v, d, max_len, seed))
     touched = (F.col("n_insert") + F.col("n_change")) > 0
     redrawn = attach_sampled_features(edited.where(touched), fitted, seed)
     return edited.where(~touched).unionByName(redrawn)
@@ -402,8 +402,8 @@ def evolve(
     """Run the search for every factual; returns the last population and statistics.
 
     Only the loop counter lives on the driver. Children, scores and population of
-    each generation are written to reliable checkpoints: they are read several
-    times, and a lost executor costs one generation at most.
+    each generation are written out: they are read several times, and a lost
+    executor costs one generation at most.
     """
     s = strategy
     population = cut(evaluate(initial).withColumn("generation", F.lit(0)))

@@ -33,11 +33,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to reliable storage and continue from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and continue from the written table.
+
+    Used where several later steps read one expensive result, and in loops. A lost
+    executor re-reads files instead of recomputing the past; later steps read
+    only the columns they need, and small results are broadcast by their size.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -45,7 +49,7 @@ def lookup(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES)
 
     At most ``max_rows + 1`` rows are fetched. If that was the whole table and it
     is small in bytes, the result is a local relation with a broadcast hint.
-    Otherwise it is checkpointed and joined like any other table (adaptive
+    Otherwise it is written out and joined like any other table (adaptive
     execution splits skewed partitions of the other side).
     """
     head = df.limit(max_rows + 1).toArrow()

@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from altertrace.plans.tables import one_row
-
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -29,19 +27,6 @@ def _kind(field: T.StructField) -> str:
     return "text"
 
 
-def _cell(field: T.StructField):
-    """A value in the slot of its type (whole, real, text); numbers are not turned to text."""
-    col = F.col(field.name)
-    whole = isinstance(field.dataType, T.IntegralType)
-    real = isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType)
-    stamp = isinstance(field.dataType, T.TimestampType)
-    return F.struct(
-        (F.unix_micros(col) if stamp else col.cast("bigint") if whole else F.lit(None).cast("bigint")).alias("whole"),
-        (col.cast("double") if real else F.lit(None).cast("double")).alias("real"),
-        (F.lit(None).cast("string") if whole or real or stamp else col.cast("string")).alias("text"),
-    )
-
-
 def profile_columns(
     df: DataFrame,
     case: str,
@@ -53,46 +38,24 @@ def profile_columns(
 ) -> DataFrame:
     """Distinct counts, null counts and type/role flags per column.
 
-    Exact counting unpivots the table and groups by ``(column, value)``, which
-    combines on the map side, so even a column with one dominant value shuffles a
-    single row per task for it. ``approx`` replaces that by one HyperLogLog pass.
+    One aggregation over the table. Exact distinct counts are combined on the map
+    side per value, so a column dominated by one value shuffles one row per task
+    for it. ``approx`` uses HyperLogLog sketches, which need no shuffle of values.
     """
     cols = list(cols or df.columns)
-    spark = df.sparkSession
-    meta = [(c, _kind(df.schema[c])) for c in cols]
-    kinds = F.broadcast(spark.createDataFrame(meta, "column string, kind string"))
-    n_cases = (
-        F.approx_count_distinct(case).alias("n_cases") if approx else F.count_distinct(case).alias("n_cases")
-    )
-    totals = one_row(df.agg(F.count(F.lit(1)).alias("n_rows"), n_cases))
-    if approx:
-        wide = df.agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.approx_count_distinct(c).alias("n_values"),
-                        F.count_if(F.col(c).isNull()).alias("n_missing"),
-                    )
-                    for c in cols
-                ]
-            ).alias("stats")
-        )
-        counted = wide.select(F.inline("stats"))
-    else:
-        cells = F.array(*[_cell(df.schema[c]) for c in cols])
-        long = df.select(F.posexplode(cells).alias("i", "v")).select("i", "v.*")
-        missing = (F.col("whole").isNull() & F.col("real").isNull() & F.col("text").isNull())
-        counted = (
-            long.groupBy("i", "whole", "real", "text")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("i")
-            .agg(
-                F.count_if(~missing).alias("n_values"),
-                F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("n_missing"),
-            )
-            .select(F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column"), "n_values", "n_missing")
+    distinct = F.approx_count_distinct if approx else F.count_distinct
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(_kind(df.schema[c])).alias("kind"),
+            distinct(c).alias("n_values"),
+            F.count_if(F.col(c).isNull()).alias("n_missing"),
         )
+        for c in cols
+    ]
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n_rows"), distinct(case).alias("n_cases"), F.array(*stats).alias("stats")
+    ).select("n_rows", "n_cases", F.inline("stats"))
     unique = F.col("n_values") + F.when(F.col("n_missing") > 0, 1).otherwise(0)
     is_text = F.col("kind") == "text"
 
@@ -101,8 +64,7 @@ def profile_columns(
 
     important = [c for c in (case, activity, ts, outcome) if c]
     return (
-        counted.join(kinds, "column")
-        .withColumns({"n_unique": unique, **{k: F.lit(v).cast("bigint") for k, v in totals.items()}})
+        counted.withColumn("n_unique", unique)
         .select(
             "column",
             "kind",

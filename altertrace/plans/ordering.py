@@ -158,7 +158,7 @@ def ordered(
     picks += [F.lead(f"_first_{new}").over(by_seg).alias(f"_next_{new}") for new in lead]
     picks += [F.lag(f"_last_{new}").over(by_seg).alias(f"_prev_{new}") for new in lag]
     picks += [F.sum(f"_sum_{new}").over(before).alias(f"_base_{new}") for new in running]
-    out = parts.join(F.broadcast(edges.select(*keys, "_seg", *picks)), [*keys, "_seg"], "left")
+    out = parts.join(lookup(edges.select(*keys, "_seg", *picks)), [*keys, "_seg"], "left")
 
     final = {}
     if number:

@@ -10,6 +10,7 @@ from altertrace.operators import encode
 from altertrace.operators import logmodel as lm
 from altertrace.operators import traces as tr
 from altertrace.plans.ordering import ordered
+from altertrace.plans.tables import cut
 from altertrace.queries.base import EV, ORDER_KEYS, VOC, order_cases, order_encoded, order_traces, query, r6, r6_sql, table, text
 
 SEED = 11
@@ -75,6 +76,19 @@ def model_events(spark, sf, vocab=None):
     return out.withColumns({"prev_id": F.coalesce("prev_id", F.lit(0)), "x": x})
 
 
+def step_events(spark, sf):
+    """Order events with position, previous and next activity only (what the chain needs)."""
+    coded = order_encoded(spark, sf).select("case_id", *ORDER_KEYS, "act_id")
+    out = ordered(coded, ["case_id"], ORDER_KEYS, number="pos", lead={"next_id": "act_id"}, lag={"prev_id": "act_id"})
+    return out.select("case_id", "pos", "act_id", F.coalesce("prev_id", F.lit(0)).alias("prev_id"), "next_id")
+
+
+def fitted_chain(spark, sf):
+    """``(steps, chain)``; the ordered steps are written once, then fitted and scored."""
+    steps = cut(step_events(spark, sf))
+    return steps, lm.fit_chain(steps)
+
+
 def fit_default(spark, sf, method="bayes"):
     return em.fit_emissions(scaled_events(spark, sf), CONT, BINARY, method)
 
@@ -84,7 +98,7 @@ def fit_default(spark, sf, method="bayes"):
 
 @query("transition_counts", f"WITH {MEV} SELECT act_id AS act_from, next_id AS act_to, count(*) AS n FROM mev WHERE next_id IS NOT NULL GROUP BY ALL")
 def _(spark, sf):
-    return lm.transition_counts(model_events(spark, sf))
+    return lm.transition_counts(step_events(spark, sf))
 
 
 @query(
@@ -94,7 +108,7 @@ FROM mev GROUP BY case_id), p AS (SELECT a[k] AS act_from, a[k + 1] AS act_to FR
 SELECT CAST(act_from AS INTEGER) AS act_from, CAST(act_to AS INTEGER) AS act_to, count(*) AS n FROM p GROUP BY ALL""",
 )
 def _(spark, sf):
-    return lm.transition_counts(model_events(spark, sf), padded_to=13)
+    return lm.transition_counts(step_events(spark, sf), padded_to=13)
 
 
 @query(
@@ -103,23 +117,22 @@ def _(spark, sf):
     f"SELECT act_from, act_to, n, {r6_sql('n / sum(n) OVER (PARTITION BY act_from)')} AS p FROM c",
 )
 def _(spark, sf):
-    return lm.transition_probabilities(lm.transition_counts(model_events(spark, sf))).withColumn("p", r6("p"))
+    return lm.transition_probabilities(lm.transition_counts(step_events(spark, sf))).withColumn("p", r6("p"))
 
 
 @query("start_probabilities", f"WITH {MEV}, c AS (SELECT act_id, count(*) AS n FROM mev WHERE pos = 0 GROUP BY act_id) SELECT act_id, n, {r6_sql('n / sum(n) OVER ()')} AS p FROM c")
 def _(spark, sf):
-    return lm.start_probabilities(model_events(spark, sf)).withColumn("p", r6("p"))
+    return lm.start_probabilities(step_events(spark, sf)).withColumn("p", r6("p"))
 
 
 @query("end_probabilities", f"WITH {MEV}, c AS (SELECT act_id, count(*) AS n FROM mev WHERE next_id IS NULL GROUP BY act_id) SELECT act_id, n, {r6_sql('n / sum(n) OVER ()')} AS p FROM c")
 def _(spark, sf):
-    return lm.end_probabilities(model_events(spark, sf)).withColumn("p", r6("p"))
+    return lm.end_probabilities(step_events(spark, sf)).withColumn("p", r6("p"))
 
 
 @query("trace_transition_probability", f"WITH {MEV}, {CHAIN} SELECT case_id, pos, act_id, {r6_sql('p_step')} AS p_step FROM mev JOIN chain USING (prev_id, act_id)")
 def _(spark, sf):
-    ev = model_events(spark, sf)
-    return lm.trace_transition_probability(ev, lm.fit_chain(ev)).select("case_id", "pos", "act_id", r6("p_step", "p_step"))
+    return lm.trace_transition_probability(*fitted_chain(spark, sf)).select("case_id", "pos", "act_id", r6("p_step", "p_step"))
 
 
 @query(
@@ -127,8 +140,7 @@ def _(spark, sf):
     f"WITH {MEV}, {CHAIN} SELECT case_id, {r6_sql(f'sum(ln(p_step + {EPS_SQL}))')} AS log_likelihood, count(*) AS n_events FROM mev JOIN chain USING (prev_id, act_id) GROUP BY case_id",
 )
 def _(spark, sf):
-    ev = model_events(spark, sf)
-    return lm.trace_log_likelihood(lm.trace_transition_probability(ev, lm.fit_chain(ev))).withColumn("log_likelihood", r6("log_likelihood"))
+    return lm.trace_log_likelihood(lm.trace_transition_probability(*fitted_chain(spark, sf))).withColumn("log_likelihood", r6("log_likelihood"))
 
 
 @query(
@@ -137,8 +149,7 @@ def _(spark, sf):
     f"{r6_sql(f'sum(ln(p_step + {EPS_SQL})) OVER (PARTITION BY case_id ORDER BY pos)')} AS cumulative FROM mev JOIN chain USING (prev_id, act_id)",
 )
 def _(spark, sf):
-    ev = model_events(spark, sf)
-    out = lm.cumulative_log_likelihood(lm.trace_transition_probability(ev, lm.fit_chain(ev)))
+    out = lm.cumulative_log_likelihood(lm.trace_transition_probability(*fitted_chain(spark, sf)))
     return out.select("case_id", "pos", r6("point", "point"), r6("cumulative", "cumulative"))
 
 
@@ -150,7 +161,7 @@ SELECT case_id, pos, m.act_id, next_id, {r6_sql('coalesce(p, 0)')} AS p FROM mev
 )
 def _(spark, sf):
     # how likely each step would be if it ran backwards
-    ev = model_events(spark, sf)
+    ev = cut(step_events(spark, sf))
     probs = lm.lookup(lm.transition_probabilities(lm.transition_counts(ev)).drop("n"))
     out = lm.pairwise_transition_lookup(ev, probs, "next_id", "act_id")
     return out.select("case_id", "pos", "act_id", "next_id", r6("p", "p"))
@@ -313,7 +324,7 @@ def sampled_ids(spark, sf):
     f"WITH RECURSIVE {MEV}, {CUM}, {walk_sql('SELECT o_orderkey AS id FROM orders', ['id'], SEED, MAX_LEN)} SELECT id, {text()} AS acts FROM sampled",
 )
 def _(spark, sf):
-    options = lm.cumulative_chain(model_events(spark, sf))
+    options = lm.cumulative_chain(step_events(spark, sf))
     return lm.sample_traces(sampled_ids(spark, sf), options, MAX_LEN, SEED, ["id"]).select("id", tr.sequence_text("acts").alias("acts"))
 
 

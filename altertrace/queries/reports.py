@@ -13,7 +13,7 @@ from altertrace.operators import logmodel as lm
 from altertrace.operators import measures as ms
 from altertrace.operators import traces as tr
 from altertrace.queries.base import order_cases, query, r6, r6_sql, table, text
-from altertrace.queries.model import CHAIN, CUM, EPS_SQL, MEV, model_events, walk_sql
+from altertrace.queries.model import CHAIN, CUM, EPS_SQL, MEV, fitted_chain, walk_sql
 from altertrace.queries.scores import KEYS, VIABILITY, viable_pairs
 from altertrace.queries.search import FIT, fitness
 from altertrace.sources.results import concat_results
@@ -267,8 +267,7 @@ def _(spark, sf):
 
 @query("derive_log_probabilities", f"WITH {MEV}, {CHAIN} SELECT case_id, pos, {r6_sql(f'p_step + {EPS_SQL}')} AS p_eps, {r6_sql(f'ln(p_step + {EPS_SQL})')} AS log_p, {r6_sql('ln(1 + p_step)')} AS log1p_p FROM mev JOIN chain USING (prev_id, act_id)")
 def _(spark, sf):
-    ev = model_events(spark, sf)
-    out = lm.trace_transition_probability(ev, lm.fit_chain(ev))
+    out = lm.trace_transition_probability(*fitted_chain(spark, sf))
     cols = an.derive_log_probabilities(F.col("p_step"), lm.EPS)
     return out.select("case_id", "pos", *[r6(c, n) for n, c in cols.items()])
 
@@ -282,8 +281,7 @@ report AS (SELECT id, round(exp(ll / n), 9) AS p, n, 'true' AS case_origin FROM
 
 
 def _probabilities(spark, sf):
-    ev = model_events(spark, sf)
-    chain = lm.fit_chain(ev)
+    ev, chain = fitted_chain(spark, sf)
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     sampled = lm.sample_traces(ids, lm.cumulative_chain(ev), 6, _SEED, ["id"])
 
@@ -325,8 +323,7 @@ SELECT case_id, outcome, n_events, {r6_sql('f')} AS feasibility, CAST(row_number
 @query("feasible_traces_per_outcome", _FLAG)
 def flagship(spark, sf):
     """Ten most feasible order traces per outcome under the fitted chain."""
-    ev = model_events(spark, sf)
-    ll = lm.trace_log_likelihood(lm.trace_transition_probability(ev, lm.fit_chain(ev)))
+    ll = lm.trace_log_likelihood(lm.trace_transition_probability(*fitted_chain(spark, sf)))
     f = ll.select("case_id", "n_events", F.round(F.exp(F.col("log_likelihood") / F.col("n_events")), 9).alias("viability"), F.col("case_id").alias("cand_id"))
     joined = f.join(order_cases(spark, sf).select("case_id", "outcome"), "case_id")
     top = an.top_k_candidates(joined, 10, "outcome")

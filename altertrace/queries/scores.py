@@ -16,7 +16,7 @@ from altertrace.operators import scoring as sc
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import cut
 from altertrace.queries.base import ORDER_KEYS, TR, CASES, order_cases, order_events, order_vocabulary, query, r6, r6_sql, table, text
-from altertrace.queries.model import BAYES, BERN, CHAIN, CONT, BINARY, EPS_SQL, MEV, MOMENTS, maha_sql, model_events, scaled_events
+from altertrace.queries.model import BAYES, BERN, CHAIN, CONT, BINARY, EPS_SQL, MEV, MOMENTS, maha_sql, model_events, scaled_events, step_events
 from altertrace.operators import emissions as em
 
 SEED = 13
@@ -546,7 +546,7 @@ np AS (SELECT case_id, next_id AS t, b AS p FROM mev JOIN best ON act_id = a WHE
 
 def _next_predictions(spark, sf):
     """Next activity against the most frequent successor."""
-    ev = model_events(spark, sf)
+    ev = cut(step_events(spark, sf))
     counts = lm.transition_counts(ev)
     best = counts.groupBy("act_from").agg(F.max_by("act_to", F.struct("n", -F.col("act_to"))).alias("predicted"))
     return ev.where("next_id IS NOT NULL").join(lm.lookup(best.withColumnRenamed("act_from", "act_id")), "act_id")

@@ -15,7 +15,7 @@ from altertrace.operators import pareto as pa
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import lookup
 from altertrace.queries.base import order_cases, query, r6, r6_sql, table, text
-from altertrace.queries.model import BAYES, CUM, MEV, MOMENTS, draw_features_sql, fit_default, model_events, walk_sql
+from altertrace.queries.model import BAYES, CUM, MEV, MOMENTS, draw_features_sql, fit_default, step_events, walk_sql
 from altertrace.queries.scores import CPAIRS, KEYS, customer_groups, fitted_model, scorer, _with_borders
 
 SEED = 17
@@ -91,7 +91,7 @@ SELECT factual_id, cand_id, {text()} AS acts, {r6_sql('coalesce(a, 0)')} AS x0,
 FROM sampled LEFT JOIN fs USING (factual_id, cand_id)""",
 )
 def _(spark, sf):
-    options = lm.cumulative_chain(model_events(spark, sf))
+    options = lm.cumulative_chain(step_events(spark, sf))
     out = gen.generate_sampled(factuals_of(spark, sf), options, fit_default(spark, sf), N, 6, SEED)
     sums = [r6(_feature_sum(i), f"x{i}") for i in range(D)]
     return out.select(*KEYS, tr.sequence_text("acts").alias("acts"), *sums)

@@ -107,18 +107,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``id_col, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers in one binary."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"))
 
-    def merge(words: list[str]) -> list[pa.Array]:
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def merge(words: list[bytes]) -> list[bytes]:
         encoder = _encoder(path, pattern)
-        return [pa.array([np.array(encoder.encode_ordinary(w), dtype="<u4").tobytes() for w in words], type=pa.binary())]
+        return [np.array(encoder.encode_ordinary(w.decode("utf-8", "surrogatepass")), dtype="<u4").tobytes() for w in words]
 
-    def join(words: pa.Table, rows: pa.Table) -> pa.Table:
-        ids = words.column("ids").combine_chunks() if words.num_rows else pa.array([], type=pa.binary())
-        pieces = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")
-        size = np.array([len(x) // 4 for x in ids.to_pylist()], dtype=np.int64)
+    def join(sizes: np.ndarray, data: bytes, rows: pa.Table) -> pa.Table:
+        pieces = np.frombuffer(data, dtype="<u4")
+        size = sizes.astype(np.int64) // 4
         first = np.cumsum(size) - size
         out, n = [], []
         for blob in rows.column("codes").to_pylist():
             codes = chunks.unpacked(blob)
+            if codes.size and int(codes.max()) >= size.size:
+                raise RuntimeError("a chunk lacks words: the input gave other rows on a second reading; write it as a table first")
             length = size[codes]
             total = int(length.sum())
             # place k of the output lies in the word that holds it, at its distance from the word's start
@@ -128,11 +131,21 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return pa.table({"key": rows.column("key"), "n_tokens": pa.array(n, type=pa.int64()), "ids": pa.array(out, type=pa.binary())})
 
     kind = dict(texts.dtypes)["key"]
-    found = chunks.on_each_word(chunks.distinct_words(texts, split, size=chunk), merge, "ids binary")
-    coded = chunks.coded_texts(texts, split, size=chunk)
+    found = chunks.on_each_word(chunks.distinct_words(texts, split, buckets, chunk), merge)
+    coded = chunks.coded_texts(texts, split, buckets, chunk)
     return chunks.reassembled(found, coded, join, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", id_col)
 
 
+@functools.cache
+def token_bytes(path: str) -> np.ndarray:
+    """The token-byte table: the bytes of every id."""
+    ranks = read_ranks(path)
+    table = np.empty(max(ranks.values(), default=-1) + 1, dtype=object)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
     """Adds the bytes that the ids of each row stand for: the join with the token-byte table, held by each task."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema if f.name != out_col)}, `{out_col}` binary"
@@ -140,14 +153,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     names, where = plain.columns, plain.columns.index(ids_col)
 
     def run(batches):
-        ranks = read_ranks(path)
-        table = np.empty(max(ranks.values(), default=-1) + 1, dtype=object)
-        for token, rank in ranks.items():
-            table[rank] = token
-        for batch in batches:
-            ids = batch.column(where).to_pylist()
-            out = [b"".join(table[np.frombuffer(x or b"", dtype="<u4")].tolist()) for x in ids]
-            yield pa.record_batch([*batch.columns, pa.array(out, type=pa.binary())], names=[*names, out_col])
+        table = token_bytes(path)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                ids = batch.column(where).to_pylist()
+                out = [b"".join(table[np.frombuffer(x or b"", dtype="<u4")].tolist()) for x in ids]
+                yield pa.record_batch([*batch.columns, pa.array(out, type=pa.binary())], names=[*names, out_col])
 
     return plain.mapInArrow(run, schema)
 

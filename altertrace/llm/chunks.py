@@ -2,8 +2,8 @@
 
 A scan task deals its texts into chunks of about ``CHUNK`` characters and numbers the distinct words of each chunk. A
 chunk sends every distinct word once, however frequent it is, so no word is a hot key; the texts stay behind as
-sequences of word numbers, compressed. Words meet by value, get their results there, return by chunk, and each chunk puts
-its texts together by position.
+sequences of word numbers, compressed. Words meet by value in buckets, get their results there, return by chunk, and each
+chunk puts its texts together by position. The words that a chunk sends to one bucket travel as one compressed row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from altertrace.llm.text import Chunk, slices
 
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 
 #: splits a slice of texts: gives word hashes, words per text, and a function from word position to word.
 Splitter = Callable[[list[str]], tuple[np.ndarray, np.ndarray, Callable[[int], "bytes | str"]]]
@@ -37,21 +37,20 @@ def unpacked(blob: bytes) -> np.ndarray:
 def chunked(
     batches: Iterable[pa.RecordBatch], split: Splitter, size: int, want_codes: bool
 ) -> Iterator[tuple[int, Chunk, list[list]]]:
-    """Chunks of a task: number, words, and for every text its row of other columns with its codes."""
+    """Chunks of a task: number, words, and for every text its row of other columns with the numbers of its words."""
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 32
     n, chunk, rows = 0, Chunk(), []
     for batch in batches:
-        texts = batch.column(0).to_pylist()
         others = [c.to_pylist() for c in batch.columns[1:]]
         at = 0
-        for part in slices(texts):
+        for part in slices(batch.column(0)):
             hashes, counts, word = split(part)
             codes = chunk.codes(hashes, word)
             if want_codes:
                 ends = np.cumsum(counts)
                 for k, (a, b) in enumerate(zip(ends - counts, ends)):
-                    rows.append([*(o[at + k] for o in others), packed(codes[a:b])])
+                    rows.append([*(o[at + k] for o in others), codes[a:b]])
             at += len(part)
             chunk.chars += sum(map(len, part))
             if chunk.chars >= size:
@@ -61,33 +60,54 @@ def chunked(
         yield base + n, chunk, rows
 
 
-def distinct_words(texts: DataFrame, split: Splitter, kind: str = "string", size: int = CHUNK) -> DataFrame:
-    """``chunk, idx, word``: every distinct word of every chunk, once. The first column of ``texts`` is the text."""
-    schema = pa.schema([("chunk", pa.int64()), ("idx", pa.int32()), ("word", pa.string() if kind == "string" else pa.binary())])
+def bucket_order(chunk: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a chunk by bucket: their numbers in that order, and where each bucket starts."""
+    hashes = np.fromiter(chunk.index, dtype=np.uint64, count=len(chunk.index))
+    bucket = (hashes >> np.uint64(17)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def distinct_words(texts: DataFrame, split: Splitter, buckets: int, size: int = CHUNK) -> DataFrame:
+    """``chunk, bucket, sizes, data``: every distinct word of every chunk, once. The first column of ``texts`` is the text."""
 
     def run(batches):
         for key, chunk, _ in chunked(batches, split, size, False):
-            for a in range(0, len(chunk.words), 50_000):
-                words = chunk.words[a : a + 50_000]
-                idx = pa.array(np.arange(a, a + len(words), dtype=np.int32))
-                yield pa.record_batch([pa.array(np.full(len(words), key)), idx, pa.array(words, type=schema[2].type)], schema=schema)
+            order, edges = bucket_order(chunk, buckets)
+            for first in range(0, buckets, 256):
+                rows = []
+                for k in range(first, min(buckets, first + 256)):
+                    words = [chunk.words[i].encode("utf-8", "surrogatepass") for i in order[edges[k] : edges[k + 1]].tolist()]
+                    if words:
+                        rows.append((key, k, packed(np.array(list(map(len, words)))), zlib.compress(b"".join(words), 1)))
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "sizes", "data"])
+
+    return texts.mapInArrow(run, "chunk long, bucket int, sizes binary, data binary")
 
-    return texts.mapInArrow(run, f"chunk long, idx int, word {kind}")
 
+def parts(sizes: np.ndarray, data: bytes) -> list[bytes]:
+    """The pieces of some bytes, by their sizes."""
+    ends = np.cumsum(sizes).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-def coded_texts(texts: DataFrame, split: Splitter, size: int = CHUNK) -> DataFrame:
-    """``chunk``, the other columns of ``texts``, ``codes``: each text as the packed numbers of its words."""
+
+def coded_texts(texts: DataFrame, split: Splitter, buckets: int, size: int = CHUNK) -> DataFrame:
+    """``chunk``, the other columns of ``texts``, ``codes``: each text as the packed numbers of its words, in order of buckets."""
     fields = texts.schema.fields[1:]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
     def run(batches):
         kinds = None
-        for key, _, rows in chunked(watch := Watched(batches), split, size, True):
+        for key, chunk, rows in chunked(watch := Watched(batches), split, size, True):
             kinds = kinds or watch.types[1:]
+            order, _ = bucket_order(chunk, buckets)
+            place = np.empty(order.size, dtype=np.uint32)
+            place[order] = np.arange(order.size, dtype=np.uint32)
             for a in range(0, len(rows), 1000):
                 part = rows[a : a + 1000]
                 columns = [pa.array([r[i] for r in part], type=t) for i, t in enumerate(kinds)]
-                blobs = pa.array([r[-1] for r in part], type=pa.binary())
+                blobs = pa.array([packed(place[r[-1]]) for r in part], type=pa.binary())
                 names = ["chunk", *(f.name for f in fields), "codes"]
                 yield pa.record_batch([pa.array(np.full(len(part), key)), *columns, blobs], names=names)
 
@@ -106,44 +126,43 @@ class Watched:
             yield b
 
 
-def on_each_word(words: DataFrame, work: Callable[[list], list[pa.Array]], fields: str) -> DataFrame:
+def on_each_word(words: DataFrame, work: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """Run ``work`` on every distinct word once; its results go to all chunks that have the word.
 
-    Words meet in one partition in sorted order, one row for each chunk that has it. The work sees the distinct words of
-    a batch; a word that goes on from the last batch keeps its result.
+    Gives ``chunk, bucket, sizes, data`` with results in place of words. A task holds the distinct words of one bucket.
     """
-    extra = [c for c in words.columns if c not in ("idx", "word")]
-    names = [*extra, "idx"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in words.schema if f.name in extra), "idx int", fields])
-    ordered = words.repartition("word").sortWithinPartitions("word").select(*names, "word")
+    ordered = words.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        last, kept = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(len(names)).dictionary_encode()
-            found = coded.dictionary.to_pylist()
-            if found[0] == last:
-                fresh = work(found[1:]) if len(found) > 1 else [k.slice(0, 0) for k in kept]
-                results = [pa.concat_arrays([k, f.cast(k.type)]) for k, f in zip(kept, fresh)]
-            else:
-                results = work(found)
-            last, kept = found[-1], [r.slice(len(r) - 1, 1) for r in results]
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.record_batch([*columns, *(r.take(coded.indices) for r in results)], names=[*names, *(f.split()[0] for f in fields.split(", "))])
-
-    return ordered.mapInArrow(run, schema)
-
-
-def reassembled(results: DataFrame, texts: DataFrame, join: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Bring word results and coded texts of a chunk together; ``join(results by idx, texts)`` gives the rows."""
+        bucket, known = None, {}
+        for b in batches:
+            keys, sizes, data = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            out_sizes, out = [], []
+            for key, size, blob in zip(keys, sizes, data):
+                if key != bucket:
+                    bucket, known = key, {}
+                found = parts(unpacked(size), zlib.decompress(blob))
+                if fresh := [w for w in found if w not in known]:
+                    known.update(zip(fresh, work(fresh)))
+                results = [known[w] for w in found]
+                out_sizes.append(packed(np.array(list(map(len, results)))))
+                out.append(zlib.compress(b"".join(results), 1))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out_sizes, pa.binary()), pa.array(out, pa.binary())], names=["chunk", "bucket", "sizes", "data"])
+
+    return ordered.mapInArrow(run, "chunk long, bucket int, sizes binary, data binary")
+
+
+def reassembled(results: DataFrame, texts: DataFrame, join: Callable[[np.ndarray, bytes, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Bring word results and coded texts of a chunk together; ``join(sizes, data, texts)`` gives the rows.
+
+    ``sizes`` and ``data`` are the results of the chunk's words in the order of their numbers.
+    """
 
     def run(key, left, right):
-        left = left.combine_chunks().sort_by("idx")
-        if left.num_rows and left.column("idx")[-1].as_py() + 1 != left.num_rows:
-            raise RuntimeError(f"chunk {key[0]} lacks words: the input gave other rows on a second reading; write it as a table first")
-        return join(left, right)
+        left = left.sort_by("bucket")
+        sizes = [unpacked(x) for x in left.column("sizes").to_pylist()]
+        data = b"".join(map(zlib.decompress, left.column("data").to_pylist()))
+        return join(np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.uint32), data, right)
 
     by_chunk = texts.withColumnRenamed("chunk", "text_chunk").groupBy("text_chunk")
     return results.groupBy("chunk").cogroup(by_chunk).applyInArrow(run, schema)

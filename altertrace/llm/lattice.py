@@ -134,7 +134,7 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
             trained = np.zeros(len(held.words), dtype=np.int64)
             for _, is_train, blob in rows:
                 if is_train:
-                    codes = chunks.unpacked(blob)
+                    codes = blob
                     trained += np.bincount(codes, minlength=trained.size) if codes.size > trained.size // 8 else 0
                     if codes.size <= trained.size // 8:
                         np.add.at(trained, codes, 1)
@@ -147,7 +147,8 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
             for a in range(0, len(rows), 1000):
                 part = rows[a : a + 1000]
                 n = len(part)
-                key, flag, blob = (pa.array([r[i] for r in part], t) for i, t in enumerate((watch.types[1], pa.bool_(), pa.binary())))
+                key, flag = (pa.array([r[i] for r in part], t) for i, t in enumerate((watch.types[1], pa.bool_())))
+                blob = pa.array([chunks.packed(r[-1]) for r in part], pa.binary())
                 yield pa.record_batch([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), key, flag, blob], names=names)
 
     table = cut(texts.mapInArrow(run, f"chunk long, idx int, word binary, trained long, key {kind}, train boolean, codes binary"))
@@ -170,7 +171,8 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
     valued = counted.mapInArrow(scored, "word binary, trained long, log10 double")
     back = words.select("chunk", "idx", "word").join(valued, "word").select("chunk", "idx", "trained", "log10")
 
-    def sums(left: pa.Table, rows: pa.Table) -> pa.Table:
+    def sums(key, left, rows):
+        left = left.sort_by("idx")
         count = left.column("trained").to_numpy() if left.num_rows else np.zeros(0, dtype=np.int64)
         value = left.column("log10").to_numpy() if left.num_rows else np.zeros(0)
         base = np.log10(count + 1.0) - unseen
@@ -182,5 +184,7 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
         held = pa.array([not t for t in rows.column("train").to_pylist()], pa.bool_())
         return pa.table({"key": rows.column("key"), "held_out": held, "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(first, pa.float64()), "score": pa.array(second, pa.float64())})
 
-    out = chunks.reassembled(back, coded, sums, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    by_chunk = coded.withColumnRenamed("chunk", "text_chunk").groupBy("text_chunk")
+    schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = back.groupBy("chunk").cogroup(by_chunk).applyInArrow(sums, schema)
     return out.select(F.col("key").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

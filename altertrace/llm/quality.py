@@ -121,7 +121,7 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
     def run(batches):
         for b in batches:
             hosts, at = b.column(0), 0
-            for part in slices(b.column(1).to_pylist()):
+            for part in slices(b.column(1)):
                 lines = Lines(Words(part))
                 new = first_seen(lines.text, lines.hashes)
                 yield pa.record_batch([hosts.take(pa.array(lines.text[new] + at)), pa.array(lines.hashes[new].view(np.int64))], names=["host", "line"])
@@ -147,7 +147,7 @@ def judge(
     def run(batches):
         for b in batches:
             at = 0
-            for part in slices(b.column(1).to_pylist()):
+            for part in slices(b.column(1)):
                 words = Words(part, lower=True)
                 found = measured(Words(part, lower=False), part)
                 lines = Lines(words)

@@ -6,11 +6,13 @@ than that makes a slice of its own. Nulls count as empty texts everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 17
 U64 = np.uint64
 #: Fixed odd multipliers: the base of the span hash, its inverse modulo 2^64, and two mixing factors.
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,18 +55,17 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed(spans + (ends - starts).astype(U64) * MIX_A)
 
 
-def slices(texts: Iterable[str | None], size: int = SLICE) -> Iterator[list[str]]:
-    """Consecutive texts in lists of about ``size`` characters."""
-    held, n = [], 0
-    for t in texts:
-        t = t or ""
-        if held and n + len(t) > size:
-            yield held
-            held, n = [], 0
-        held.append(t)
-        n += len(t) + 1
-    if held:
-        yield held
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[list[str]]:
+    """Consecutive texts of an Arrow column in lists of about ``size`` bytes; only one list is held at a time."""
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start = stop
 
 
 class Words:

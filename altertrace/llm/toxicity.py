@@ -97,7 +97,7 @@ def word_counts(bags: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             y, at, seen = b.column(1).to_numpy(), 0, []
-            for part in slices(b.column(0).to_pylist()):
+            for part in slices(b.column(0)):
                 w = Bags(part).words
                 pair = np.unique(np.rec.fromarrays([w.hashes, w.text])) if w.hashes.size else None
                 if pair is not None:
@@ -118,7 +118,7 @@ def gathered(bags: DataFrame, hashes: np.ndarray) -> list[tuple[int, bytes]]:
     def run(batches):
         for b in batches:
             y, at = b.column(1).to_pylist(), 0
-            for part in slices(b.column(0).to_pylist()):
+            for part in slices(b.column(0)):
                 bag = Bags(part)
                 sentence, feature = active(bag, hashes)
                 size = np.bincount(bag.text, minlength=len(part))
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for b in batches:
             at = 0
-            for part in slices(b.column(1).to_pylist()):
+            for part in slices(b.column(1)):
                 bags = Bags(part)
                 p = model.sentences(bags)
                 found: list[list[dict]] = [[] for _ in part]

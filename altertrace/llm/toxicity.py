@@ -1,10 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its words; the document's score is the noisy-or
+A document is a bag of sentences. A sentence's score is a logistic function of its words and stems; the document's score is the noisy-or
 of its sentences: one minus the product of their complements. Only documents are labelled; the gradient of the document's
 likelihood tells the sentences apart, and afterwards the sentences with a score of their own above a threshold are located.
 
-The model is small: weights of at most ``FEATURES`` words, chosen by how they differ between labels, and a bias. It is fitted on
+The model is small: weights of at most ``FEATURES`` words or stems, chosen by how they differ between labels, and a bias. It is fitted on
 at most ``SAMPLE`` labelled rows, chosen by a hash of their ids; both bounds are parameters. Scoring reads each text once and moves
 nothing.
 
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import U64, Words, slices
+from altertrace.llm.text import U64, Words, slices, span_hashes
 
 SAMPLE = 20_000
 FEATURES = 4096
 MIN_BAGS = 5
+STEMS = (3, 4, 5, 6)  # bytes of a word's beginning
 #: A word is a feature if chance alone tells the labels apart as well about once in a million words.
 LEAST_RATIO = 24.0
 THRESHOLD = 0.3
@@ -36,7 +37,7 @@ PARTS[[c for c in range(128) if not (chr(c).isalnum() or chr(c) == "'")]] = True
 
 
 class Bags:
-    """Sentences of some texts: the words' hashes with the sentence of each, and the text of each sentence."""
+    """Sentences of some texts: hashes of words and stems with sentence and text of each, and the text of each sentence."""
 
     def __init__(self, texts: list[str]):
         words = Words([t.lower() for t in texts], space=PARTS)
@@ -45,9 +46,17 @@ class Bags:
         new = np.ones(mark.size, dtype=bool)
         new[1:] = (mark[1:] != mark[:-1]) | (words.text[1:] != words.text[:-1])
         self.words = words
-        self.sentence = np.cumsum(new) - 1
+        sentence = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
         self.text = words.text[self.first]
+        # a word's features: itself and its beginnings, so that a stem counts under any ending
+        hashes, owner = [words.hashes], [np.arange(mark.size)]
+        for n in STEMS:
+            longer = np.flatnonzero(words.ends - words.starts > n)
+            hashes.append(span_hashes(words.data, words.starts[longer], words.starts[longer] + n))
+            owner.append(longer)
+        self.hashes, owner = np.concatenate(hashes), np.concatenate(owner)
+        self.sentence, self.owner = sentence[owner], words.text[owner]
 
 
 def is_training(id_col: str, modulus: int = 4, held: int = 2) -> Column:
@@ -78,8 +87,8 @@ class Model:
 
 def active(bags: Bags, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a sentence and a feature in it, each once."""
-    at = np.minimum(np.searchsorted(hashes, bags.words.hashes), hashes.size - 1)
-    hit = np.flatnonzero(hashes[at] == bags.words.hashes)
+    at = np.minimum(np.searchsorted(hashes, bags.hashes), hashes.size - 1)
+    hit = np.flatnonzero(hashes[at] == bags.hashes)
     pair = np.unique(bags.sentence[hit].astype(np.int64) * hashes.size + at[hit])
     return pair // hashes.size, pair % hashes.size
 
@@ -98,10 +107,12 @@ def word_counts(bags: DataFrame) -> DataFrame:
         for b in batches:
             y, at, seen = b.column(1).to_numpy(), 0, []
             for part in slices(b.column(0)):
-                w = Bags(part).words
-                pair = np.unique(np.rec.fromarrays([w.hashes, w.text])) if w.hashes.size else None
-                if pair is not None:
-                    seen.append((pair.f0, y[at + pair.f1]))
+                bags = Bags(part)
+                order = np.lexsort((bags.owner, bags.hashes))
+                h, t = bags.hashes[order], bags.owner[order]
+                new = np.ones(h.size, dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+                seen.append((h[new], y[at + t[new]]))
                 at += len(part)
             if seen:
                 hashes, label = np.concatenate([s[0] for s in seen]), np.concatenate([s[1] for s in seen])

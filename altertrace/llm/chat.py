@@ -96,10 +96,9 @@ def branches(trees: DataFrame, best: int | None = None) -> DataFrame:
     paths = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("depth"))
     for k in range(len(jumps) - 2, -1, -1):
         step = paths.join(jumps[k], F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("a"))).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
-        paths = paths.unionByName(step)
+        paths = cut(paths.unionByName(step))
     if best is None:
         return paths.select("tree", "leaf", F.lit(None).cast("int").alias("rank"), "id", F.col("depth").alias("depth_from_leaf"))
-    paths = cut(paths)
     scores = nodes.select(F.col("tree").alias("t"), F.col("id").alias("i"), "score")
     means = paths.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i"))).groupBy("tree", "leaf").agg(F.avg("score").alias("mean"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))

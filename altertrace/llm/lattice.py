@@ -33,6 +33,8 @@ MARK = "▁"
 END = b"\n"
 END_HASH = np.uint64(0xE7D0F7E7D0F7E7D1)
 LN10 = math.log(10)
+#: Characters of a chunk: larger than elsewhere, since each distinct word of a chunk is a row here.
+CHUNK = 12 << 20
 
 
 def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, object]:
@@ -117,7 +119,7 @@ def is_training(id_col: str, modulus: int = 7, held: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus != held, F.lit(True))
 
 
-def score(docs: DataFrame, path: str, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = chunks.CHUNK) -> DataFrame:
+def score(docs: DataFrame, path: str, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row; scores are log10.
 
     The texts are read once: words and coded texts are written to the shared folder and read by the later steps.

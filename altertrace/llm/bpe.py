@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from altertrace.llm import chunks
-from altertrace.llm.text import span_hashes
+from altertrace.llm.text import small_batches, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space as the pattern's \s has it (Unicode White_Space).
@@ -105,7 +105,7 @@ def _encoder(path: str, pattern: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = chunks.CHUNK) -> DataFrame:
     """``id_col, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers in one binary."""
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"))
+    texts = small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"))
 
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from altertrace.llm.text import small_batches
+
 #: Fixed sets of element names: those left out with all they hold; those that end a line; those without an end tag.
 SILENT = "script style noscript template svg math iframe object canvas head select option textarea button".split()
 ASIDE = "nav header footer aside form menu dialog figure fieldset".split()
@@ -153,7 +155,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """``id_col, url_col, text, n_chars`` of every page; no shuffle."""
-    rows = pages.select(F.col(id_col), F.col(url_col), F.col(html_col))
+    rows = small_batches(pages).select(F.col(id_col), F.col(url_col), F.col(html_col))
     kind = dict(rows.dtypes)
 
     def run(batches):

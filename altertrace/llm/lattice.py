@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altertrace.llm import chunks
-from altertrace.llm.text import Words
+from altertrace.llm.text import Words, small_batches
 from altertrace.plans.tables import cut
 
 #: The mark before a word's first character in the pieces, and the end of a text as a word.
@@ -126,7 +126,7 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
     """
     spark = docs.sparkSession
     train = is_training(id_col) if training is None else training
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"), train.alias("train"))
+    texts = small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"), train.alias("train"))
     kind = dict(texts.dtypes)["key"]
 
     def run(batches):

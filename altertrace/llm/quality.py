@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import BASE, SPACE, U64, Words, mixed, slices
+from altertrace.llm.text import BASE, SPACE, U64, Words, mixed, slices, small_batches
 from altertrace.plans.tables import cut
 
 MIN_WORDS = 50
@@ -139,6 +139,7 @@ def judge(
 ) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``, all if None, as one struct), the metrics, ``base_failed``, ``kept``, ``n_left`` (words outside of
     frequent lines) and, if ``cleaned``, ``cleaned_text`` without those lines."""
+    small_batches(docs)
     frequent = cut(frequent_lines(docs, text_col, host_col, min_docs, max_share))
     row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row")
     rows = docs.select(row, F.col(text_col).alias("text"), host_of(host_col).alias("host")).join(frequent, "host", "left").select("row", "text", "lines")

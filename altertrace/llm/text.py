@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE = 1 << 17
 U64 = np.uint64
@@ -25,6 +26,23 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Rows and bytes that Spark puts in one Arrow batch at most: long texts fill a batch early.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Keep the Arrow batches of the session small, so that a worker holds few texts at a time.
+
+    The limits are settings of the session; smaller ones that it has already stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 _powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
 
 

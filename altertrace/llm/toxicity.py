@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import U64, Words, slices, span_hashes
+from altertrace.llm.text import U64, Words, slices, small_batches, span_hashes
 
 SAMPLE = 20_000
 FEATURES = 4096
@@ -180,7 +180,7 @@ def fit(
     sample: int = SAMPLE, features: int = FEATURES, min_bags: int = MIN_BAGS, least_ratio: float = LEAST_RATIO,
 ) -> Model:
     """The model of these labels. ``training`` chooses among the rows of ``labels``."""
-    bags = labelled(docs, labels, F.lit(True) if training is None else training, id_col, text_col, label_col, sample)
+    bags = labelled(small_batches(docs), labels, F.lit(True) if training is None else training, id_col, text_col, label_col, sample)
     sizes = {r["y"] > 0: r["n"] for r in bags.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(True, 0), sizes.get(False, 0)
     nothing = Model(np.zeros(0, dtype=U64), np.zeros(0), 0.0)
@@ -204,7 +204,7 @@ def fit(
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sentence: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``, all if None, as one struct), ``score``, ``predicted`` and ``offending``: spans (code points) and scores
     of the sentences at or above ``sentence``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), F.col(text_col).alias("text"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):

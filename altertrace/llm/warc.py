@@ -23,6 +23,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from altertrace.llm.text import small_batches
+
 RANGE = 32 << 20
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -72,7 +74,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     Payloads of ``min_bytes`` or more are compared. Only ids and digests meet by digest, so a payload with many copies is
     not moved to one place; the rows that become revisits then come to their pages by id.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     digest = F.unhex(F.sha1("html"))
     known = rows.where((F.octet_length("html") >= min_bytes) & F.col("id").isNotNull()).select("id", digest.alias("digest"))
     first = known.groupBy("digest").agg(F.min("id").alias("refers_to"), F.max("id").alias("largest")).where("refers_to < largest")

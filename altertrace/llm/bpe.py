@@ -103,8 +103,11 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = chunks.CHUNK) -> DataFrame:
-    """``id_col, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers in one binary."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = chunks.CHUNK, decoded: bool = False) -> DataFrame:
+    """``id_col, n_tokens, ids`` of every row; ids are little-endian unsigned 32-bit integers in one binary.
+
+    With ``decoded`` also ``bytes``: the ids decoded again, as :func:`decode` does, by the task that put them together.
+    """
     texts = small_batches(docs).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("key"))
 
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -128,12 +131,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             at = np.repeat(first[codes] - (np.cumsum(length) - length), length) + np.arange(total)
             out.append(pieces[at].tobytes())
             n.append(total)
-        return pa.table({"key": rows.column("key"), "n_tokens": pa.array(n, type=pa.int64()), "ids": pa.array(out, type=pa.binary())})
+        columns = {"key": rows.column("key"), "n_tokens": pa.array(n, type=pa.int64()), "ids": pa.array(out, type=pa.binary())}
+        return pa.table(columns | ({"bytes": spelled(out, path)} if decoded else {}))
 
     kind = dict(texts.dtypes)["key"]
     found = chunks.on_each_word(chunks.distinct_words(texts, split, buckets, chunk), merge)
     coded = chunks.coded_texts(texts, split, buckets, chunk)
-    return chunks.reassembled(found, coded, join, f"key {kind}, n_tokens long, ids binary").withColumnRenamed("key", id_col)
+    schema = f"key {kind}, n_tokens long, ids binary" + ", bytes binary" * decoded
+    return chunks.reassembled(found, coded, join, schema).withColumnRenamed("key", id_col)
 
 
 @functools.cache
@@ -146,6 +151,12 @@ def token_bytes(path: str) -> np.ndarray:
     return table
 
 
+def spelled(ids: list[bytes | None], path: str) -> pa.Array:
+    """The bytes that packed ids stand for: each id joined with its row of the token-byte table."""
+    table = token_bytes(path)
+    return pa.array([b"".join(table[np.frombuffer(x or b"", dtype="<u4")].tolist()) for x in ids], type=pa.binary())
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
     """Adds the bytes that the ids of each row stand for: the join with the token-byte table, held by each task."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema if f.name != out_col)}, `{out_col}` binary"
@@ -153,13 +164,11 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     names, where = plain.columns, plain.columns.index(ids_col)
 
     def run(batches):
-        table = token_bytes(path)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                ids = batch.column(where).to_pylist()
-                out = [b"".join(table[np.frombuffer(x or b"", dtype="<u4")].tolist()) for x in ids]
-                yield pa.record_batch([*batch.columns, pa.array(out, type=pa.binary())], names=[*names, out_col])
+                out = spelled(batch.column(where).to_pylist(), path)
+                yield pa.record_batch([*batch.columns, out], names=[*names, out_col])
 
     return plain.mapInArrow(run, schema)
 
@@ -172,6 +181,7 @@ def ids_array(ids: str | object) -> object:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), pick)).otherwise(F.array().cast("array<bigint>"))
 
 
-def digests(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Per row: number of ids, digest of the ids, digest of the decoded bytes."""
-    return decode(encoded, path).select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
+    """Per row: number of ids, digest of the ids, digest of the bytes that they decode to."""
+    both = encode(docs, path, pattern, id_col, decoded=True)
+    return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

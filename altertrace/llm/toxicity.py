@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from altertrace.llm.text import U64, Words, slices, small_batches, span_hashes
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 FEATURES = 4096
 MIN_BAGS = 5
 STEMS = (3, 4, 5, 6)  # bytes of a word's beginning

@@ -105,31 +105,13 @@ def emission_rows(params: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def _usable(cov: np.ndarray) -> bool:
-    if not np.all(np.isfinite(cov)):
-        return False
-    try:
-        np.linalg.cholesky(cov)
-    except np.linalg.LinAlgError:
-        return False
-    return bool(np.linalg.cond(cov) < 1.0 / np.finfo(float).eps)
-
-
 def repaired(cov: np.ndarray) -> np.ndarray:
-    """The matrix itself, or the first usable of: floor the variances, raise them
-    all, fill the zeros, keep raised variances only."""
-    var = np.diag(cov).copy()
-    eye = np.eye(len(cov), dtype=bool)
-    options = (
-        cov,
-        np.where(eye, np.maximum(var, TINY), cov),
-        np.where(eye, var + TINY, cov),
-        np.where(cov == 0, TINY, cov),
-    )
-    for option in options:
-        if _usable(option):
-            return option
-    return np.diag(np.maximum(var, TINY))
+    """The matrix itself if its eigenvalues can be inverted; else the same with small eigenvalues raised to ``TINY``."""
+    cov = np.where(np.isfinite(cov), cov, 0.0)
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    if values[0] > np.finfo(float).eps * max(values[-1], TINY):
+        return cov
+    return (vectors * np.maximum(values, TINY)) @ vectors.T
 
 
 def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

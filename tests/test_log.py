@@ -1,4 +1,7 @@
-"""Log operators on the mock log and hand-made logs."""
+"""Log operators on a drawn log and hand-made logs."""
+
+import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,18 +15,25 @@ from altertrace.operators import traces as tr
 from altertrace.plans.ordering import ordered
 from altertrace.schema import PRESETS, LogSchema, limited
 from altertrace.sources import logs
-from altertrace.sources.mock import mock_event_log
 
 
-def test_mock_log_facts(spark):
-    log = mock_event_log(spark)
-    lengths = {r["length"]: r["n_cases"] for r in tr.trace_length_distribution(log).collect()}
-    assert lengths == {4: 26, 6: 19}
-    assert log.select("event_id").distinct().count() == 7
+def drawn_log(spark, seed=11):
+    """Twenty cases of three to six events with one column of each kind, drawn from a seed."""
+    draw, start, rows = random.Random(seed), datetime.datetime(2024, 1, 1), []
+    for case in range(20):
+        for pos in range(3 + case % 4):
+            when = start + datetime.timedelta(hours=97 * case + 5 * pos)
+            rows.append((case, pos, draw.choice("pqrst"), when, draw.random(), case % 2, "same", "gone", draw.choice(["yes", "no"]), draw.choice(["red", "green", "blue"]), when + datetime.timedelta(days=draw.randrange(90))))
+    return spark.createDataFrame(rows, "case_id int, pos int, event_id string, tm timestamp, ft_2 double, label int, a_constant string, to_drop_at_start string, a_binary string, a_categorical string, a_timestamp timestamp")
+
+
+def test_drawn_log_facts(spark):
+    lengths = {r["length"]: r["n_cases"] for r in tr.trace_length_distribution(drawn_log(spark)).collect()}
+    assert lengths == {3: 5, 4: 5, 5: 5, 6: 5}
 
 
-def test_mock_profile_flags(spark):
-    p = profile.flag_useless_columns(profile.profile_columns(mock_event_log(spark), "case_id", "event_id", "tm", "label"))
+def test_profile_flags(spark):
+    p = profile.flag_useless_columns(profile.profile_columns(drawn_log(spark), "case_id", "event_id", "tm", "label"))
     rows = {r["column"]: r for r in p.collect()}
     assert rows["a_constant"]["is_useless"] and rows["to_drop_at_start"]["is_useless"]
     assert rows["a_binary"]["is_binary"] and rows["a_categorical"]["is_categorical"]
@@ -33,13 +43,13 @@ def test_mock_profile_flags(spark):
 
 
 def test_approximate_profile_has_the_same_shape(spark):
-    exact = profile.profile_columns(mock_event_log(spark), "case_id")
-    rough = profile.profile_columns(mock_event_log(spark), "case_id", approx=True)
+    exact = profile.profile_columns(drawn_log(spark), "case_id")
+    rough = profile.profile_columns(drawn_log(spark), "case_id", approx=True)
     assert exact.columns == rough.columns and exact.count() == rough.count()
 
 
 def test_encoders_invert(spark):
-    log = mock_event_log(spark)
+    log = drawn_log(spark)
     enc = encode.fit_encoder(log, ["a_binary"], ["a_categorical"], ["ft_2"], ["tm"])
     back = enc.inverse(enc.transform(log)).select("case_id", "pos", "a_binary", "a_categorical", F.round("ft_2", 9).alias("ft_2"))
     want = log.select("case_id", "pos", "a_binary", "a_categorical", F.round("ft_2", 9).alias("ft_2"))

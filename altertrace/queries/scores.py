@@ -288,17 +288,22 @@ def _(spark, sf):
     return p.select(*KEYS, *[r6(v, n) for n, v in value.items()])
 
 
+def longest(traces):
+    """Events of the longest trace of the log."""
+    return traces.agg(F.max(F.size("acts"))).first()[0] or 0
+
+
 @query(
     "trace_helpers",
     f"WITH {TR}, p AS (SELECT case_id, n_events, list_transform(acts, lambda x, i: CASE WHEN i > 1 AND x = 3 THEN 0 ELSE x END) AS a FROM tr) "
-    "SELECT case_id, n_events AS n_from_start, 15 - n_events AS n_leading, list_contains(a, 0) AS has_holes FROM p",
+    "SELECT case_id, n_events AS n_from_start, (SELECT max(n_events) FROM tr) + 2 - n_events AS n_leading, list_contains(a, 0) AS has_holes FROM p",
 )
 def _(spark, sf):
     # activity 3 is blanked out behind the first event to make holes
     t = tr.build_traces(scaled_events(spark, sf), ORDER_KEYS, {"acts": F.col("act_id")})
     holed = F.transform("acts", lambda x, i: F.when((i > 0) & (x == 3), 0).otherwise(x))
     h = ms.trace_helpers(F.col("padded"))
-    out = t.select("case_id", tr.pad_left(holed, 15).alias("padded"))
+    out = t.select("case_id", tr.pad_left(holed, longest(t) + 2).alias("padded"))
     return out.select(
         "case_id",
         h["n_from_start"].cast("bigint").alias("n_from_start"),
@@ -574,9 +579,9 @@ def _(spark, sf):
     return j.groupBy("o_orderpriority").agg(r6(sc.smape("c_acctbal", "o_totalprice"), "smape"))
 
 
-@query("sequence_limits", f"WITH {TR} SELECT case_id, 16 - n_events AS \"start\", 16 AS \"end\", n_events AS length FROM tr")
+@query("sequence_limits", f"WITH {TR} SELECT case_id, (SELECT max(n_events) FROM tr) - n_events AS \"start\", (SELECT max(n_events) FROM tr) AS \"end\", n_events AS length FROM tr")
 def _(spark, sf):
     t = tr.build_traces(scaled_events(spark, sf), ORDER_KEYS, {"acts": F.col("act_id")})
     limits = sc.sequence_limits(F.col("p"))
-    out = t.select("case_id", tr.pad_left(F.col("acts"), 16, tail=1).alias("p"))
+    out = t.select("case_id", tr.pad_left(F.col("acts"), longest(t), tail=1).alias("p"))
     return out.select("case_id", *[c.cast("bigint").alias(n) for n, c in limits.items()])

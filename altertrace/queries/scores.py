@@ -89,7 +89,7 @@ def _(spark, sf):
 
 # -- feature distances --------------------------------------------------------
 
-_FF = "SELECT factual_id, cand_id, ff[1] AS a, cf[1] AS b FROM cpairs"
+_FF = "SELECT factual_id, cand_id, k AS pos, ff[k + 1] AS a, cf[k + 1] AS b FROM (SELECT *, unnest(range(least(na, nc))) AS k FROM cpairs)"
 _EU = "sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]) + (a[3] - b[3]) * (a[3] - b[3]))"
 _DF = "CAST((CASE WHEN a[1] <> b[1] THEN 1 ELSE 0 END) + (CASE WHEN a[2] <> b[2] THEN 1 ELSE 0 END) + (CASE WHEN a[3] <> b[3] THEN 1 ELSE 0 END) AS DOUBLE)"
 _CO = (
@@ -98,24 +98,27 @@ _CO = (
 )
 
 
-def _first_features(spark, sf, fn):
-    p = customer_pairs(spark, sf)
-    return p.select(*KEYS, r6(fn(F.get("fa_feats", F.lit(0)), F.get("feats", F.lit(0))), "distance"))
+def _event_features(spark, sf, fn):
+    """The distance of the features at every position that both traces of a pair have."""
+    p = customer_pairs(spark, sf).select(*KEYS, "fa_feats", "feats", F.least(F.size("fa_feats"), F.size("feats")).alias("n"))
+    both = F.arrays_zip(F.slice("fa_feats", F.lit(1), F.col("n")).alias("a"), F.slice("feats", F.lit(1), F.col("n")).alias("b"))
+    e = p.select(*KEYS, F.posexplode(both).alias("pos", "e"))
+    return e.select(*KEYS, F.col("pos").cast("bigint").alias("pos"), r6(fn(F.col("e.a"), F.col("e.b")), "distance"))
 
 
-@query("distance_euclidean", f"WITH {CPAIRS} SELECT factual_id, cand_id, {r6_sql(_EU)} AS distance FROM ({_FF})")
+@query("distance_euclidean", f"WITH {CPAIRS} SELECT factual_id, cand_id, pos, {r6_sql(_EU)} AS distance FROM ({_FF})")
 def _(spark, sf):
-    return _first_features(spark, sf, ds.distance_euclidean)
+    return _event_features(spark, sf, ds.distance_euclidean)
 
 
-@query("distance_count_differences", f"WITH {CPAIRS} SELECT factual_id, cand_id, {r6_sql(_DF)} AS distance FROM ({_FF})")
+@query("distance_count_differences", f"WITH {CPAIRS} SELECT factual_id, cand_id, pos, {r6_sql(_DF)} AS distance FROM ({_FF})")
 def _(spark, sf):
-    return _first_features(spark, sf, ds.distance_count_differences)
+    return _event_features(spark, sf, ds.distance_count_differences)
 
 
-@query("distance_cosine", f"WITH {CPAIRS} SELECT factual_id, cand_id, {r6_sql(_CO)} AS distance FROM ({_FF})")
+@query("distance_cosine", f"WITH {CPAIRS} SELECT factual_id, cand_id, pos, {r6_sql(_CO)} AS distance FROM ({_FF})")
 def _(spark, sf):
-    return _first_features(spark, sf, ds.distance_cosine)
+    return _event_features(spark, sf, ds.distance_cosine)
 
 
 @query(

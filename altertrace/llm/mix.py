@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from altertrace.plans.tables import cut, lookup
+
 BLOCK = 16
 CYCLE = 1000
 ROWS_PER_BUCKET = 50_000
@@ -80,6 +82,48 @@ def schedule(given: DataFrame, cycle: int) -> DataFrame:
     return every.select(F.col("source.source").alias("source"), F.col("source.share").alias("share"), slots.alias("slots"))
 
 
+class Places:
+    """Where the rows of ``docs`` go: their shuffled order, the buckets of a source and the schedule of a cycle."""
+
+    def __init__(self, docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, id_col: str, text_col: str, block: int, cycle: int, seed: int):
+        self.block, self.cycle = block, cycle
+        self.key = [F.col(source_col).alias("source"), shuffled(seed, id_col, text_col).alias("order"), F.col(id_col).alias("id")]
+        largest = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 0
+        bits = max(LEAST_BITS, math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET))))
+        # buckets follow the order, so that a row's number is the rows of earlier buckets and its place in its own
+        self.bucket = F.shiftright("order", 60 - bits)
+        counted = docs.select(*self.key).select("source", self.bucket.alias("bucket")).groupBy("source", "bucket").count()
+        earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        self.starts = counted.select("source", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+        if weights is None:
+            target = docs.select(F.col(source_col).alias("source")).distinct().withColumn("weight", F.lit(1.0))
+        else:
+            target = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
+        self.plan = schedule(shares(target, cycle), cycle)
+
+    def rows(self, docs: DataFrame, row: Column | None = None) -> DataFrame:
+        """The rows' keys and buckets, with ``row``."""
+        return docs.select(*([row.alias("row")] if row is not None else []), *self.key).withColumn("bucket", self.bucket)
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """Adds ``rank`` in the source, the least rank of the rows with the same key as ``tie``, ``share`` and ``slots``."""
+        starts = self.starts.alias("a").join(self.plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "share", "slots")
+        within = Window.partitionBy("source", "bucket").orderBy("order", "id")
+        placed = rows.withColumn("place", F.row_number().over(within) - 1).withColumn("first", F.rank().over(within) - 1)
+        same = placed["source"].eqNullSafe(starts["source"]) & (placed["bucket"] == starts["bucket"])
+        numbers = [(F.col("start") + F.col(c)).cast("long").alias(n) for c, n in (("place", "rank"), ("first", "tie"))]
+        return placed.join(starts, same).select(*[placed[c] for c in rows.columns], *numbers, "share", "slots")
+
+    def block_of(self, rank: str) -> Column:
+        return F.floor(F.col(rank) / F.lit(self.block)).cast("long")
+
+    def slot_of(self, rank: str) -> Column:
+        """The slot of a row by its rank, its source's share and slots; sources without a weight come behind everything."""
+        whole, share = self.block_of(rank), F.col("share")
+        slot = F.floor(whole / share) * F.lit(self.cycle) + F.element_at("slots", (whole % share + 1).cast("int"))
+        return F.coalesce(slot, F.lit(1 << 62) + whole).cast("long")
+
+
 def mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
     block: int = BLOCK, cycle: int = CYCLE, seed: int = 1, carry: list[str] | None = None,
@@ -89,35 +133,53 @@ def mix(
 
     Of the columns of ``docs`` those in ``carry`` stay, all if None. Without ``weights`` all sources get the same weight. Two jobs count the rows of a source's buckets; the rows move once.
     """
-    spark = docs.sparkSession
     added = ["mix_slot", "mix_block", "mix_rank", "mix_share"]
-    order = shuffled(seed, id_col, text_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns if c not in added]).alias("row"), F.col(source_col).alias("source"), order.alias("order"), F.col(id_col).alias("id"))
-    largest = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 0
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET))))
-    # buckets follow the order, so that a row's number is the rows of earlier buckets and its place in its own
-    bucket = F.shiftright("order", 60 - bits)
-    counted = rows.select("source", bucket.alias("bucket")).groupBy("source", "bucket").count()
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("source", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
-    if weights is None:
-        target = docs.select(F.col(source_col).alias("source")).distinct().withColumn("weight", F.lit(1.0))
-    else:
-        target = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-    plan = schedule(shares(target, cycle), cycle)
-    starts = starts.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "share", "slots")
-    within = Window.partitionBy("source", "bucket").orderBy("order", "id")
-    ranked = rows.withColumn("bucket", bucket).withColumn("place", F.row_number().over(within) - 1)
-    same = ranked["source"].eqNullSafe(starts["source"]) & (ranked["bucket"] == starts["bucket"])
-    rank = (F.col("start") + F.col("place")).cast("long")
-    whole = F.floor(rank / F.lit(block)).cast("long")
-    share = F.col("share")
-    slot = F.floor(whole / share) * F.lit(cycle) + F.element_at("slots", (whole % share + 1).cast("int"))
-    last = F.lit((1 << 62)) + whole  # without a weight: behind everything
-    return ranked.join(starts, same).select("row.*", F.coalesce(slot, last).cast("long").alias("mix_slot"), whole.alias("mix_block"), rank.alias("mix_rank"), share.alias("mix_share"))
-
-
-def interleaved(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the order of the mixture: written, they lie in the files one after the other."""
-    source = options.get("source_col", "source")
-    return mix(docs, **options).orderBy("mix_slot", source, "mix_rank").select(*docs.columns)
+    places = Places(docs, weights, source_col, id_col, text_col, block, cycle, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns if c not in added])
+    ranked = places.ranked(places.rows(docs, row))
+    return ranked.select("row.*", places.slot_of("rank").alias("mix_slot"), places.block_of("rank").alias("mix_block"), F.col("rank").alias("mix_rank"), F.col("share").alias("mix_share"))
+
+
+def _stretch(slot: Column, bounds: list[int]) -> Column:
+    """How many of the rising ``bounds`` are at most ``slot``, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    held = F.array(*[F.lit(b).cast("long") for b in bounds])
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda low, s: F.when(F.get(held, low + s - 1) <= slot, low + s).otherwise(low))
+
+
+def interleaved(
+    docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
+    block: int = BLOCK, cycle: int = CYCLE, seed: int = 1, partitions: int | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` in the order of the mixture: written, they lie in the files one after the other.
+
+    Whole rows move once. Keys alone are ranked first and written; the schedule is cut into ``partitions`` stretches of about as
+    many rows (as many as the session has shuffle partitions, if None), and for every stretch, source and bucket the least
+    key and the rank that it starts from are kept. With those a row finds its stretch from its own key, is sent there, and counts on
+    from that rank. Rows alike in id and text all lie in the stretch of the first of them.
+    """
+    spark = docs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = Places(docs, weights, source_col, id_col, text_col, block, cycle, seed)
+    # rows with the same key stay together, so a stretch takes all of them by the least of their ranks
+    keys = cut(places.ranked(places.rows(docs)).select("source", "bucket", "order", "id", "tie", places.slot_of("tie").alias("slot")))
+    quantiles = keys.agg(F.percentile_approx("slot", [i / n for i in range(1, n)] or [1.0], F.lit(max(10_000, 20 * n))).alias("q")).first()["q"]
+    bounds = sorted(set(quantiles or [])) if n > 1 else []
+    stretch = _stretch(F.col("slot"), bounds).alias("stretch")
+    firsts = keys.select("*", stretch).groupBy("source", "bucket", "stretch").agg(F.min(F.struct("order", "id")).alias("key"), F.min("tie").alias("tie"))
+    base = F.min("tie").over(Window.partitionBy("source", "stretch")).alias("base")  # one row for each bucket in it
+    edges = firsts.select("source", "bucket", F.struct("key", "stretch", base).alias("edge"))
+    edges = lookup(edges.groupBy("source", "bucket").agg(F.sort_array(F.collect_list("edge")).alias("edges")))
+
+    rows = places.rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    same = rows["source"].eqNullSafe(edges["source"]) & (rows["bucket"] == edges["bucket"])
+    own = F.array_max(F.filter("edges", lambda e: e["key"] <= F.struct("order", "id")))
+    sent = rows.join(edges, same).select(*[rows[c] for c in rows.columns], own.alias("own"))
+    sent = sent.select("row", "source", "order", "id", F.col("own.stretch").alias("stretch"), F.col("own.base").alias("base")).repartitionByRange(n, "stretch")
+    within = Window.partitionBy("stretch", "source").orderBy("order", "id")
+    ranked = sent.select("row", "source", (F.col("base") + F.row_number().over(within) - 1).cast("long").alias("rank"))
+    plan = lookup(places.plan)
+    placed = ranked.join(plan, ranked["source"].eqNullSafe(plan["source"]), "left").select("row", ranked["source"], "rank", places.slot_of("rank").alias("slot"))
+    return placed.sortWithinPartitions("slot", "source", "rank").select("row.*")

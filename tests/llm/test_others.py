@@ -113,6 +113,11 @@ def test_mix_stays_within_a_block(spark):
         for s in weights:
             assert abs(done[s] - (t + 1) * shares[s] / 1000) < 1
     assert sorted(r["doc_id"] or -1 for r in mix.interleaved(docs.drop("mix_slot")).collect()) == sorted(r[0] or -1 for r in rows)
+    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).drop("mix_slot")
+    for options in ({"block": 4}, {"weights": weights, "block": 1}):
+        order = [r["doc_id"] for r in mix.mix(once, **options).orderBy("mix_slot", "source", "mix_rank").collect()]
+        assert [r["doc_id"] for r in mix.interleaved(once, partitions=5, **options).collect()] == order
+    assert mix.interleaved(docs.where("false")).count() == 0
     assert mix.mix(docs.where("false")).count() == 0
 
 

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from altertrace.functions import draws
 from altertrace.plans.ordering import ordered
-from altertrace.plans.tables import lookup
+from altertrace.plans.tables import cut, lookup
 
 EPS = 2.220446049250313e-16  # machine epsilon of a double
 EDGE = 0  # start when it precedes an activity, end when it follows one
+MAX_OPTIONS = 4096  # options that become a literal map
+STEPS_A_TABLE = 8
 
 
 def transition_counts(pairs: DataFrame, left: str = "act_id", right: str = "next_id", padded_to: int | None = None) -> DataFrame:
@@ -136,11 +138,21 @@ def cumulative_chain(pairs: DataFrame) -> DataFrame:
     return lookup(shares.groupBy("last").agg(options.alias("options")))
 
 
-def sample_traces(ids: DataFrame, options: DataFrame, max_len: int, seed: int, key: list[str]) -> DataFrame:
+def log_length(pairs: DataFrame) -> int:
+    """Events of the longest case of the log."""
+    last = pairs.agg(F.max("pos")).first()[0]
+    return 0 if last is None else int(last) + 1
+
+
+def sample_traces(ids: DataFrame, options: DataFrame, max_len: int, seed: int, key: list[str], max_options: int = MAX_OPTIONS) -> DataFrame:
     """Walk the chain until it ends or ``max_len`` events; adds ``acts``.
 
-    Every round is a join with the small option table and one draw per open row.
+    A table of at most ``max_options`` options becomes a literal map, and every row walks through it in one expression. A larger
+    one is joined once a step; the walks are written every ``STEPS_A_TABLE`` steps.
     """
+    sizes = options.agg(F.sum(F.size("options")).alias("n")).first()["n"] or 0
+    if sizes <= max_options:
+        return _walk_in_place(ids, options.collect(), max_len, seed, key)
     out = ids.withColumns({"acts": F.array().cast("array<int>"), "last": F.lit(EDGE)})
     for k in range(max_len):
         u = draws.uniform(seed, *[F.col(c) for c in key], k)
@@ -154,8 +166,28 @@ def sample_traces(ids: DataFrame, options: DataFrame, max_len: int, seed: int, k
                 F.col("_next").alias("last"),
             )
         )
+        if k % STEPS_A_TABLE == STEPS_A_TABLE - 1:
+            out = cut(out)
     return out.drop("last")
 
 
+def _walk_in_place(ids: DataFrame, options: list, max_len: int, seed: int, key: list[str]) -> DataFrame:
+    empty = F.array().cast("array<int>")
+    if not options or max_len < 1:
+        return ids.withColumn("acts", empty)
+    held = F.create_map(*[c for r in options for c in (F.lit(r["last"]).cast("int"), F.array(*[F.struct(F.lit(o["act"]).cast("int").alias("act"), F.lit(o["hi"]).alias("hi")) for o in r["options"]]))])
+
+    def step(state: Column, k: Column) -> Column:
+        # the draw is bound once, as the only item of an array
+        drawn = F.array(draws.uniform(seed, *[F.col(c) for c in key], k))
+        found = F.transform(drawn, lambda u: F.get(F.filter(F.try_element_at(held, state["last"]), lambda o: u < o["hi"]), 0)["act"])
+        nxt = F.transform(found, lambda act: F.nullif(act, F.lit(EDGE)))
+        moved = F.transform(nxt, lambda act: F.struct(F.when(act.isNull(), state["acts"]).otherwise(F.array_append(state["acts"], act)).alias("acts"), act.alias("last")))
+        return F.when(state["last"].isNull(), state).otherwise(F.get(moved, 0))
+
+    start = F.struct(empty.alias("acts"), F.lit(EDGE).cast("int").alias("last"))
+    return ids.withColumn("acts", F.aggregate(F.sequence(F.lit(0), F.lit(max_len - 1)), start, step, lambda s: s["acts"]))
+
+
 def log_probability(p: Column) -> Column:
     return F.log(p + EPS)

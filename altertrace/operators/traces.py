@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from altertrace.functions import draws
 from altertrace.operators.encode import category_codes
-from altertrace.plans.ordering import ONE_IN, number_rows, ordered, segmented
+from altertrace.plans.ordering import ONE_IN, large_groups, number_rows, ordered
 from altertrace.plans.tables import cut, lookup, one_row
 
 PAD = 0
@@ -55,21 +55,31 @@ def decode_activities(log: DataFrame, vocab: DataFrame) -> DataFrame:
 # -- traces -------------------------------------------------------------------
 
 
+MAX_EVENTS = 2_000_000
+
+
 def build_traces(
-    log: DataFrame, order: Sequence[str], value: dict[str, Column], case: str = "case_id", one_in: int = ONE_IN
+    log: DataFrame, order: Sequence[str], value: dict[str, Column], case: str = "case_id", max_events: int = MAX_EVENTS, one_in: int = ONE_IN
 ) -> DataFrame:
-    """One row per case with ordered arrays.
+    """One row per case with ordered arrays of all its events.
 
-    An array must fit one row, so a very large case comes out as several rows with
-    consecutive ``part`` numbers (all others have the single part 0). Parts of one
-    case are built by different tasks.
+    An array must fit one row: a case of more than ``max_events`` events stops with an error and is never cut. Large
+    cases are found by the hash sample of ``plans.ordering`` and counted before any array is built; what the sample
+    misses fails in the row itself. Steps that need no array (positions, neighbours, running sums) take cases of any size.
     """
     order = list(order)
+    large = large_groups(log, [case], order, one_in)
+    if large is not None:
+        sizes = log.join(large, case, "left_semi").groupBy(case).agg(F.count(F.lit(1)).alias("n"))
+        over = sizes.where(F.col("n") > max_events).first()
+        if over:
+            raise ValueError(f"case {over[case]} has {over['n']} events, more than max_events = {max_events}")
     picked = log.select(case, *order, *[c.alias(f"_v_{n}") for n, c in value.items()])
-    parts = segmented(picked, [case], order, one_in)
     fields = F.struct(*order, *[F.col(f"_v_{n}").alias(n) for n in value])
-    rows = parts.groupBy(case, F.col("_seg").alias("part")).agg(F.sort_array(F.collect_list(fields)).alias("_ev"))
-    return rows.select(case, "part", *[F.col("_ev")[n].alias(n) for n in value], F.size("_ev").alias("n_events"))
+    rows = picked.groupBy(case).agg(F.sort_array(F.collect_list(fields)).alias("_ev"))
+    size = F.size("_ev")
+    fits = F.when(size <= max_events, size).otherwise(F.raise_error(F.lit(f"a case has more than max_events = {max_events} events")).cast("int"))
+    return rows.select(case, *[F.col("_ev")[n].alias(n) for n in value], fits.alias("n_events"))
 
 
 def sequence_text(acts: Column | str, sep: str = TEXT_SEP, width: int = 0) -> Column:

@@ -76,6 +76,12 @@ def _segment_of(cuts: Column, key: Column) -> Column:
     return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
 
 
+def large_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], one_in: int = ONE_IN) -> DataFrame | None:
+    """Keys of the groups that the sample finds large (some may be small by chance), or None."""
+    cuts = _cut_points(df, list(keys), list(order), one_in)
+    return None if cuts is None else cuts.select(*keys)
+
+
 def segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], one_in: int = ONE_IN) -> DataFrame:
     """Add ``_seg``: 0 for ordinary groups, consecutive ranges for large ones."""
     keys, order = list(keys), list(order)

@@ -89,7 +89,7 @@ def order_encoded(spark: SparkSession, sf: str, vocab: DataFrame | None = None)
 
 
 def order_traces(spark: SparkSession, sf: str, feats: bool = False, vocab: DataFrame | None = None) -> DataFrame:
-    """``case_id, part, acts[, feats], n_events`` of the order log."""
+    """``case_id, acts[, feats], n_events`` of the order log."""
     value = {"acts": F.col("act_id")}
     if feats:
         value["feats"] = F.array(*FEATURES)

@@ -296,7 +296,8 @@ def _(spark, sf):
 
 # -- sampling -----------------------------------------------------------------
 
-MAX_LEN = 6
+#: SQL for the events of the longest case
+LENGTH = "(SELECT max(pos) + 1 FROM mev)"
 CUM = """
 cc AS (SELECT act_id AS last, coalesce(next_id, 0) AS act, count(*) AS n FROM mev GROUP BY ALL
        UNION ALL SELECT 0, act_id, count(*) FROM mev WHERE pos = 0 GROUP BY act_id),
@@ -304,7 +305,7 @@ cum AS (SELECT last, act, sum(n) OVER (PARTITION BY last ORDER BY act) / sum(n)
                (sum(n) OVER (PARTITION BY last ORDER BY act) - n) / sum(n) OVER (PARTITION BY last) AS lo FROM cc)"""
 
 
-def walk_sql(ids: str, keys: list[str], seed: int, max_len: int) -> str:
+def walk_sql(ids: str, keys: list[str], seed: int, max_len: str = LENGTH) -> str:
     """CTE ``walk`` with one row per id and step, and ``sampled`` with the id lists."""
     u = uniform_sql(seed, *[f"w.{k}" for k in keys], "w.k")
     names = ", ".join(keys)
@@ -321,11 +322,11 @@ def sampled_ids(spark, sf):
 
 @query(
     "sample_traces",
-    f"WITH RECURSIVE {MEV}, {CUM}, {walk_sql('SELECT o_orderkey AS id FROM orders', ['id'], SEED, MAX_LEN)} SELECT id, {text()} AS acts FROM sampled",
+    f"WITH RECURSIVE {MEV}, {CUM}, {walk_sql('SELECT o_orderkey AS id FROM orders', ['id'], SEED)} SELECT id, {text()} AS acts FROM sampled",
 )
 def _(spark, sf):
-    options = lm.cumulative_chain(step_events(spark, sf))
-    return lm.sample_traces(sampled_ids(spark, sf), options, MAX_LEN, SEED, ["id"]).select("id", tr.sequence_text("acts").alias("acts"))
+    ev = step_events(spark, sf)
+    return lm.sample_traces(sampled_ids(spark, sf), lm.cumulative_chain(ev), lm.log_length(ev), SEED, ["id"]).select("id", tr.sequence_text("acts").alias("acts"))
 
 
 def draw_features_sql(keys: list[str], seed: int) -> str:

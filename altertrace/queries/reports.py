@@ -273,7 +273,7 @@ def _(spark, sf):
 
 
 _SEED = 19
-PROBS = f"""{CUM}, {walk_sql('SELECT o_orderkey AS id FROM orders', ['id'], _SEED, 6)}, {CHAIN},
+PROBS = f"""{CUM}, {walk_sql('SELECT o_orderkey AS id FROM orders', ['id'], _SEED)}, {CHAIN},
 tp AS (SELECT case_id AS id, sum(ln(p_step + {EPS_SQL})) AS ll, count(*) AS n FROM mev JOIN chain USING (prev_id, act_id) GROUP BY case_id),
 ss AS (SELECT id, acts[k] AS act_id, coalesce(acts[k - 1], 0) AS prev_id FROM (SELECT *, unnest(range(1, len(acts) + 1)) AS k FROM sampled)),
 sp AS (SELECT id, sum(ln(p_step + {EPS_SQL})) AS ll, count(*) AS n FROM ss JOIN chain USING (prev_id, act_id) GROUP BY id),
@@ -283,7 +283,7 @@ report AS (SELECT id, round(exp(ll / n), 9) AS p, n, 'true' AS case_origin FROM
 def _probabilities(spark, sf):
     ev, chain = fitted_chain(spark, sf)
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    sampled = lm.sample_traces(ids, lm.cumulative_chain(ev), 6, _SEED, ["id"])
+    sampled = lm.sample_traces(ids, lm.cumulative_chain(ev), lm.log_length(ev), _SEED, ["id"])
 
     def scored(steps):
         out = lm.trace_log_likelihood(lm.trace_transition_probability(steps, chain), "id")

@@ -83,7 +83,7 @@ _DRAWN = draw_features_sql(["factual_id", "cand_id", "pos"], SEED)
 
 @query(
     "generate_sampled",
-    f"""WITH RECURSIVE {FIRSTS}, {CUM}, {walk_sql(_IDS, ['factual_id', 'cand_id'], SEED, 6)}, {MOMENTS}, {BAYES},
+    f"""WITH RECURSIVE {FIRSTS}, {CUM}, {walk_sql(_IDS, ['factual_id', 'cand_id'], SEED)}, {MOMENTS}, {BAYES},
 st AS (SELECT factual_id, cand_id, k AS pos, acts[k + 1] AS act_id FROM (SELECT *, unnest(range(len(acts))) AS k FROM sampled)),
 dr AS (SELECT factual_id, cand_id, {_DRAWN} FROM st JOIN par USING (act_id)),
 fs AS (SELECT factual_id, cand_id, sum(x0) AS a, sum(x1) AS b, sum(x2) AS c FROM dr GROUP BY ALL)
@@ -91,8 +91,8 @@ SELECT factual_id, cand_id, {text()} AS acts, {r6_sql('coalesce(a, 0)')} AS x0,
 FROM sampled LEFT JOIN fs USING (factual_id, cand_id)""",
 )
 def _(spark, sf):
-    options = lm.cumulative_chain(step_events(spark, sf))
-    out = gen.generate_sampled(factuals_of(spark, sf), options, fit_default(spark, sf), N, 6, SEED)
+    ev = step_events(spark, sf)
+    out = gen.generate_sampled(factuals_of(spark, sf), lm.cumulative_chain(ev), fit_default(spark, sf), N, lm.log_length(ev), SEED)
     sums = [r6(_feature_sum(i), f"x{i}") for i in range(D)]
     return out.select(*KEYS, tr.sequence_text("acts").alias("acts"), *sums)
 

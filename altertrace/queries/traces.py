@@ -76,10 +76,10 @@ def _(spark, sf):
     return tr.decode_activities(coded, vocab).select("case_id", "line", "part_id", "activity", "act_id")
 
 
-@query("build_traces", f"WITH {TR} SELECT case_id, 0 AS part, {text()} AS acts, n_events FROM tr")
+@query("build_traces", f"WITH {TR} SELECT case_id, {text()} AS acts, n_events FROM tr")
 def _(spark, sf):
     t = order_traces(spark, sf)
-    return t.select("case_id", "part", _text().alias("acts"), F.col("n_events").cast("bigint").alias("n_events"))
+    return t.select("case_id", _text().alias("acts"), F.col("n_events").cast("bigint").alias("n_events"))
 
 
 @query(

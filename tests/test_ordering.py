@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from altertrace.operators import logmodel as lm
 from altertrace.operators.traces import build_traces
 from altertrace.plans import tables
 from altertrace.plans.ordering import exact_median, number_rows, ordered, segmented
@@ -38,13 +39,24 @@ def test_large_group_is_cut_into_many_segments(spark, sf):
     assert max(r["count"] for r in parts) < df.count() / 20
 
 
-def test_traces_of_large_cases_come_in_parts(spark, sf):
+def test_large_cases_stay_one_trace_or_stop(spark, sf):
     df = order_events(spark, sf).withColumn("case_id", F.lit(5)).dropDuplicates(ORDER_KEYS)
-    whole = build_traces(df, ORDER_KEYS, {"acts": F.col("activity")})
-    parts = build_traces(df, ORDER_KEYS, {"acts": F.col("activity")}, one_in=32)
-    assert whole.count() == 1 and parts.count() > 20
-    joined = [a for r in parts.orderBy("part").collect() for a in r["acts"]]
-    assert joined == whole.first()["acts"]
+    whole = build_traces(df, ORDER_KEYS, {"acts": F.col("activity")}).first()
+    sampled = build_traces(df, ORDER_KEYS, {"acts": F.col("activity")}, one_in=32).collect()
+    assert len(sampled) == 1 and sampled[0]["acts"] == whole["acts"] and whole["n_events"] == df.count()
+    with pytest.raises(ValueError, match="case 5"):
+        build_traces(df, ORDER_KEYS, {"acts": F.col("activity")}, max_events=100, one_in=32)
+    with pytest.raises(Exception, match="max_events"):
+        build_traces(df, ORDER_KEYS, {"acts": F.col("activity")}, max_events=100).collect()
+
+
+def test_every_logged_length_can_be_sampled(spark):
+    options = spark.createDataFrame([(0, [(1, 1.0)]), (1, [(1, 1.0)])], "last int, options array<struct<act:int,hi:double>>")
+    ids = spark.range(20)
+    in_one = lm.sample_traces(ids, options, 21, 3, ["id"]).collect()
+    joined = lm.sample_traces(ids, options, 21, 3, ["id"], max_options=1).collect()
+    assert {tuple(r["acts"]) for r in in_one} == {(1,) * 21}
+    assert sorted(in_one) == sorted(joined)
 
 
 def test_descending_order_and_median(spark):

@@ -110,15 +110,17 @@ def cumulative_log_likelihood(steps: DataFrame, case: str = "case_id", p: str =
 
 def step_rows(traces: DataFrame, keys: list[str], feats: str | None = None) -> DataFrame:
     """Events of array traces with position, activity and previous activity."""
-    # the outer form keeps Spark from pushing "acts is not empty" below a generator's expressions
-    cols = [F.posexplode_outer("acts").alias("pos", "act_id")]
-    held = [c for c in ("acts", feats) if c]
-    out = traces.select(*keys, *held, *cols)
-    prev = F.when(F.col("pos") > 0, F.get("acts", F.col("pos") - 1)).otherwise(F.lit(EDGE))
-    out = out.withColumn("prev_id", prev)
-    if feats:
-        out = out.withColumn("x", F.get(feats, F.col("pos")))
-    return out.drop(*held).where("act_id IS NOT NULL")
+    acts = F.col("acts")
+
+    def event(act: Column, i: Column) -> Column:
+        prev = F.when(i > 0, F.get(acts, i - 1)).otherwise(F.lit(EDGE))
+        x = [F.get(feats, i).alias("x")] if feats else []
+        return F.struct(act.alias("act_id"), prev.alias("prev_id"), *x)
+
+    # neighbours are paired inside the trace, so that an exploded row carries its own event only; the outer form
+    # keeps Spark from pushing "acts is not empty" below a generator's expressions
+    out = traces.select(*keys, F.posexplode_outer(F.transform(acts, event)).alias("pos", "_event"))
+    return out.select(*keys, "pos", "_event.*").where("act_id IS NOT NULL")
 
 
 # -- sampling -----------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines (blocks of the page). A line counts with the length of its text; navigation, forms, adverts
-and the like count nothing, nor does what lies outside the article where a page marks one, nor lines that are mostly links.
+and the like (told by tag, class, id and role) count nothing, nor do lines that are mostly links.
 Sums over sliding windows of lines rise at a surge point, where text begins, and end at a dive point, where nothing more
-follows within the window; the lines of text between the points are kept.
+follows within the window; the lines of text between the points are kept. An element that marks an article widens this: with a
+surge point in it, all its lines of text are kept. What lies outside of it is judged by the windows as on any page.
 
 Defined results: a null, empty or text-free page has an empty text; ids and urls may be null and repeat; rows are worked
 on one by one, so ties do not arise; other columns are ignored; texts are neither cut nor capped.
@@ -45,39 +46,40 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|disp
 MARKED = re.compile(MARKS, re.I)
 
 WINDOW = 3
-#: Characters that a window must hold where running text begins on a page that marks no article.
+#: Characters that a window must hold where running text begins.
 SURGE = 60
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
-    """The lines of a page: text, whether it is outside of the running text, whether it is in an article, characters in links."""
-    out: list[tuple[str, bool, bool, int]] = []
+def lines(page: str) -> list[tuple[str, bool, int, int]]:
+    """The lines of a page: text, whether it is outside of the running text, the number of its outermost article (0: none), characters in links."""
+    out: list[tuple[str, bool, int, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, opened something silent, opened an article
-    silent = article = links = linked = at = 0
+    silent = article = articles = titles = links = linked = at = 0
 
     def close() -> None:
         nonlocal linked
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((line, silent > 0, article > 0, linked))
+                out.append((line, silent > 0, articles if article else 0, linked))
             text.clear()
         linked = 0
 
     def pop(n: int) -> None:
-        nonlocal silent, article, links
+        nonlocal silent, article, titles, links
         while len(stack) > n:
             name, quiet, main = stack.pop()
             silent -= quiet
             article -= main
+            titles -= name == "h1"
             links -= name == "a"
 
     def say(part: str) -> None:
         nonlocal linked
         if part:
             text.append(part)
-            if links:
+            if links and not (article and titles):  # an article's title may link to itself
                 linked += len(part.strip())
 
     for m in TOKEN.finditer(page):
@@ -109,7 +111,9 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         main = name in ("article", "main") or "main" in marks.split()
         stack.append((name, quiet, main))
         silent += quiet
+        articles += main and not article
         article += main
+        titles += name == "h1"
         links += name == "a"
         if name == "title":
             silent, stack[-1] = silent + (not quiet), (name, True, main)
@@ -118,16 +122,25 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
+def window_sums(weights: np.ndarray, window: int) -> np.ndarray:
+    """``sums[i]`` adds the lengths of lines i to i + window - 1."""
+    n = weights.size
+    total = np.concatenate([[0], np.cumsum(weights), np.full(window, weights.sum())])
+    return total[window : window + n] - total[:n]
+
+
+def surges(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
+    """Which lines are surge points: lines with text whose window sum reaches ``surge``."""
+    return (window_sums(weights, window) >= surge) & (weights > 0)
+
+
 def kept(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
     """Which lines lie between a surge point and the next dive point.
 
-    ``sums[i]`` adds the lengths of lines i to i + window - 1. A surge point is a line with text whose sum reaches ``surge``;
-    the dive point after it is the first line whose sum is 0, so that no text follows within a whole window.
+    The dive point after a surge is the first line whose window sum is 0, so that no text follows within a whole window.
     """
     n = weights.size
-    total = np.concatenate([[0], np.cumsum(weights), np.full(window, weights.sum())])
-    sums = total[window : window + n] - total[:n]
-    points = np.where((sums >= surge) & (weights > 0), 1, np.where(sums == 0, -1, 0))
+    points = np.where(surges(weights, window, surge), 1, np.where(window_sums(weights, window) == 0, -1, 0))
     at = np.maximum.accumulate(np.where(points != 0, np.arange(n), -1))  # the last surge or dive point so far
     inside = (at >= 0) & (points[at] > 0)
     return inside & (weights > 0)
@@ -136,18 +149,20 @@ def kept(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.nd
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of one page.
 
-    Where the page marks an article, all its lines count, however short: any text is a surge. Where nothing on a page
-    without such a mark reaches ``surge``, its short lines are the text.
+    An article that holds a surge point is kept with all its lines, however short. Where nothing on a page reaches ``surge``,
+    its short lines are the text.
     """
     found = lines(page or "")
     if not found:
         return ""
-    marked = any(article and not quiet for _, quiet, article, _ in found)
     weights = np.zeros(len(found), dtype=np.int64)
-    for i, (text, quiet, article, linked) in enumerate(found):
-        if not (quiet or (marked and not article) or (not marked and 2 * linked > len(text))):
+    for i, (text, quiet, _, linked) in enumerate(found):
+        if not (quiet or 2 * linked > len(text)):
             weights[i] = len(text)
-    keep = kept(weights, window, 1 if marked else surge)
+    keep = kept(weights, window, surge)
+    article = np.array([a for _, _, a, _ in found])
+    whole = np.unique(article[(article > 0) & surges(weights, window, surge)])
+    keep |= np.isin(article, whole) & (weights > 0)
     if not keep.any():
         keep = weights > 0
     return " ".join(line[0] for line, k in zip(found, keep) if k)

@@ -72,6 +72,16 @@ def test_main_text(spark):
     assert len(got) == len(data) and html.extract(pages(spark, [])).count() == 0
 
 
+def test_main_text_of_marked_pages_follows_the_windows():
+    long = "A sentence of running text that is long enough to count as such."
+    links = "<ul><li><a href=x>one more story</a></li><li><a href=y>another story</a></li></ul>"
+    # an article mark on a teaser card does not take the body away
+    assert html.main_text(f"<body><article><p>Read on</p></article>{links}<hr>{links}<div><p>{long}</p><p>End.</p></div></body>") == f"{long} End."
+    # lists of links in the article are left out, its short lines are not
+    page = f"<article><h1><a href=/here>Title</a></h1>{links * 2}<p>By me</p>{links * 2}<p>{long}</p>{links * 2}<p>Short end.</p></article>"
+    assert html.main_text(page) == f"Title By me {long} Short end."
+
+
 @pytest.mark.parametrize("bits,scale", [(6, 256), (2, 256), (3, 1)])
 def test_topk_equals_brute_force(spark, bits, scale):
     draw = np.random.default_rng(4)

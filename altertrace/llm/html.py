@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from altertrace.llm.text import small_batches
 
-#: Fixed sets of element names: those left out with all they hold; those that end a line; those without an end tag.
-SILENT = "script style noscript template svg math iframe object canvas head select option textarea button".split()
-ASIDE = "nav header footer aside form menu dialog figure fieldset".split()
+#: Fixed sets of element names: those left out with all they hold, without a line; those of them that end where a block begins;
+#: those whose lines are not running text; those that end a line; those without an end tag.
+SILENT = "noscript template svg math iframe object canvas select option textarea button".split()
+BROKEN = "svg math select option".split()
+ASIDE = "head nav header footer aside form menu dialog".split()
 BLOCKS = (
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead title tr ul br aside menu dialog"
@@ -37,10 +40,12 @@ MARKS = (
     r"comments?|commentlist|respond|replies|reply|disqus|newsletter|subscribe|signup|login|search|widget|pagination|pager|complementary|contentinfo)(?:$|[\s_-])"
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"|<(textarea|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
+ENDS = re.compile(rf"</({'|'.join(SILENT)})\b", re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 MARKED = re.compile(MARKS, re.I)
@@ -55,7 +60,8 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
     out: list[tuple[str, bool, int, int]] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, opened something silent, opened an article
-    silent = article = articles = titles = links = linked = at = 0
+    silent = hushed = article = articles = titles = links = linked = at = 0
+    ends = Counter(m[1].lower() for m in ENDS.finditer(page))  # the end tags that are still to come
 
     def close() -> None:
         nonlocal linked
@@ -67,17 +73,18 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
         linked = 0
 
     def pop(n: int) -> None:
-        nonlocal silent, article, titles, links
+        nonlocal silent, hushed, article, titles, links
         while len(stack) > n:
             name, quiet, main = stack.pop()
             silent -= quiet
+            hushed -= name in SILENT
             article -= main
             titles -= name == "h1"
             links -= name == "a"
 
     def say(part: str) -> None:
         nonlocal linked
-        if part:
+        if part and not hushed:
             text.append(part)
             if links and not (article and titles):  # an article's title may link to itself
                 linked += len(part.strip())
@@ -85,32 +92,41 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
     for m in TOKEN.finditer(page):
         say(page[at : m.start()])
         at = m.end()
-        name = m[3].lower() if m[3] else ""
-        if m[1]:
-            if m[1].lower() != "script" and m[1].lower() != "style":
-                close()
-            continue
+        name = m[4].lower() if m[4] else ""
         if not name:
+            if m[2]:
+                text.append(" ")
             continue
         if name in BLOCKS:
             close()
-        if m[2]:
+        if m[3]:
+            ends[name] -= name in SILENT
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             # an inline end tag does not close blocks around it
             if depth is not None and (name in BLOCKS or not any(s[0] in BLOCKS for s in stack[depth + 1 :])):
                 pop(depth)
             continue
-        if name in VOID or m[4].rstrip().endswith("/"):
+        if name in VOID or m[5].rstrip().endswith("/"):
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             pop(len(stack) - 1)
         if name == "body":
             pop(0)
-        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[4]))
-        quiet = name in SILENT or name in ASIDE or bool(marks and name not in ("html", "body", "article", "main") and MARKED.search(marks)) or bool(m[4] and HIDDEN.search(m[4]))
+        if name in BLOCKS and name != "title" and hushed:
+            broken = next((i for i, s in enumerate(stack) if s[0] in BROKEN), len(stack))
+            if not any(s[0] in BLOCKS or s[0] == "foreignobject" for s in stack[broken:]):
+                pop(broken)
+        if name in SILENT:
+            text.append(" ")
+            # without an end tag of its own it holds nothing; options, select and the like end with what is around them
+            if name not in BROKEN and ends[name] <= sum(s[0] == name for s in stack):
+                continue
+        marks = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(m[5]))
+        quiet = name in ASIDE or bool(marks and name not in ("html", "body", "article", "main") and MARKED.search(marks)) or bool(m[5] and HIDDEN.search(m[5]))
         main = name in ("article", "main") or "main" in marks.split()
         stack.append((name, quiet, main))
         silent += quiet
+        hushed += name in SILENT
         articles += main and not article
         article += main
         titles += name == "h1"
@@ -137,13 +153,21 @@ def surges(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.
 def kept(weights: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> np.ndarray:
     """Which lines lie between a surge point and the next dive point.
 
-    The dive point after a surge is the first line whose window sum is 0, so that no text follows within a whole window.
+    The dive point after a surge is the first line whose window sum is 0, so that no text follows within a whole window. The next
+    lines of text, up to another dive point, are kept too: between them and the surge lie only lines that count nothing.
     """
-    n = weights.size
     points = np.where(surges(weights, window, surge), 1, np.where(window_sums(weights, window) == 0, -1, 0))
-    at = np.maximum.accumulate(np.where(points != 0, np.arange(n), -1))  # the last surge or dive point so far
-    inside = (at >= 0) & (points[at] > 0)
-    return inside & (weights > 0)
+    keep = np.zeros(weights.size, dtype=bool)
+    inside = after = False
+    for i, (point, weight) in enumerate(zip(points.tolist(), weights.tolist())):
+        if point > 0:
+            inside, after = True, False
+        elif point < 0 and inside:
+            inside, after = False, not after
+        elif weight and after:
+            inside = True
+        keep[i] = inside and weight > 0
+    return keep
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

@@ -82,6 +82,22 @@ def test_main_text_of_marked_pages_follows_the_windows():
     assert html.main_text(page) == f"Title By me {long} Short end."
 
 
+def test_main_text_leaves_out_no_more_than_it_names():
+    long = "A sentence of running text that is long enough to count as such."
+    # figures and field sets are text
+    page = f"<article><p>{long}</p><figure><table><tr><td>cell<td>value</table><pre>code</pre><figcaption>Caption</figcaption></figure><fieldset>Set</fieldset></article>"
+    assert html.main_text(page) == f"{long} cell value code Caption Set"
+    # silent elements without an end tag do not take the rest
+    for tag in ("<select><option>no", "<object data=x>", "<canvas>", "<math><mi>no", "<svg><title>no</title><path d=''>", "<iframe src=x>", "<textarea>", "<button>", "<noscript>", "<template>"):
+        assert html.main_text(f"<body><p>{long}</p>{tag}<p>The rest.</p><p>{long}</p>") == f"{long} The rest. {long}"
+    for part in ("<select><option>no<option>no</select>", "<object><p>no</p></object>", "<svg><foreignObject><div>no</div></foreignObject></svg>", "<canvas><canvas>no</canvas>no</canvas>", "<textarea></p>no</textarea>", "<button>no</button>"):
+        assert html.main_text(f"<p>{long} A{part}b</p>") == f"{long} A b"
+    # a short close behind silent lines
+    silent = "<nav>a</nav>" * 4
+    assert html.main_text(f"<p>{long}</p>{silent}<p>It ends.</p>{silent}<p>Imprint</p>") == f"{long} It ends."
+    assert html.kept(np.array([200, 0, 0, 0, 0, 40])).tolist() == [True] + [False] * 4 + [True]
+
+
 @pytest.mark.parametrize("bits,scale", [(6, 256), (2, 256), (3, 1)])
 def test_topk_equals_brute_force(spark, bits, scale):
     draw = np.random.default_rng(4)

@@ -22,6 +22,7 @@ from altertrace.plans.tables import cut
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of words in repeated windows of three
 MIN_DOCS = 50  # a line in so few documents of a host is never boilerplate
+CHANCE = 3  # the same where the share alone is to decide: only repeats by chance are let off
 MAX_SHARE = 0.05  # of a host's documents that may hold a line
 MIN_LEFT = 0.5  # of a document's words that have to be left
 SYMBOLS = np.zeros(256, dtype=bool)

@@ -24,8 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and are not depleted without their host's frequent lines."""
-    return quality.kept_rows(docs)
+    """Documents that pass the rules and are not depleted without their host's frequent lines.
+
+    The share of a host's documents decides which lines are frequent, whatever the size of the host.
+    """
+    return quality.kept_rows(docs, min_docs=quality.CHANCE)
 
 
 def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

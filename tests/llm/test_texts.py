@@ -147,6 +147,17 @@ def test_quality_equals_brute_force(spark, rows):
     assert quality.kept_rows(table(spark, [])).count() == 0
 
 
+def test_pipeline_judges_hosts_of_any_size_by_share(spark):
+    import corpus_pipeline
+
+    line = " ".join(f"common{j}" for j in range(70))
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    for size in (50, 600):  # a tenth of the documents of either host holds the line
+        data = [(i, f"{line}\n{own(i)}" if i % 10 == 0 else own(i), "h") for i in range(size)]
+        left = {r["doc_id"] for r in corpus_pipeline.drop_poor(spark, table(spark, data), "").collect()}
+        assert left == {i for i in range(size) if i % 10}
+
+
 def test_lattice_base_and_marginals(spark, rows):
     path = public_tokenizers.path("piece_bpe_32k.model")
     out = {(r["doc_id"], r["n_tokens"]): r for r in lattice.score(table(spark, rows), path, chunk=3000).collect()}

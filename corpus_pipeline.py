@@ -2,16 +2,19 @@
 
 ``STAGES`` lists the stages in order. Each takes (spark, docs, sf_dir) and works on all rows that the stage before kept; its
 result is written as Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+The mixture is the order of the rows in the files of its stage; the last stage numbers them as ``place`` and keeps that order.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from altertrace.llm import bpe, mix, ngrams, quality, toxicity
-from altertrace.plans.tables import cut
+from altertrace.plans.tables import cut, lookup
 
 #: SQL cannot express the trained first stage; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -47,8 +50,26 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document."""
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The ids of every document, with its ``place`` in the rows of ``docs`` from 0 on, in that order."""
+    rows = docs.select(F.struct("doc_id", *located(docs)).alias("key"), "text")
+    out = cut(bpe.digests(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "key"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    counts = out.groupBy(F.col("key.file").alias("file")).count()
+    starts = lookup(counts.select("file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start")))
+    placed = out.join(starts, out["key.file"] == starts["file"])
+    return placed.select("key.doc_id", *out.columns[1:], (F.col("start") + F.col("key.row")).alias("place")).orderBy("place")
+
+
+def located(docs: DataFrame) -> list[Column]:
+    """Where a row lies: ``file`` (in the order of names) and ``row`` in it; by partitions if ``docs`` is not read from files."""
+    try:
+        found = docs.select("_metadata.file_name", "_metadata.row_index").columns
+    except AnalysisException:
+        found = []
+    if found:
+        return [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    at = F.monotonically_increasing_id()
+    return [F.lpad(F.shiftright(at, 33).cast("string"), 10, "0").alias("file"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")]
 
 
 STAGES = [
@@ -61,8 +82,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage for ``documents``."""
+    """The rows of the last stage for ``documents``, in the order of the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
-    return docs
+    return docs.orderBy("place")

@@ -181,6 +181,16 @@ def test_queries_are_registered():
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
 
 
+def test_pipeline_follows_the_mixture(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = [r["doc_id"] for r in mix.mix(docs).orderBy("mix_slot", "source", "mix_rank").collect()]
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert [r["doc_id"] for r in out] == want and [r["place"] for r in out] == list(range(len(want)))
+
+
 def test_pipeline_keeps_columns(spark, sf):
     import corpus_pipeline
 

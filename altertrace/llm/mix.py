@@ -4,9 +4,10 @@ The rows of a source, in an order drawn from a seed, form blocks. Time runs in s
 of a source is released at slot floor(i / w) and has to be placed before slot ceil((i + 1) / w); placing the released
 block with the earliest deadline in every slot keeps each source within one block of its share at any time.
 
-Weights are rounded to shares of a cycle of ``cycle`` slots. After a cycle every source stands exactly at its share, so
+Weights are rounded to shares of a cycle of ``cycle`` slots, or, where more sources have a weight, of ``SLOTS`` slots for each. After a cycle every source stands exactly at its share, so
 the schedule of one cycle repeats, and the slot of any block follows from its number alone. The schedule is one row as
-long as the cycle (a parameter), whatever the data; rows are numbered within their source from counts of buckets, so a
+long as the cycle (a parameter), whatever the data; only with more sources than its slots the driver lays it out, from one row
+for each source. Rows are numbered within their source from counts of buckets, so a
 source that holds a third of all rows is no more work for one task than any other.
 
 When a source runs out, its slots fall away and the others go on in their order: no row is left out. Until then the
@@ -20,16 +21,20 @@ their names.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from altertrace.plans.tables import cut, lookup
 
 BLOCK = 16
 CYCLE = 1000
+#: Slots for each source of a cycle that had to be made longer.
+SLOTS = 4
 ROWS_PER_BUCKET = 50_000
 LEAST_BITS = 6
 
@@ -43,7 +48,7 @@ def shuffled(seed: int, id_col: str, text_col: str) -> Column:
 def shares(weights: DataFrame, cycle: int) -> DataFrame:
     """``source, share`` in slots a cycle: largest remainders, at least one slot for each source with a weight above 0."""
     positive = weights.where("weight > 0")
-    one = Window.partitionBy(F.lit(0))  # as many rows as sources with a weight; they fit in one cycle
+    one = Window.partitionBy(F.lit(0))  # as many rows as sources with a weight; Places makes the cycle long enough for them
     exact = F.col("weight") / F.sum("weight").over(one) * F.lit(cycle)
     base = positive.select("source", exact.alias("exact")).withColumn("base", F.greatest(F.floor("exact"), F.lit(1)).cast("long"))
     rank = F.row_number().over(one.orderBy(F.desc(F.col("exact") - F.col("base")), F.col("source")))
@@ -82,13 +87,34 @@ def schedule(given: DataFrame, cycle: int) -> DataFrame:
     return every.select(F.col("source.source").alias("source"), F.col("source.share").alias("share"), slots.alias("slots"))
 
 
+def long_schedule(given: DataFrame, cycle: int) -> DataFrame:
+    """As :func:`schedule`, for sources by the thousand: the driver keeps the blocks in heaps, so a slot takes a logarithm of the sources."""
+    rows = given.orderBy("share", F.asc_nulls_first("source")).collect()
+    waiting = [(0, i) for i in range(len(rows))]  # release, source
+    ready: list[tuple[int, int]] = []  # deadline, source
+    slots: list[list[int]] = [[] for _ in rows]
+    for t in range(cycle):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * cycle // rows[i]["share"]), i))
+        if ready:
+            i = heapq.heappop(ready)[1]
+            slots[i].append(t)
+            if (n := len(slots[i])) < rows[i]["share"]:
+                heapq.heappush(waiting, (n * cycle // rows[i]["share"], i))
+    schema = StructType([*given.schema.fields, StructField("slots", ArrayType(IntegerType()))])
+    return given.sparkSession.createDataFrame([(*r, s) for r, s in zip(rows, slots)], schema)
+
+
 class Places:
     """Where the rows of ``docs`` go: their shuffled order, the buckets of a source and the schedule of a cycle."""
 
     def __init__(self, docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, id_col: str, text_col: str, block: int, cycle: int, seed: int):
-        self.block, self.cycle = block, cycle
+        self.block = block
         self.key = [F.col(source_col).alias("source"), shuffled(seed, id_col, text_col).alias("order"), F.col(id_col).alias("id")]
-        largest = docs.groupBy(source_col).count().agg(F.max("count")).first()[0] or 0
+        largest, n = docs.groupBy(source_col).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count(F.lit(1))).first()
+        n = n if weights is None else sum(w > 0 for w in weights.values())
+        self.cycle = cycle if n <= cycle else SLOTS * n
         bits = max(LEAST_BITS, math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET))))
         # buckets follow the order, so that a row's number is the rows of earlier buckets and its place in its own
         self.bucket = F.shiftright("order", 60 - bits)
@@ -99,7 +125,7 @@ class Places:
             target = docs.select(F.col(source_col).alias("source")).distinct().withColumn("weight", F.lit(1.0))
         else:
             target = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-        self.plan = schedule(shares(target, cycle), cycle)
+        self.plan = (schedule if n <= cycle else long_schedule)(shares(target, self.cycle), self.cycle)
 
     def rows(self, docs: DataFrame, row: Column | None = None) -> DataFrame:
         """The rows' keys and buckets, with ``row``."""

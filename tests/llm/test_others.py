@@ -147,6 +147,22 @@ def test_mix_stays_within_a_block(spark):
     assert mix.mix(docs.where("false")).count() == 0
 
 
+def test_mix_of_more_sources_than_slots(spark):
+    known = [(None, 70.0), ("a", 500.0), ("b", 300.0), ("c", 129.0), ("d", 1.0)]
+    given = mix.shares(spark.createDataFrame(known, "source string, weight double"), 1000)
+    slots = [{r["source"]: (r["share"], r["slots"]) for r in f(given, 1000).collect()} for f in (mix.schedule, mix.long_schedule)]
+    assert slots[0] == slots[1] and set(slots[0]) == {s for s, _ in known}
+    docs = spark.createDataFrame([(i, f"t{i}", f"s{i % 1500}") for i in range(3000)], "doc_id long, text string, source string")
+    for weights in (None, {f"s{i}": 1.0 + (i < 100) for i in range(1500)}):
+        out = mix.mix(docs, weights, block=1).collect()
+        assert len({r["mix_slot"] for r in out}) == len(out) == 3000 and max(r["mix_slot"] for r in out) < 6000
+        shares = {r["source"]: r["mix_share"] for r in out}
+        assert sum(shares.values()) == 6000 and all(abs(v - 6000 * (weights[s] / 1600 if weights else 1 / 1500)) < 1 for s, v in shares.items())
+        for r in out:  # released, and before its deadline
+            assert r["mix_block"] * 6000 // shares[r["source"]] <= r["mix_slot"] < -(-(r["mix_block"] + 1) * 6000 // shares[r["source"]])
+    assert mix.interleaved(docs, block=1).count() == 3000
+
+
 def test_chat_reads_back(spark):
     texts = ["<|im_end|>", "<\\|im_end\\|> <|", "a\\b<\\\\|x", "", None, "line\nline", "é😀<|im_start|>assistant\nok"]
     for t in texts:

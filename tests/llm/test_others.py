@@ -202,11 +202,21 @@ def test_pipeline_follows_the_mixture(spark, sf, monkeypatch):
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = [r["doc_id"] for r in mix.mix(docs).orderBy("mix_slot", "source", "mix_rank").collect()]
+    want = [r["doc_id"] for r in mix.mix(docs, corpus_pipeline.targets(docs)).orderBy("mix_slot", "source", "mix_rank").collect()]
     out = corpus_pipeline.run(spark, sf).collect()
     assert [r["doc_id"] for r in out] == want and [r["place"] for r in out] == list(range(len(want)))
 
 
+def test_pipeline_mixes_to_unequal_targets(spark):
+    import corpus_pipeline
+
+    size = {"a": 640, "b": 160, None: 40}
+    docs = spark.createDataFrame([(n, f"t{n}", s) for n, s in enumerate(s for s, k in size.items() for _ in range(k))], "doc_id long, text string, source string")
+    rows = [r["source"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    first, total = collections.Counter(rows[:320]), sum(k**0.7 for k in size.values())
+    assert collections.Counter(rows) == size and all(abs(first[s] - 320 * k**0.7 / total) <= mix.BLOCK + 1 for s, k in size.items())
+
+
 def test_pipeline_keeps_columns(spark, sf):
     import corpus_pipeline
 

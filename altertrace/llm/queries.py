@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altertrace.llm import bpe, chat, html, lattice, mix, ngrams, quality, topk, toxicity, warc
+from altertrace.llm import bpe, chat, codes, decontaminate, html, lattice, mix, ngrams, quality, topk, toxicity, trie, warc
 from altertrace.plans.tables import scratch_path
 
 #: name -> (query, SQL or None)
@@ -171,6 +171,77 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, carry=["doc_id"]).select("row.doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def codes_sql(rounds: int = codes.ROUNDS, parts: int = codes.PARTS, entries: int = codes.ENTRIES) -> str:
+    """SQL of the compressed vectors: a pair of common table expressions for each round."""
+    near = "SELECT p.vec_id, p.part, p.x, min_by({{'e': entry, 's': s}}, {{'s': s, 'e': entry}}) AS b FROM (SELECT p.vec_id, p.part, p.x, c.entry, CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS s FROM p JOIN c{0} c ON p.part = c.part) p GROUP BY ALL"
+    steps = [
+        f"""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"p AS (SELECT vec_id, i AS part, x[len(x) * i // {parts} + 1:len(x) * (i + 1) // {parts}] AS x FROM k, range({parts}) AS t(i))",
+        f"c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < {entries})",
+    ]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"""m{r} AS (SELECT part, entry, list(v ORDER BY j) AS x FROM (SELECT part, b.e AS entry, j, CAST(floor(CAST(SUM(x[j]) AS DOUBLE) / COUNT(*)) AS BIGINT) AS v
+  FROM a{r}, range(1, (SELECT max(len(x)) + 1 FROM p)) AS t(j) WHERE j <= len(x) GROUP BY ALL) GROUP BY ALL)""")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, COALESCE(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.part = m.part AND c.entry = m.entry)")
+    steps.append(f"z AS ({near.format(rounds)})")
+    steps.append("w AS (SELECT vec_id, string_agg(format('{:02x}', b.e), '' ORDER BY part) AS code, CAST(SUM(b.s) AS BIGINT) AS error FROM z GROUP BY vec_id)")
+    steps.append("l AS (SELECT label, CAST(SUM(error) AS BIGINT) AS label_error FROM w JOIN k USING (vec_id) GROUP BY label)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(steps)} SELECT w.vec_id, code, error, label_error, codebooks_sha256 FROM w JOIN k USING (vec_id) JOIN l ON k.label IS NOT DISTINCT FROM l.label, h"
+
+
+@query(codes_sql())
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors, with the errors of each and of its label."""
+    return codes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+TRIE = """
+WITH t AS (SELECT conv_id AS c, list({'r': COALESCE(role, ''), 't': COALESCE(text, '')} ORDER BY turn NULLS FIRST, role, text) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h FROM t),
+s AS (SELECT h.c, list_concat(COALESCE(b.w, [])[1:h.h], h.w[h.h + 1:]) AS w FROM h LEFT JOIN t b ON b.c = h.c - (h.c % 100 + 100) % 100),
+m AS (SELECT c, d, w[1:d] AS p, w[1:d - 1] AS up, len(w) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(w[d].t) END AS chars FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM s)),
+n AS (SELECT p, d, any_value(up) AS up, MIN(c) AS conv_id, COUNT(*) AS n_convs, (COUNT(*) - 1) * any_value(chars) AS own,
+  sha256(COALESCE(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT up, d - 1 AS d, COUNT(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, COALESCE(kids, 0) AS kids FROM n LEFT JOIN k ON n.d = k.d AND n.p = k.up),
+u AS (SELECT a.p, a.d, SUM(CASE WHEN b.kids = 0 THEN 1 ELSE 0 END) AS n_leaves, SUM(b.own) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) b JOIN f a ON a.d = b.e AND a.p = b.p[1:b.e] GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.kids AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN u ON f.d = u.d AND f.p = u.p LEFT JOIN f q ON q.d = f.d - 1 AND f.d > 0 AND q.p = f.up
+"""
+
+
+@query(TRIE)
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+LEAKS = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS g FROM b),
+k AS (SELECT DISTINCT n FROM g),
+x AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, k WHERE len(w) >= n)),
+f AS (SELECT x.r, x.i, x.n, g.item_id FROM x JOIN g ON x.n = g.n AND x.g = g.g),
+hit AS (SELECT r, COUNT(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM f)) GROUP BY r),
+it AS (SELECT r, COUNT(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT r, COALESCE(CAST(item_id AS VARCHAR), '') AS s FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, sha256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+"""
+
+
+@query(LEAKS)
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of benchmark items hit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digests(decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"]))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over ``documents``."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from altertrace.llm import chunks
-from altertrace.llm.text import small_batches, span_hashes
+from altertrace.llm.text import lean, small_batches, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: White space as the pattern's \s has it (Unicode White_Space).
@@ -170,7 +170,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
                 out = spelled(batch.column(where).to_pylist(), path)
                 yield pa.record_batch([*batch.columns, out], names=[*names, out_col])
 
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(lean(run), schema)
 
 
 def ids_array(ids: str | object) -> object:

@@ -13,6 +13,7 @@ the template can be read back. A loss mask lists the spans of the assistants' te
 
 Defined results: null texts and roles are empty; a null conversation or turn is a value of its own and nulls come first;
 turns that tie or repeat follow each other by role and text and all stay; a message whose parent is missing or its own is a root;
+where parents run in a circle, the message with the smallest id in it is a root too, so every message is in a tree;
 other columns are ignored; an empty table gives no rows; texts are whole.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from altertrace.llm.text import lean
 from altertrace.plans.tables import cut
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -76,6 +78,27 @@ def chain(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     return named.select("tree", "id", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def jumps(nodes: DataFrame, most: int) -> list[DataFrame]:
+    """Jumps to the 1st, 2nd, 4th, ... ancestor: ``t, a, up`` and the smallest id on the way, ``low``.
+
+    The last table is empty, or its jumps are longer than the ``most`` messages of a tree, so that they run in a circle.
+    """
+    out = [cut(nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("id").alias("a"), F.col("parent").alias("up"), F.least("id", "parent").alias("low")).distinct())]
+    while out[-1].take(1) and 1 << (len(out) - 1) <= most:
+        last = out[-1]
+        again = last.select(F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+        out.append(cut(last.join(again, F.col("t").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("a2"))).select("t", "a", F.col("up2").alias("up"), F.least("low", "low2").alias("low"))))
+    return out
+
+
+def opened(nodes: DataFrame, circling: DataFrame) -> DataFrame:
+    """``nodes`` in which the smallest message of every circle is a root. Jumps that long end in a circle and have been all around it."""
+    ends = circling.select(F.col("t").alias("t2"), F.col("up").alias("u")).distinct()
+    roots = circling.join(ends, F.col("t").eqNullSafe(F.col("t2")) & (F.col("a") == F.col("u"))).where("a = low").select("t", "a").distinct()
+    marked = nodes.join(roots, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("a")), "left")
+    return marked.select("tree", "id", F.when(F.col("a").isNull(), F.col("parent")).alias("parent"), "score")
+
+
 def branches(trees: DataFrame, best: int | None = None) -> DataFrame:
     """``tree, leaf, rank, id, depth_from_leaf``: the messages of the ``best`` root-to-leaf paths of each tree (all, if None).
 
@@ -85,17 +108,16 @@ def branches(trees: DataFrame, best: int | None = None) -> DataFrame:
     known = nodes.select(F.col("tree").alias("t"), F.col("id").alias("p")).distinct()
     tied = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")) & (F.col("parent") != F.col("id")), "left")
     nodes = cut(tied.select("tree", "id", F.col("p").alias("parent"), "score"))
+    most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    found = jumps(nodes, most)
+    if found[-1].take(1):
+        nodes = cut(opened(nodes, found[-1]))
+        found = jumps(nodes, most)
     parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("q")).distinct()
     leaves = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("q")), "left_anti")
-    # jumps by 2^k, until none is left
-    jumps = [cut(nodes.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("id").alias("a"), F.col("parent").alias("up")))]
-    while jumps[-1].take(1):
-        last = jumps[-1]
-        again = last.select(F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("up").alias("up2"))
-        jumps.append(cut(last.join(again, F.col("t").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("a2"))).select("t", "a", F.col("up2").alias("up"))))
     paths = leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("long").alias("depth"))
-    for k in range(len(jumps) - 2, -1, -1):
-        step = paths.join(jumps[k], F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("a"))).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
+    for k in range(len(found) - 2, -1, -1):
+        step = paths.join(found[k], F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("a"))).select("tree", "leaf", F.col("up").alias("id"), (F.col("depth") + (1 << k)).alias("depth"))
         paths = cut(paths.unionByName(step))
     if best is None:
         return paths.select("tree", "leaf", F.lit(None).cast("int").alias("rank"), "id", F.col("depth").alias("depth_from_leaf"))
@@ -145,7 +167,7 @@ def format_branches(trees: DataFrame, best: int = 1) -> DataFrame:
         if key is not None:
             yield out()
 
-    return ordered.mapInArrow(run, f"tree {kind}, rank int, n_turns long, formatted string, mask array<struct<start: bigint, end: bigint>>")
+    return ordered.mapInArrow(lean(run), f"tree {kind}, rank int, n_turns long, formatted string, mask array<struct<start: bigint, end: bigint>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -167,4 +189,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([b.column("tree"), *(pa.array(c, t) for c, t in zip(columns, types))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from altertrace.llm.text import Chunk, slices
+from altertrace.llm.text import Chunk, lean, slices
 
 CHUNK = 4 << 20
 
@@ -83,7 +83,7 @@ def distinct_words(texts: DataFrame, split: Splitter, buckets: int, size: int =
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "bucket", "sizes", "data"])
 
-    return texts.mapInArrow(run, "chunk long, bucket int, sizes binary, data binary")
+    return texts.mapInArrow(lean(run), "chunk long, bucket int, sizes binary, data binary")
 
 
 def parts(sizes: np.ndarray, data: bytes) -> list[bytes]:
@@ -111,7 +111,7 @@ def coded_texts(texts: DataFrame, split: Splitter, buckets: int, size: int = CHU
                 names = ["chunk", *(f.name for f in fields), "codes"]
                 yield pa.record_batch([pa.array(np.full(len(part), key)), *columns, blobs], names=names)
 
-    return texts.mapInArrow(run, f"chunk long, {ddl}, codes binary")
+    return texts.mapInArrow(lean(run), f"chunk long, {ddl}, codes binary")
 
 
 class Watched:
@@ -149,7 +149,7 @@ def on_each_word(words: DataFrame, work: Callable[[list[bytes]], list[bytes]]) -
                 out.append(zlib.compress(b"".join(results), 1))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out_sizes, pa.binary()), pa.array(out, pa.binary())], names=["chunk", "bucket", "sizes", "data"])
 
-    return ordered.mapInArrow(run, "chunk long, bucket int, sizes binary, data binary")
+    return ordered.mapInArrow(lean(run), "chunk long, bucket int, sizes binary, data binary")
 
 
 def reassembled(results: DataFrame, texts: DataFrame, join: Callable[[np.ndarray, bytes, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -165,4 +165,4 @@ def reassembled(results: DataFrame, texts: DataFrame, join: Callable[[np.ndarray
         return join(np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.uint32), data, right)
 
     by_chunk = texts.withColumnRenamed("chunk", "text_chunk").groupBy("text_chunk")
-    return results.groupBy("chunk").cogroup(by_chunk).applyInArrow(run, schema)
+    return results.groupBy("chunk").cogroup(by_chunk).applyInArrow(lean(run), schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import small_batches
+from altertrace.llm.text import lean, small_batches
 from altertrace.plans.tables import cut, lookup
 
 PARTS = 4
@@ -111,7 +111,7 @@ def vectors(df: DataFrame, vec_col: str, scale: int, *more: Column) -> DataFrame
                 lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1)))
                 yield pa.record_batch([pa.array(np.full(len(at), x.shape[1], dtype=np.int32)), lists, *(c.take(pa.array(at)) for c in b.columns[1:])], names=["d", "x", *(f.name for f in rest)])
 
-    return rows.mapInArrow(run, f"d int, x array<bigint>{ddl}")
+    return rows.mapInArrow(lean(run), f"d int, x array<bigint>{ddl}")
 
 
 def seeds(df: DataFrame, id_col: str, vec_col: str, parts: int, entries: int, scale: int) -> dict[int, Books]:
@@ -146,7 +146,7 @@ def sums(df: DataFrame, vec_col: str, books: dict[int, Books], scale: int) -> Da
             lists = pa.ListArray.from_arrays(np.arange(used.size + 1, dtype=np.int32) * s.shape[1], pa.array(s[used].reshape(-1)))
             yield pa.record_batch([pa.array(np.full(used.size, v, dtype=np.int32)) for v in (d, p)] + [pa.array(used.astype(np.int32)), pa.array(n[used]), lists], names=["d", "part", "entry", "n", "sums"])
 
-    return df.select(F.col(vec_col).alias("x")).mapInArrow(run, "d int, part int, entry int, n long, sums array<bigint>")
+    return df.select(F.col(vec_col).alias("x")).mapInArrow(lean(run), "d int, part int, entry int, n long, sums array<bigint>")
 
 
 def fit(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> dict[int, Books]:
@@ -189,7 +189,7 @@ def encode(df: DataFrame, books: dict[int, Books], vec_col: str = "embedding", s
                     code = [c + digits[i] for c, i in zip(code, index.tolist())]
                 yield pa.record_batch([batch.column(1).take(pa.array(at)), pa.array(code, pa.string()), pa.array(error), pa.array([named[d]] * len(at), pa.string())], names=["row", "code", "error", "codebooks_sha256"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, code string, error long, codebooks_sha256 string")
+    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, code string, error long, codebooks_sha256 string")
 
 
 def decoded(code: str, books: Books) -> list[int]:

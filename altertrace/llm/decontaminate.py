@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import Words, slices, small_batches
+from altertrace.llm.text import Words, lean, slices, small_batches
 from altertrace.plans.tables import cut
 
 WINDOW = 10
@@ -179,7 +179,7 @@ def pieces(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFra
                 columns = list(zip(*out)) or [[], [], []]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()))], names=["item", "n", "words"])
 
-    return rows.mapInArrow(run, "item string, n long, words string").distinct()
+    return rows.mapInArrow(lean(run), "item string, n long, words string").distinct()
 
 
 def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
@@ -202,7 +202,7 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("item", "words"), F.lit(shards)).cast("int"))
-    return cut(dealt.groupBy("shard").applyInArrow(build, "shard int, blob binary"))
+    return cut(dealt.groupBy("shard").applyInArrow(lean(build), "shard int, blob binary"))
 
 
 # -- documents -------------------------------------------------------------------------------------------------------
@@ -275,7 +275,7 @@ def one_pass(rows: DataFrame, blob: bytes | None) -> DataFrame:
             for at, found in scanned(b.column(1), values, names, machine):
                 yield pa.record_batch([b.column(0).slice(at, found.num_rows), *found.columns], names=["row", *found.schema.names])
 
-    return rows.select("row", "text").mapInArrow(run, f"row {kind}, {FOUND}")
+    return rows.select("row", "text").mapInArrow(lean(run), f"row {kind}, {FOUND}")
 
 
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard: int = SHARD, carry: list[str] | None = None) -> DataFrame:
@@ -311,7 +311,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str
             yield pa.record_batch([b.column(0), b.column(1), *columns, b.column(3), b.column(4)], names=["row", "n_words", "starts", "ends", "items", "longest"])
 
     none = F.array().cast("array<string>")
-    return joined.select("row", "n_words", "spans", F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest")).mapInArrow(run, f"row {kind}, {FOUND}")
+    return joined.select("row", "n_words", "spans", F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest")).mapInArrow(lean(run), f"row {kind}, {FOUND}")
 
 
 def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", max_share: float = 0.5, **options) -> DataFrame:
@@ -333,7 +333,7 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", max_share
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.record_batch(columns, names=names)
 
-    return found.select("row", "starts", "ends").mapInArrow(run, kind)
+    return found.select("row", "starts", "ends").mapInArrow(lean(run), kind)
 
 
 def without(text: str, starts: list[int], ends: list[int]) -> str:

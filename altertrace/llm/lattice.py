@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altertrace.llm import chunks
-from altertrace.llm.text import Words, small_batches
+from altertrace.llm.text import Words, lean, small_batches
 from altertrace.plans.tables import cut
 
 #: The mark before a word's first character in the pieces, and the end of a text as a word.
@@ -79,7 +79,7 @@ def piece_counts(words: DataFrame, path: str) -> np.ndarray:
 
     model, *_ = pieces(path)
     out = np.zeros(model.get_piece_size(), dtype=np.int64)
-    for r in words.select("word", "trained").where("trained > 0").mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in words.select("word", "trained").where("trained > 0").mapInArrow(lean(run), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r["piece"]] = r["n"]
     return out
 
@@ -153,7 +153,7 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
                 blob = pa.array([chunks.packed(r[-1]) for r in part], pa.binary())
                 yield pa.record_batch([pa.array(np.full(n, number)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), key, flag, blob], names=names)
 
-    table = cut(texts.mapInArrow(run, f"chunk long, idx int, word binary, trained long, key {kind}, train boolean, codes binary"))
+    table = cut(texts.mapInArrow(lean(run), f"chunk long, idx int, word binary, trained long, key {kind}, train boolean, codes binary"))
     words = table.where("idx IS NOT NULL").select("chunk", "idx", "word", "trained")
     coded = table.where("idx IS NULL").select("chunk", "key", "train", "codes")
     counted = cut(words.groupBy("word").agg(F.sum("trained").alias("trained")))
@@ -170,7 +170,7 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
             values = [lattice.score(w) / LN10 for w in b.column(0).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(values, pa.float64())], names=["word", "trained", "log10"])
 
-    valued = counted.mapInArrow(scored, "word binary, trained long, log10 double")
+    valued = counted.mapInArrow(lean(scored), "word binary, trained long, log10 double")
     back = words.select("chunk", "idx", "word").join(valued, "word").select("chunk", "idx", "trained", "log10")
 
     def sums(key, left, rows):
@@ -188,5 +188,5 @@ def score(docs: DataFrame, path: str, training: Column | None = None, id_col: st
 
     by_chunk = coded.withColumnRenamed("chunk", "text_chunk").groupBy("text_chunk")
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = back.groupBy("chunk").cogroup(by_chunk).applyInArrow(sums, schema)
+    out = back.groupBy("chunk").cogroup(by_chunk).applyInArrow(lean(sums), schema)
     return out.select(F.col("key").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

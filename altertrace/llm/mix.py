@@ -4,10 +4,11 @@ The rows of a source, in an order drawn from a seed, form blocks. Time runs in s
 of a source is released at slot floor(i / w) and has to be placed before slot ceil((i + 1) / w); placing the released
 block with the earliest deadline in every slot keeps each source within one block of its share at any time.
 
-Weights are rounded to shares of a cycle of ``cycle`` slots, or, where more sources have a weight, of ``SLOTS`` slots for each. After a cycle every source stands exactly at its share, so
-the schedule of one cycle repeats, and the slot of any block follows from its number alone. The schedule is one row as
-long as the cycle (a parameter), whatever the data; only with more sources than its slots the driver lays it out, from one row
-for each source. Rows are numbered within their source from counts of buckets, so a
+Weights are whole parts; a fraction counts as the number that it is written as, so 0.0001 is one part in 10,000. After a cycle of as
+many slots as there are parts, every source stands exactly at its share, so the schedule of one cycle repeats without any
+rounding, and the slot of any block follows from its number alone. The schedule grows with the parts that the
+weights state, not with the data; up to ``NATIVE`` slots times sources it is one expression on one row, and longer cycles (up to ``MOST`` slots) are
+laid out on the driver, with the same result. Rows are numbered within their source from counts of buckets, so a
 source that holds a third of all rows is no more work for one task than any other.
 
 When a source runs out, its slots fall away and the others go on in their order: no row is left out. Until then the
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,36 +34,39 @@ from pyspark.sql.window import Window
 from altertrace.plans.tables import cut, lookup
 
 BLOCK = 16
-CYCLE = 1000
-#: Slots for each source of a cycle that had to be made longer.
-SLOTS = 4
+#: Slots times sources that one expression lays out, and slots that a cycle may have at all.
+NATIVE, MOST = 1 << 18, 1 << 20
+#: What a source's size counts for, and the parts of the largest source, where sizes give the weights.
+POWER, PARTS = 0.7, 100
 ROWS_PER_BUCKET = 50_000
 LEAST_BITS = 6
 
 
+#: Weights by source: numbers, or a table ``source, share`` of whole parts; None: equal weights.
+Weights = dict[str | None, float] | DataFrame | None
+
+
 def shuffled(seed: int, id_col: str, text_col: str) -> Column:
     """A number below 2^60 drawn from the seed, a row's id and its text: the order of the rows of a source."""
     value = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
 
 
-def shares(weights: DataFrame, cycle: int) -> DataFrame:
-    """``source, share`` in slots a cycle: largest remainders, at least one slot for each source with a weight above 0."""
-    positive = weights.where("weight > 0")
-    one = Window.partitionBy(F.lit(0))  # as many rows as sources with a weight; Places makes the cycle long enough for them
-    exact = F.col("weight") / F.sum("weight").over(one) * F.lit(cycle)
-    base = positive.select("source", exact.alias("exact")).withColumn("base", F.greatest(F.floor("exact"), F.lit(1)).cast("long"))
-    rank = F.row_number().over(one.orderBy(F.desc(F.col("exact") - F.col("base")), F.col("source")))
-    left = (F.lit(cycle) - F.sum("base").over(one)).cast("long")
-    count = F.count(F.lit(1)).over(one)
-    # what is left to give goes round by remainder; what is too much comes off the largest shares
-    given = F.floor((left + count - F.col("rank")) / count)
-    more = base.withColumn("rank", rank).withColumn("more", F.when(left >= 0, given).otherwise(F.lit(0)).cast("long")).withColumn("over", F.greatest(-left, F.lit(0)))
-    running = Window.partitionBy(F.lit(0)).orderBy(F.desc("base"), "source").rowsBetween(Window.unboundedPreceding, -1)
-    spare = F.col("base") - 1
-    before = F.coalesce(F.sum(spare).over(running), F.lit(0))
-    taken = F.greatest(F.lit(0), F.least(spare, F.col("over") - before))
-    return more.select("source", (F.col("base") + F.col("more") - taken).cast("long").alias("share"))
+def in_parts(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole parts in exactly the proportions of some weights; those of 0 or less have none."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items() if w is not None and w > 0}
+    whole = math.lcm(*(x.denominator for x in exact.values()))
+    least = math.gcd(*(int(x * whole) for x in exact.values())) or 1
+    return {s: int(x * whole) // least for s, x in exact.items()}
+
+
+def sized(docs: DataFrame, source_col: str = "source", power: float = POWER, parts: int = PARTS) -> DataFrame:
+    """``source, share``: parts by the number of a source's rows to a power below 1, so that small sources are seen more often than they
+    are large; the largest source has ``parts``, every other one at least one."""
+    counts = cut(docs.groupBy(F.col(source_col).alias("source")).agg(F.pow(F.count(F.lit(1)), F.lit(power)).alias("size")))
+    most = counts.agg(F.max("size")).first()[0] or 1.0
+    share = F.greatest(F.floor(F.col("size") * parts / F.lit(most) + 0.5), F.lit(1)).cast("long")
+    return counts.select("source", share.alias("share"))
 
 
 def schedule(given: DataFrame, cycle: int) -> DataFrame:
@@ -81,7 +86,7 @@ def schedule(given: DataFrame, cycle: int) -> DataFrame:
         return F.struct(done.alias("done"), F.concat(state["picks"], F.array(F.coalesce(pick, F.lit(-1)))).alias("picks"))
 
     start = F.struct(F.transform("s", lambda _: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("picks"))
-    run = one.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(cycle - 1)), start, slot, lambda x: x["picks"]).alias("picks"))
+    run = one.select("s", F.aggregate(F.sequence(F.lit(0), F.lit(max(cycle, 1) - 1)), start, slot, lambda x: x["picks"]).alias("picks"))
     every = run.select(F.posexplode("s").alias("i", "source"), "picks")
     slots = F.filter(F.transform("picks", lambda p, t: F.when(p == F.col("i"), t)), lambda t: t.isNotNull())
     return every.select(F.col("source.source").alias("source"), F.col("source.share").alias("share"), slots.alias("slots"))
@@ -109,12 +114,10 @@ def long_schedule(given: DataFrame, cycle: int) -> DataFrame:
 class Places:
     """Where the rows of ``docs`` go: their shuffled order, the buckets of a source and the schedule of a cycle."""
 
-    def __init__(self, docs: DataFrame, weights: dict[str | None, float] | None, source_col: str, id_col: str, text_col: str, block: int, cycle: int, seed: int):
+    def __init__(self, docs: DataFrame, weights: Weights, source_col: str, id_col: str, text_col: str, block: int, seed: int):
         self.block = block
         self.key = [F.col(source_col).alias("source"), shuffled(seed, id_col, text_col).alias("order"), F.col(id_col).alias("id")]
-        largest, n = docs.groupBy(source_col).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count(F.lit(1))).first()
-        n = n if weights is None else sum(w > 0 for w in weights.values())
-        self.cycle = cycle if n <= cycle else SLOTS * n
+        largest = docs.groupBy(source_col).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         bits = max(LEAST_BITS, math.ceil(math.log2(max(1, largest / ROWS_PER_BUCKET))))
         # buckets follow the order, so that a row's number is the rows of earlier buckets and its place in its own
         self.bucket = F.shiftright("order", 60 - bits)
@@ -122,10 +125,15 @@ class Places:
         earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         self.starts = counted.select("source", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
         if weights is None:
-            target = docs.select(F.col(source_col).alias("source")).distinct().withColumn("weight", F.lit(1.0))
+            target = docs.select(F.col(source_col).alias("source")).distinct().withColumn("share", F.lit(1).cast("long"))
+        elif isinstance(weights, dict):
+            target = docs.sparkSession.createDataFrame(list(in_parts(weights).items()), "source string, share long")
         else:
-            target = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "source string, weight double")
-        self.plan = (schedule if n <= cycle else long_schedule)(shares(target, self.cycle), self.cycle)
+            target = cut(weights.where("share > 0").select("source", F.col("share").cast("long").alias("share")))
+        self.cycle, n = target.agg(F.coalesce(F.sum("share"), F.lit(0)), F.count(F.lit(1))).first()
+        if self.cycle > MOST:
+            raise ValueError(f"the weights have {self.cycle} parts, a cycle at most {MOST}: state them in fewer parts")
+        self.plan = (schedule if self.cycle * n <= NATIVE else long_schedule)(target, self.cycle)
 
     def rows(self, docs: DataFrame, row: Column | None = None) -> DataFrame:
         """The rows' keys and buckets, with ``row``."""
@@ -151,8 +159,7 @@ class Places:
 
 
 def mix(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-    block: int = BLOCK, cycle: int = CYCLE, seed: int = 1, carry: list[str] | None = None,
+    docs: DataFrame, weights: Weights = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = 1, carry: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``mix_slot`` (the block's place), ``mix_block`` (its number in the source), ``mix_rank`` (the row's number in the
     source) and ``mix_share`` (slots a cycle, null without a weight). Order by slot, source and rank to get the mixture.
@@ -160,7 +167,7 @@ def mix(
     Of the columns of ``docs`` those in ``carry`` stay, all if None. Without ``weights`` all sources get the same weight. Two jobs count the rows of a source's buckets; the rows move once.
     """
     added = ["mix_slot", "mix_block", "mix_rank", "mix_share"]
-    places = Places(docs, weights, source_col, id_col, text_col, block, cycle, seed)
+    places = Places(docs, weights, source_col, id_col, text_col, block, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns if c not in added])
     ranked = places.ranked(places.rows(docs, row))
     return ranked.select("row.*", places.slot_of("rank").alias("mix_slot"), places.block_of("rank").alias("mix_block"), F.col("rank").alias("mix_rank"), F.col("share").alias("mix_share"))
@@ -176,8 +183,7 @@ def _stretch(slot: Column, bounds: list[int]) -> Column:
 
 
 def interleaved(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-    block: int = BLOCK, cycle: int = CYCLE, seed: int = 1, partitions: int | None = None,
+    docs: DataFrame, weights: Weights = None, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = 1, partitions: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture: written, they lie in the files one after the other.
 
@@ -188,7 +194,7 @@ def interleaved(
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    places = Places(docs, weights, source_col, id_col, text_col, block, cycle, seed)
+    places = Places(docs, weights, source_col, id_col, text_col, block, seed)
     # rows with the same key stay together, so a stretch takes all of them by the least of their ranks
     keys = cut(places.ranked(places.rows(docs)).select("source", "bucket", "order", "id", "tie", places.slot_of("tie").alias("slot")))
     quantiles = keys.agg(F.percentile_approx("slot", [i / n for i in range(1, n)] or [1.0], F.lit(max(10_000, 20 * n))).alias("q")).first()["q"]

@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import BASE, SPACE, U64, Words, mixed, slices, small_batches
+from altertrace.llm.text import BASE, SPACE, U64, Words, lean, mixed, slices, small_batches
 from altertrace.plans.tables import cut
 
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of words in repeated windows of three
-MIN_DOCS = 50  # a line in so few documents of a host is never boilerplate
-CHANCE = 3  # the same where the share alone is to decide: only repeats by chance are let off
+CHANCE = 3  # a line in so few documents of a host may repeat by chance; above that its share decides, whatever the host's size
 MAX_SHARE = 0.05  # of a host's documents that may hold a line
 MIN_LEFT = 0.5  # of a document's words that have to be left
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -128,7 +127,7 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
                 yield pa.record_batch([hosts.take(pa.array(lines.text[new] + at)), pa.array(lines.hashes[new].view(np.int64))], names=["host", "line"])
                 at += len(part)
 
-    lines = rows.mapInArrow(run, "host string, line long")
+    lines = rows.mapInArrow(lean(run), "host string, line long")
     counts = lines.groupBy("host", "line").count().where(F.col("count") > min_docs)
     size = rows.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     return counts.join(size, "host").where(F.col("count") > max_share * F.col("size")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
@@ -136,7 +135,7 @@ def frequent_lines(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
 
 def judge(
     docs: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT,
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, cleaned: bool = False, carry: list[str] | None = None,
+    min_docs: int = CHANCE, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, cleaned: bool = False, carry: list[str] | None = None,
 ) -> DataFrame:
     """``row`` (the columns ``carry`` of ``docs``, all if None, as one struct), the metrics, ``base_failed``, ``kept``, ``n_left`` (words outside of
     frequent lines) and, if ``cleaned``, ``cleaned_text`` without those lines."""
@@ -167,7 +166,7 @@ def judge(
                 yield pa.record_batch(columns, names=["row", *(k.split()[0] for k in kinds)])
                 at += len(part)
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(kinds)}")
+    out = rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, {', '.join(kinds)}")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= min_left * F.col("n_words")))
 

@@ -68,21 +68,21 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_BLOCK = 4
 MIX = f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CAST('0x' || substr(md5('1|' || COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || COALESCE(text, '')), 1, 15) AS BIGINT) AS o FROM documents),
-n AS (SELECT COUNT(DISTINCT source) + MAX(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n FROM documents),
-s AS (SELECT source, 1000 // n + CASE WHEN row_number() OVER (ORDER BY source NULLS FIRST) <= 1000 % n THEN 1 ELSE 0 END AS share FROM (SELECT DISTINCT source FROM documents), n),
+n AS (SELECT source, pow(COUNT(*), {mix.POWER}) AS n FROM documents GROUP BY source),
+s AS (SELECT source, CAST(greatest(floor(n * {mix.PARTS} / (SELECT MAX(n) FROM n) + 0.5), 1) AS BIGINT) AS share FROM n),
 i AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS FIRST) AS i FROM s),
-a AS (SELECT list(share ORDER BY i) AS shares, COUNT(*) AS n FROM i),
+a AS (SELECT list(share ORDER BY i) AS shares, COUNT(*) AS n, CAST(SUM(share) AS BIGINT) AS c FROM i),
 e AS (
   SELECT -1 AS t, list_transform(shares, lambda x: 0) AS done, CAST(-1 AS BIGINT) AS pick FROM a
   UNION ALL
   SELECT t + 1, list_transform(range(1, n + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p FROM (
     SELECT e.t, e.done, a.n, list_min(list_filter(list_transform(range(1, a.n + 1), lambda j: CASE
-      WHEN e.done[j] < a.shares[j] AND (e.done[j] * 1000) // a.shares[j] <= e.t + 1
-      THEN (((e.done[j] + 1) * 1000 + a.shares[j] - 1) // a.shares[j]) * 100000 + j END), lambda k: k IS NOT NULL)) % 100000 AS p
-    FROM e, a WHERE e.t < 999)),
+      WHEN e.done[j] < a.shares[j] AND (e.done[j] * a.c) // a.shares[j] <= e.t + 1
+      THEN (((e.done[j] + 1) * a.c + a.shares[j] - 1) // a.shares[j]) * 100000 + j END), lambda k: k IS NOT NULL)) % 100000 AS p
+    FROM e, a WHERE e.t < a.c - 1)),
 slots AS (SELECT i.source, i.share, list(e.t ORDER BY e.t) AS slots FROM e JOIN i ON e.pick = i.i GROUP BY ALL),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY o, doc_id) - 1 AS mix_rank FROM d)
-SELECT r.doc_id, r.source, ((mix_rank // {MIX_BLOCK}) // share) * 1000 + slots[(mix_rank // {MIX_BLOCK}) % share + 1] AS mix_slot,
+SELECT r.doc_id, r.source, ((mix_rank // {MIX_BLOCK}) // share) * (SELECT c FROM a) + slots[(mix_rank // {MIX_BLOCK}) % share + 1] AS mix_slot,
   mix_rank // {MIX_BLOCK} AS mix_block, mix_rank, share AS mix_share
 FROM r JOIN slots ON r.source IS NOT DISTINCT FROM slots.source
 """
@@ -90,8 +90,9 @@ FROM r JOIN slots ON r.source IS NOT DISTINCT FROM slots.source
 
 @query(MIX)
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The place of every document in a mixture of all sources at equal weights, in blocks of four."""
-    return mix.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), block=MIX_BLOCK, carry=["doc_id", "source"])
+    """The place of every document in a mixture of all sources, weighted by their sizes to a power, in blocks of four."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix.mix(docs, mix.sized(docs), block=MIX_BLOCK, carry=["doc_id", "source"])
 
 
 NGRAMS = r"""
@@ -129,7 +130,7 @@ lw AS (SELECT r, host, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNO
 lv AS (SELECT * FROM lw WHERE len(lw) > 0),
 dup AS (SELECT r, COUNT(*) - COUNT(DISTINCT line) AS n_dup_lines FROM lv GROUP BY r),
 hosts AS (SELECT host, COUNT(*) AS size FROM d GROUP BY host),
-often AS (SELECT lv.host, lw FROM lv JOIN hosts USING (host) GROUP BY lv.host, lw, size HAVING COUNT(DISTINCT r) > 50 AND COUNT(DISTINCT r) > 0.05 * size),
+often AS (SELECT lv.host, lw FROM lv JOIN hosts USING (host) GROUP BY lv.host, lw, size HAVING COUNT(DISTINCT r) > 3 AND COUNT(DISTINCT r) > 0.05 * size),
 gone AS (SELECT lv.r, SUM(len(lv.lw)) AS gone FROM lv JOIN often ON lv.host = often.host AND lv.lw = often.lw GROUP BY lv.r),
 m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(array_to_string(w.w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(n_dup_lines, 0) AS n_dup_lines,
@@ -164,11 +165,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and verdict on every document, learned from the labels of three quarters of the ids."""
+    """Score, verdict and offending sentences of every document, learned from the labels of three quarters of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.is_training("doc_id"))
     held = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return toxicity.score(docs, model, carry=["doc_id"]).select("row.doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model, carry=["doc_id"]).select("row.doc_id", held.alias("held_out"), "score", "predicted", "offending")
 
 
 def codes_sql(rounds: int = codes.ROUNDS, parts: int = codes.PARTS, entries: int = codes.ENTRIES) -> str:

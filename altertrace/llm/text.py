@@ -6,6 +6,11 @@ than that makes a slice of its own. Nulls count as empty texts everywhere.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,18 +48,49 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-_powers: list[np.ndarray] = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, next to those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of batches, or of a group's tables, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        def work(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return work
+
+    def group(key, table, other=None):
+        try:
+            return run(key, table) if other is None else run(key, table, other)
+        finally:
+            give_back()
+
+    return group if len(inspect.signature(run).parameters) == 3 else lambda key, table: group(key, table)
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for factor in (BASE, INVERSE):
+        steps = np.full(size, factor, dtype=U64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``BASE**i`` and ``BASE**-i`` modulo 2^64 for i < n."""
-    if _powers[0].size < n:
-        size = max(n, SLICE + SLICE // 4)
-        for k, factor in enumerate((BASE, INVERSE)):
-            steps = np.full(size, factor, dtype=U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """``BASE**i`` and ``BASE**-i`` modulo 2^64 for i < n; those that a slice needs are kept, those of a very long text are not."""
+    usual = SLICE + SLICE // 4
+    return _powers(usual) if n <= usual else _powers.__wrapped__(n)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -6,8 +6,8 @@ own quantised components, with bitmap arithmetic (full adders on whole bitmaps).
 significant slice of the sum downward. What quantising leaves out has a bound; all rows within the bound of the k-th are the
 boundary rows, and those are resolved with their exact integers.
 
-Defined results: vectors that are null, empty, of another length than most, or hold null or non-finite components take
-no part, nor do rows without an id; rows that share an id take part each; a query never returns rows with its own id; ties
+Defined results: vectors that are null, empty, or hold null or non-finite components take
+no part, nor do rows without an id; vectors are compared with those of their own length; rows that share an id take part each; a query never returns rows with its own id; ties
 go to the smaller id; other columns are ignored; with no queries or candidates there are no rows.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from altertrace.llm.text import lean
+
 SCALE = 256
 ROWS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 256
@@ -153,7 +155,7 @@ def blocks(rows: DataFrame, block: Column) -> DataFrame:
         out = {"block": [key[0].as_py()], "n": pa.array([len(ids)], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<i8").tobytes()]}
         return pa.table(out)
 
-    return rows.select(block.cast("long").alias("block"), "id", "x").groupBy("block").applyInArrow(pack, schema)
+    return rows.select(block.cast("long").alias("block"), "id", "x").groupBy("block").applyInArrow(lean(pack), schema)
 
 
 def search(
@@ -167,13 +169,18 @@ def search(
     """
     rows = quantised(vectors, id_col, vec_col, scale)
     asked = quantised(vectors.where(is_query), id_col, vec_col, scale)
-    sizes = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").head()
+    found = None
+    for r in rows.groupBy(F.size("x").alias("d")).count().orderBy("d").collect():  # one row for each length
+        d = F.size("x") == r["d"]
+        best = search_equal(rows.where(d), asked.where(d), r["d"], r["count"], k, rows_per_block, queries_per_block, bits)
+        found = best if found is None else found.unionByName(best)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
+
+
+def search_equal(rows: DataFrame, asked: DataFrame, d: int, count: int, k: int, rows_per_block: int, queries_per_block: int, bits: int) -> DataFrame:
+    """:func:`search` among ``count`` vectors ``id, x`` of one length."""
     out = "query_id long, vec_id long, score long"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    d = sizes["d"]
-    rows, asked = rows.where(F.size("x") == d), asked.where(F.size("x") == d)
-    n_rows = math.ceil(sizes["count"] / rows_per_block)
+    n_rows = math.ceil(count / rows_per_block)
     n_asked = max(1, math.ceil(asked.count() / queries_per_block))
     spread = lambda n: F.pmod(F.xxhash64("id", "x"), F.lit(n))
     held = blocks(rows, spread(n_rows))
@@ -192,7 +199,7 @@ def search(
                 columns = list(zip(*found)) or [[], [], []]
                 yield pa.record_batch([pa.array(c, type=pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    best = pairs.mapInArrow(run, out)
+    best = pairs.mapInArrow(lean(run), out)
     # Spark keeps the k best of a query in each task before the rows meet
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

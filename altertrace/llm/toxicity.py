@@ -4,8 +4,8 @@ A document is a bag of sentences. A sentence's score is a logistic function of i
 of its sentences: one minus the product of their complements. Only documents are labelled; the gradient of the document's
 likelihood tells the sentences apart, and afterwards the sentences with a score of their own above a threshold are located.
 
-The model is small: weights of at most ``FEATURES`` words or stems, chosen by how they differ between labels, and a bias. It is fitted on
-at most ``SAMPLE`` labelled rows, chosen by a hash of their ids; both bounds are parameters. Scoring reads each text once and moves
+The model is small: weights of the words and stems that differ between labels by more than chance, and a bias. It is fitted on
+at most ``SAMPLE`` labelled rows, chosen by a hash of their ids; the bound is a parameter. Scoring reads each text once and moves
 nothing.
 
 Defined results: a null or empty text, or one without words, has score 0; labels that are null, or whose id is null or has no
@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import U64, Words, slices, small_batches, span_hashes
+from altertrace.llm.text import U64, Words, lean, slices, small_batches, span_hashes
 
 SAMPLE = 10_000
-FEATURES = 4096
 MIN_BAGS = 5
 STEMS = (3, 4, 5, 6)  # bytes of a word's beginning
 #: A word is a feature if chance alone tells the labels apart as well about once in a million words.
@@ -120,7 +119,7 @@ def word_counts(bags: DataFrame) -> DataFrame:
                 pos = np.bincount(inverse, weights=label > 0).astype(np.int64)
                 yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(pos), pa.array(np.bincount(inverse) - pos)], names=["word", "pos", "neg"])
 
-    return bags.mapInArrow(run, "word long, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return bags.mapInArrow(lean(run), "word long, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def gathered(bags: DataFrame, hashes: np.ndarray) -> list[tuple[int, bytes]]:
@@ -143,7 +142,7 @@ def gathered(bags: DataFrame, hashes: np.ndarray) -> list[tuple[int, bytes]]:
                 yield pa.record_batch([pa.array(y[at : at + len(part)], pa.int32()), pa.array(blobs, pa.binary())], names=["y", "bag"])
                 at += len(part)
 
-    return [(r["y"], r["bag"]) for r in bags.mapInArrow(run, "y int, bag binary").collect()]
+    return [(r["y"], r["bag"]) for r in bags.mapInArrow(lean(run), "y int, bag binary").collect()]
 
 
 def noisy_or_fit(rows: list[tuple[int, bytes]], prior: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -177,7 +176,7 @@ def noisy_or_fit(rows: list[tuple[int, bytes]], prior: np.ndarray, rounds: int =
 
 def fit(
     docs: DataFrame, labels: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, features: int = FEATURES, min_bags: int = MIN_BAGS, least_ratio: float = LEAST_RATIO,
+    sample: int = SAMPLE, min_bags: int = MIN_BAGS, least_ratio: float = LEAST_RATIO,
 ) -> Model:
     """The model of these labels. ``training`` chooses among the rows of ``labels``."""
     bags = labelled(small_batches(docs), labels, F.lit(True) if training is None else training, id_col, text_col, label_col, sample)
@@ -191,7 +190,7 @@ def fit(
     ratio = 2 * (part(F.col("pos"), share) + part(F.col("neg"), 1 - share))  # likelihood ratio of the word telling the labels apart
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     told = word_counts(bags).where(both >= min_bags).select("word", odds.alias("odds"), ratio.alias("ratio")).where(F.col("ratio") >= least_ratio)
-    chosen = told.orderBy(F.desc("ratio"), "word").limit(features).collect()
+    chosen = told.orderBy(F.desc("ratio"), "word").collect()  # words of the sample that tell the labels apart
     if not chosen:
         return nothing
     hashes = np.array([r["word"] for r in chosen], dtype=np.int64).view(U64)
@@ -226,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch([b.column(0).slice(at, len(part)), pa.array(total), pa.array(found, span)], names=["row", "score", "offending"])
                 at += len(part)
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
+    out = rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, score double, offending array<struct<start: bigint, end: bigint, score: double>>")
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

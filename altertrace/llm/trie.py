@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from altertrace.llm.text import small_batches
+from altertrace.llm.text import lean, small_batches
 from altertrace.plans.tables import cut, lookup
 
 NAME = 16  # bytes of a turn's name
@@ -116,7 +116,7 @@ def blocks(conversations: DataFrame, limit: int = BLOCK) -> DataFrame:
         if held:
             yield out(None)
 
-    return ordered.mapInArrow(run, "task long, seq long, ids binary, sizes binary, names binary, chars binary, before long, after long, first binary, last binary")
+    return ordered.mapInArrow(lean(run), "task long, seq long, ids binary, sizes binary, names binary, chars binary, before long, after long, first binary, last binary")
 
 
 # -- nodes of a block ------------------------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ def partial_nodes(packed: DataFrame) -> DataFrame:
                 yield from block_nodes(r["task"], r["seq"], ids, sizes, names, chars, before, after)
 
     # a block is work for a task, however few bytes it has
-    return known.repartition(max(1, packed.count()), "task", "seq").mapInArrow(run, whole)
+    return known.repartition(max(1, packed.count()), "task", "seq").mapInArrow(lean(run), whole)
 
 
 def hashed_ends(parts: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def hashed_ends(parts: DataFrame) -> DataFrame:
         if key is not None:
             yield out()
 
-    return ordered.mapInArrow(run, "node binary, ends_sha256 string")
+    return ordered.mapInArrow(lean(run), "node binary, ends_sha256 string")
 
 
 COUNTS = ("n_convs", "n_children", "n_leaves", "saved_tokens")

@@ -23,8 +23,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from altertrace.llm.text import small_batches
+from altertrace.llm.text import lean, small_batches
 
+MOST_TASKS = 20_000
 RANGE = 32 << 20
 READ = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -87,7 +88,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             out = [record(i, u, h.encode(), d, r, level) for i, u, h, d, r in zip(col["id"], col["url"], col["html"], col["digest"], col["refers_to"])]
             yield pa.record_batch([pa.array(out, type=pa.binary())], names=["value"])
 
-    members = tagged.mapInArrow(run, "value binary")
+    members = tagged.mapInArrow(lean(run), "value binary")
     # the text writer copies the bytes of a value as they are
     members.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
     return path
@@ -195,4 +196,5 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE, batch_bytes:
                     if held:
                         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(run, FIELDS)
+    # a range is a few bytes as a row and much work as a task: one task for each, or for a few of very many
+    return ranges.repartition(min(MOST_TASKS, max(1, ranges.count())), "path", "start").mapInArrow(lean(run), FIELDS)

@@ -31,7 +31,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The share of a host's documents decides which lines are frequent, whatever the size of the host.
     """
-    return quality.kept_rows(docs, min_docs=quality.CHANCE)
+    return quality.kept_rows(docs)
 
 
 def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +45,8 @@ def drop_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a mixture of their sources, to :func:`targets`."""
-    return mix.interleaved(docs, targets(docs))
-
-
-def targets(docs: DataFrame) -> dict[str | None, float]:
-    """The weight of each source: its number of documents to the power of 0.7, so that small sources are seen more often than they are large."""
-    return {r["source"]: r["n"] ** 0.7 for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """All documents in the order of a mixture of their sources, weighted by their sizes to a power."""
+    return mix.interleaved(docs, mix.sized(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

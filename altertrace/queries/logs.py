@@ -27,8 +27,8 @@ from altertrace.queries.base import (
     table,
     user_events,
 )
-from altertrace.schema import LogSchema
-from altertrace.sources import logs, results
+from altertrace.schema import PRESETS, LogSchema, Preset, limited
+from altertrace.sources import logs, results, xes
 
 DAY = "yyyy-MM-dd HH:mm:ss"
 DAY_SQL = "%Y-%m-%d %H:%M:%S"
@@ -67,6 +67,122 @@ def _(spark, sf):
     return back.select("case_id", F.col("pos").cast("bigint").alias("pos"), "activity", F.unix_millis("ts").alias("ts_ms"), "k")
 
 
+# 12 attributes of an event (of 5 kinds, one inside another) and 3 of its case
+_XES_EVENT = {
+    "lifecycle:transition": "string", "org:resource": "string", "quantity": "float", "line": "int", "returned": "boolean", "commit": "date",
+    "amount": "string", "price": "float", "price/tax": "float", "mode": "string", "part": "int", "mixed": "string",
+}
+_XES_CASE = {"label": "int", "AMOUNT_REQ": "string", "customer": "int"}
+
+
+def _wide_events(spark, sf):
+    """Order events with the attributes of the log above."""
+    cases = order_cases(spark, sf).select(F.col("case_id").alias("c"), "outcome", "customer", "total")
+    items = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"),
+        F.concat(F.when(F.col("l_linenumber") % 3 == 0, "W_").when(F.col("l_linenumber") % 3 == 1, "A_").otherwise("O_"), F.col("l_returnflag"), F.col("l_linestatus")).alias("activity"),
+        F.col("l_shipdate").alias("ts"),
+        F.when(F.col("l_linenumber") < 6, "COMPLETE").otherwise("START").alias("lifecycle:transition"),
+        F.col("l_suppkey").cast("string").alias("org:resource"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_linenumber").alias("line"),
+        (F.col("l_returnflag") == "R").alias("returned"),
+        F.date_add("l_shipdate", 7).cast("timestamp").alias("commit"),
+        F.when(F.col("l_linenumber") == 2, " ").otherwise(F.concat(F.col("l_linenumber").cast("string"), F.lit(",5"))).alias("amount"),
+        F.col("l_extendedprice").alias("price"),
+        (F.col("l_tax") + 0.0).alias("price/tax"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linestatus")).alias("mode"),
+        F.col("l_partkey").alias("part"),
+        F.col("l_suppkey").alias("supp"),
+        F.when(F.col("l_linenumber") == 1, "x").otherwise("7").alias("mixed"),
+    )
+    joined = items.join(cases, items["case_id"] == cases["c"])
+    return joined.select(items["*"], F.col("outcome").alias("label"), F.col("total").alias("AMOUNT_REQ"), "customer")
+
+
+_WIDE = f"""
+WITH {EV}, {CASES},
+wide AS (SELECT ev.*, c.outcome, c.customer, c.total,
+  CASE WHEN line % 3 = 0 THEN 'W_' WHEN line % 3 = 1 THEN 'A_' ELSE 'O_' END || activity AS act,
+  row_number() OVER (PARTITION BY ev.case_id ORDER BY ts, line, part_id, supp_id) - 1 AS place
+  FROM ev JOIN cases c USING (case_id))"""
+
+
+@query(
+    "read_event_log_xes_attributes",
+    f"""{_WIDE}
+SELECT CAST(case_id AS VARCHAR) AS case_id, act AS activity, strftime(ts, '{DAY_SQL}') AS ts, place AS pos, CAST(outcome AS BIGINT) AS outcome,
+  CASE WHEN line < 6 THEN 'COMPLETE' ELSE 'START' END AS state, CAST(supp_id AS VARCHAR) AS resource, quantity, CAST(line AS BIGINT) AS line,
+  activity[1:1] = 'R' AS returned, strftime(ts + INTERVAL 7 DAY, '{DAY_SQL}') AS "commit", CASE WHEN line = 2 THEN NULL ELSE line + 0.5 END AS amount,
+  {r6_sql('price')} AS price, {r6_sql('tax')} AS tax, CASE WHEN line > 1 THEN activity[2:2] END AS mode, CAST(part_id AS BIGINT) AS part,
+  CASE WHEN line = 1 THEN 'x' ELSE '7' END AS mixed, CAST(customer AS BIGINT) AS customer, {r6_sql('total')} AS requested FROM wide""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "log-xes-wide")
+    logs.write_event_log_xes(_wide_events(spark, sf), path, ["ts", "line", "part", "supp"], _XES_EVENT, _XES_CASE)
+    preset = Preset(PRESETS["sepsis_xes"].schema, format="xes", amounts_like="amount")
+    back = logs.read_preset(spark, preset, path)
+    day = lambda c: F.date_format(c, DAY).alias(c)
+    return back.select(
+        "case_id", "activity", day("ts"), "pos", "outcome", F.col("lifecycle:transition").alias("state"), F.col("org:resource").alias("resource"), "quantity", "line", "returned", day("commit"), "amount",
+        r6("price", "price"), r6(F.col("price/tax"), "tax"), "mode", "part", "mixed", F.col("case:customer").alias("customer"), r6(F.col("case:AMOUNT_REQ"), "requested"),
+    )
+
+
+@query(
+    "attribute_columns",
+    """
+SELECT * FROM (VALUES ('case', 'AMOUNT_REQ', 'string'), ('case', 'concept:name', 'string'), ('case', 'customer', 'bigint'), ('case', 'label', 'bigint'),
+  ('event', 'amount', 'string'), ('event', 'commit', 'timestamp'), ('event', 'concept:name', 'string'), ('event', 'lifecycle:transition', 'string'),
+  ('event', 'line', 'bigint'), ('event', 'mixed', 'string'), ('event', 'mode', 'string'), ('event', 'org:resource', 'string'), ('event', 'part', 'bigint'),
+  ('event', 'price', 'double'), ('event', 'price/tax', 'double'), ('event', 'quantity', 'double'), ('event', 'returned', 'boolean'),
+  ('event', 'time:timestamp', 'timestamp')) AS t(scope, key, kind)""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "log-xes-kinds")
+    logs.write_event_log_xes(_wide_events(spark, sf), path, ["ts", "line", "part", "supp"], _XES_EVENT, _XES_CASE)
+    return spark.createDataFrame(xes.attribute_columns(xes.read_attributes(spark, path)), "scope string, key string, kind string")
+
+
+_LOAN = f"""{_WIDE}, kept AS (SELECT * FROM wide WHERE line < 6 AND act[1:2] IN ('A_', 'W_'))"""
+
+
+@query(
+    "read_preset_xes",
+    f"""{_LOAN}
+SELECT CAST(case_id AS VARCHAR) AS case_id, act AS activity, strftime(ts, '{DAY_SQL}') AS ts, place AS pos, CAST(outcome AS BIGINT) AS outcome,
+  {r6_sql('total')} AS requested, {r6_sql('tax')} AS tax FROM kept""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "log-xes-loan")
+    logs.write_event_log_xes(_wide_events(spark, sf), path, ["ts", "line", "part", "supp"], _XES_EVENT, _XES_CASE)
+    back = logs.read_preset(spark, PRESETS["bpic12_xes"], path)
+    if {"org:resource", "lifecycle:transition"} & set(back.columns) or dict(back.dtypes)["case:AMOUNT_REQ"] != "double":
+        raise ValueError("the preset's clean-up did not run")
+    return back.select("case_id", "activity", F.date_format("ts", DAY).alias("ts"), "pos", "outcome", r6(F.col("case:AMOUNT_REQ"), "requested"), r6(F.col("price/tax"), "tax"))
+
+
+@query(
+    "read_preset_csv",
+    f"""{_WIDE}, listed AS (SELECT case_id FROM cases WHERE customer % 2 = 0),
+short AS (SELECT case_id FROM wide GROUP BY case_id HAVING count(*) <= 5)
+SELECT case_id, replace(act || '-COMPLETE', '-COMPLETE', '') AS activity, outcome, supp_id AS "Resource", {r6_sql('total')} AS "AMOUNT_REQ",
+  row_number() OVER (PARTITION BY case_id ORDER BY line DESC, act, ts, supp_id, total, part_id) - 1 AS pos
+FROM wide WHERE case_id IN (SELECT case_id FROM listed) AND case_id IN (SELECT case_id FROM short)""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "log-csv-preset")
+    wide = _wide_events(spark, sf)
+    wide.select(
+        F.col("case_id").alias("Case ID"), F.concat("activity", F.lit("-COMPLETE")).alias("Activity"), F.date_format("ts", DAY).alias("Complete Timestamp"), "label",
+        F.col("supp").alias("Resource"), "AMOUNT_REQ", (10 - F.col("line")).alias("event_nr"), "part",
+    ).write.option("header", True).option("sep", ";").csv(path)
+    ddl = "`Case ID` bigint, Activity string, `Complete Timestamp` timestamp, label int, Resource bigint, AMOUNT_REQ double, event_nr int, part bigint"
+    cases = order_cases(spark, sf).where("customer % 2 = 0").select("case_id")
+    back = logs.read_preset(spark, limited("dice4el", 5), path, ddl, cases)
+    return back.select("case_id", "activity", "outcome", "Resource", r6("AMOUNT_REQ", "AMOUNT_REQ"), "pos")
+
+
 @query(
     "read_event_log_parquet",
     f"SELECT user_id AS case_id, event_type AS activity, strftime(ts, '{DAY_SQL}') AS ts, event_id, value FROM events",

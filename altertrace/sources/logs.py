@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from altertrace.operators.traces import build_traces
 from altertrace.schema import LogSchema, Preset
+from altertrace.sources import xes
 
 _PAIRS = "array<struct<_key: string, _value: string>>"
 XES_KINDS = ("string", "date", "int", "float", "boolean")
@@ -71,30 +72,28 @@ def _attribute_map(prefix: str):
     return F.map_from_entries(F.concat(*lists))
 
 
-def write_event_log_xes(log: DataFrame, path: str, order: Sequence[str], attributes: dict[str, str] | None = None) -> None:
-    """``case_id, activity, ts`` (plus ``attributes``: column -> XES kind) to XES."""
-    attributes = attributes or {}
+def write_event_log_xes(log: DataFrame, path: str, order: Sequence[str], attributes: dict[str, str] | None = None, case_attributes: dict[str, str] | None = None) -> None:
+    """``case_id, activity, ts`` to XES, with more columns given by their XES kinds.
 
-    def pair(key, value):
-        return F.struct(F.lit(key).alias("_key"), value.cast("string").alias("_value"))
-
-    by_kind: dict[str, list] = {k: [] for k in XES_KINDS}
-    by_kind["string"].append(pair("concept:name", F.col("activity")))
-    by_kind["date"].append(pair("time:timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")))
-    for col, kind in attributes.items():
-        by_kind[kind].append(pair(col, F.col(col)))
-    event = F.struct(*[F.array(*v).alias(k) for k, v in by_kind.items() if v])
-    traces = build_traces(log, order, {"event": event})
-    named = F.array(pair("concept:name", F.col("case_id")))
-    traces.select(named.alias("string"), "event").write.format("xml").option("rootTag", "log").option(
-        "rowTag", "trace"
-    ).mode("overwrite").save(path)
-
-
-def read_preset(spark: SparkSession, preset: Preset, path: str, columns: str | None = None) -> DataFrame:
-    """Read a known log and apply its clean-up."""
+    A column named ``parent/child`` is written inside the attribute ``parent``. Case attributes take their smallest value in the case.
+    """
+    case_attributes = case_attributes or {}
+    event = {"concept:name": "string", "time:timestamp": "date", **(attributes or {})}
+    named = log.withColumns({"concept:name": F.col("activity"), "time:timestamp": F.col("ts")})
+    traces = build_traces(named, order, {"event": F.struct(*xes.elements(event))})
+    if case_attributes:
+        own = log.groupBy("case_id").agg(*[F.min(f"`{c}`").alias(c) for c in case_attributes])
+        traces = traces.join(own, "case_id", "left")
+    traces = traces.withColumn("concept:name", F.col("case_id"))
+    trace = xes.elements({"concept:name": "string", **case_attributes})
+    out = traces.select(*trace, "event").write.format("xml").option("rootTag", "log").option("rowTag", "trace")
+    out.mode("overwrite").save(path)
+
+
+def read_preset(spark: SparkSession, preset: Preset, path: str, columns: str | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """Read a known log with all its columns and apply its clean-up; ``cases`` (``case_id``) are the ones to keep, if given."""
     if preset.format == "csv":
         df = read_event_log_csv(spark, path, preset.schema, preset.sep, columns)
     else:
-        df = read_event_log_xes(spark, path, ("lifecycle:transition", "org:resource"), ("label",))
-    return preset.prepare(df)
+        df = xes.read_xes(spark, path)
+    return preset.prepare(df, cases)

@@ -178,26 +178,6 @@ def d4e_hamming(a: Column, b: Column) -> Column:
     return ds.longest(a, b) - _padded_matches(a, b)
 
 
-def d4e_plausibility(candidates: DataFrame, traces: DataFrame, acts: str = "acts") -> DataFrame:
-    """Is the candidate (more than one event) a prefix of some logged trace?
-
-    Logged traces are merged first; prefixes are only made of lengths that some
-    candidate has, and both sides meet in an equi-join on the prefix.
-    """
-    variants = traces.select(F.col(acts).alias("_t")).distinct()
-    lengths = candidates.select(F.size(acts).alias("_k")).distinct()
-    lens = one_row(lengths.agg(F.sort_array(F.collect_set("_k")).alias("ks")))["ks"]
-    wanted = F.array(*[F.lit(int(k)) for k in lens if k > 1]) if any(k > 1 for k in lens) else F.array().cast("array<int>")
-    fits = F.filter(wanted, lambda k: k <= F.size("_t"))
-    known = (
-        variants.select("_t", F.explode(fits).alias("_k"))
-        .select(F.slice("_t", F.lit(1), F.col("_k")).alias(acts))
-        .distinct()
-        .withColumn("plausible", F.lit(True))
-    )
-    return candidates.join(known, acts, "left").withColumn("plausible", F.coalesce("plausible", F.lit(False)))
-
-
 def d4e_exact_plausibility(candidates: DataFrame, traces: DataFrame, acts: str = "acts") -> DataFrame:
     """Does the candidate equal some logged trace?"""
     known = traces.select(acts).distinct().withColumn("exact", F.lit(True))

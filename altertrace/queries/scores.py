@@ -12,6 +12,7 @@ from altertrace.functions.draws import uniform_sql
 from altertrace.operators import distances as ds
 from altertrace.operators import logmodel as lm
 from altertrace.operators import measures as ms
+from altertrace.operators import prefixes as px
 from altertrace.operators import scoring as sc
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import cut
@@ -421,8 +422,10 @@ def _by_outcome(spark, sf):
     "SELECT case_id, p IS NOT NULL AS plausible FROM (SELECT * FROM o WHERE outcome = 1) c LEFT JOIN known ON known.p = c.acts",
 )
 def _(spark, sf):
-    regular, deviant, _ = _by_outcome(spark, sf)
-    return ms.d4e_plausibility(deviant, regular).select("case_id", "plausible")
+    _, deviant, _ = _by_outcome(spark, sf)
+    regular = scaled_events(spark, sf).join(order_cases(spark, sf).where("outcome = 0").select("case_id"), "case_id", "left_semi")
+    tree = px.prefix_tree(px.prefix_nodes(regular.select("case_id", *ORDER_KEYS, "act_id"), ORDER_KEYS))
+    return px.plausible(deviant, tree).select("case_id", "plausible")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from altertrace.functions.draws import uniform_sql
+from altertrace.operators import prefixes as px
 from altertrace.operators import traces as tr
 from altertrace.queries.base import (
     CASES,
@@ -33,6 +34,7 @@ from altertrace.queries.base import (
     user_log,
 )
 from altertrace.plans.ordering import ordered
+from altertrace.plans.tables import cut
 
 SEED = 7
 _CHAT_TR = CEV + """,
@@ -50,6 +52,18 @@ def _chat_traces(spark, sf):
     return tr.build_traces(coded, ["turn"], {"acts": F.col("act_id")})
 
 
+def _prefixes(spark, sf):
+    """Prefix nodes and traces of the order log under one vocabulary."""
+    vocab = order_vocabulary(spark, sf)
+    return cut(px.prefix_nodes(order_encoded(spark, sf, vocab), ORDER_KEYS)), order_traces(spark, sf, vocab=vocab)
+
+
+def _with_text(targets, nodes, traces):
+    """Targets with their prefixes as text, which is made once for each node."""
+    named = px.with_prefix(px.prefix_tree(nodes), traces).select("node", _text("prefix").alias("prefix"))
+    return targets.select("case_id", "node", "target").join(named, "node").select("case_id", "prefix", "target")
+
+
 @query("build_vocabulary", f"WITH {VOC} SELECT * FROM voc")
 def _(spark, sf):
     return tr.build_vocabulary(order_events(spark, sf))
@@ -150,7 +164,8 @@ SELECT {text('prefix')} AS prefix, CAST(k AS INTEGER) AS prefix_len, n, {r6_sql(
        {r6_sql('n / sum(n) OVER ()')} AS p_all FROM c""",
 )
 def _(spark, sf):
-    c = tr.trace_prefix_counts(order_traces(spark, sf))
+    nodes, traces = _prefixes(spark, sf)
+    c = px.with_prefix(px.with_shares(cut(px.prefix_tree(nodes))), traces)
     return c.select(_text("prefix").alias("prefix"), "prefix_len", "n", r6("p_len", "p_len"), r6("p_all", "p_all"))
 
 
@@ -229,12 +244,14 @@ def _(spark, sf):
 
 @query("target_next_event", f"WITH {TR} SELECT case_id, {text('acts[1:k]')} AS prefix, acts[k + 1] AS target FROM (SELECT *, unnest(range(1, n_events)) AS k FROM tr)")
 def _(spark, sf):
-    return tr.target_next_event(order_traces(spark, sf)).select("case_id", _text("prefix").alias("prefix"), "target")
+    nodes, traces = _prefixes(spark, sf)
+    return _with_text(px.next_events(nodes), nodes, traces)
 
 
 @query("target_next_outcome", f"WITH {TR} SELECT case_id, {text('acts[1:k]')} AS prefix, acts[n_events] AS target FROM (SELECT *, unnest(range(1, n_events + 1)) AS k FROM tr)")
 def _(spark, sf):
-    return tr.target_next_outcome(order_traces(spark, sf)).select("case_id", _text("prefix").alias("prefix"), "target")
+    nodes, traces = _prefixes(spark, sf)
+    return _with_text(px.last_events(nodes), nodes, traces)
 
 
 @query(
@@ -260,13 +277,15 @@ def _(spark, sf):
 
 @query("target_outcome_extensive", f"WITH {TR}, {CASES} SELECT case_id, {text('acts[1:k]')} AS prefix, outcome AS target FROM (SELECT *, unnest(range(4, n_events + 1)) AS k FROM tr) JOIN cases USING (case_id)")
 def _(spark, sf):
-    t = order_traces(spark, sf).join(order_cases(spark, sf).select("case_id", "outcome"), "case_id")
-    return tr.target_outcome_extensive(t).select("case_id", _text("prefix").alias("prefix"), "target")
+    nodes, traces = _prefixes(spark, sf)
+    return _with_text(px.outcomes(nodes, order_cases(spark, sf)), nodes, traces)
 
 
 @query("target_next_event_chat", f"WITH {_CHAT_TR} SELECT case_id, {text('acts[1:k]')} AS prefix, acts[k + 1] AS target FROM (SELECT *, unnest(range(1, n)) AS k FROM ctr)")
 def _(spark, sf):
-    return tr.target_next_event(_chat_traces(spark, sf)).select("case_id", _text("prefix").alias("prefix"), "target")
+    ev = chat_events(spark, sf)
+    nodes = cut(px.prefix_nodes(tr.encode_activities(ev, tr.fit_vocabulary(ev)), ["turn"]))
+    return _with_text(px.next_events(nodes), nodes, _chat_traces(spark, sf))
 
 
 # -- choosing cases -----------------------------------------------------------

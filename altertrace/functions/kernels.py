@@ -1,7 +1,9 @@
 """Batch kernels for sequence comparison (NumPy over a whole Arrow batch).
 
-Every kernel runs its dynamic program for many pairs at once: the loops are over
-positions, the arithmetic is over pairs. Only the last rows of the table are kept.
+Every kernel runs its dynamic program for many pairs at once and along anti-diagonals: cells with the same sum of
+positions do not depend on each other, so a step works on a whole diagonal of all pairs of a block, and a table of n by m cells takes
+n + m steps. Only the last four diagonals are kept. Blocks hold pairs of similar length and at most ``CELLS`` cells
+of a diagonal, so long traces make small blocks, and memory does not grow with the length of the longest trace times the number of pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4096
+CELLS = 1 << 19  # places on both sides, of all pairs of a block
+BAND = 64  # the first band of unit costs; shorter traces are worked on whole
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,61 +63,138 @@ class Lists:
 
 
 def blocks(a: Lists, b: Lists) -> Iterator[np.ndarray]:
-    """Row blocks of similar length, so that little padding is computed."""
+    """Row blocks of similar length, so that little padding is computed; the longest traces come last, in the smallest blocks."""
     order = np.lexsort((b.size, a.size))
-    for lo in range(0, len(order), BLOCK):
-        yield order[lo : lo + BLOCK]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        top_a, top_b = a.size[order[lo]], b.size[order[lo]]
+        while hi < len(order):
+            top_a, top_b = max(top_a, a.size[order[hi]]), max(top_b, b.size[order[hi]])
+            if (hi - lo + 1) * (top_a + top_b + 2) > CELLS:
+                break
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+class Wave:
+    """Anti-diagonals of the tables of some pairs: ``at(k - 1)`` has the cells (i, k - 1 - i) at column i.
+
+    ``fill`` stands outside of the table; cells (i, 0) and (0, j) are ``edge`` per place.
+    """
+
+    def __init__(self, sa: np.ndarray, sb: np.ndarray, edge: float, fill: float, band: int | None = None):
+        self.sa, self.sb, self.edge, self.fill, self.band = sa, sb, edge, fill, band
+        self.m, self.na, self.nb = len(sa), sa.shape[1], sb.shape[1]
+        self.kept = [np.full((self.m, self.na + 1), fill) for _ in range(5)]
+        self.kept[0][:, 0] = 0.0
+
+    def at(self, k: int) -> np.ndarray:
+        return self.kept[k % 5]
+
+    def steps(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Diagonal k with the rows lo to hi - 1 (from 1) of its inner cells and whether their symbols are the same."""
+        for k in range(1, self.na + self.nb + 1):
+            now = self.at(k)
+            now.fill(self.fill)
+            if k <= self.na:
+                now[:, k] = k * self.edge
+            if k <= self.nb:
+                now[:, 0] = k * self.edge
+            lo, hi = max(1, k - self.nb), min(self.na, k - 1) + 1
+            if self.band is not None:
+                lo, hi = max(lo, -(-(k - self.band) // 2)), min(hi, (k + self.band) // 2 + 1)
+            yield k, lo, hi, self.sa[:, lo - 1 : hi - 1] == self.others(self.sb, k, lo, hi) if lo < hi else np.zeros((self.m, 0), dtype=bool)
+
+    @staticmethod
+    def others(b: np.ndarray, k: int, lo: int, hi: int) -> np.ndarray:
+        """The entries of ``b`` that lie across from rows lo to hi - 1 on diagonal k."""
+        return b[:, k - hi : k - lo][:, ::-1]
+
+    def neighbours(self, k: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values above, to the left and diagonally before."""
+        return self.at(k - 1)[:, lo - 1 : hi - 1], self.at(k - 1)[:, lo:hi], self.at(k - 2)[:, lo - 1 : hi - 1]
 
 
 def edit_distance(
-    a: pa.Array, b: pa.Array, fa: pa.Array | None = None, fb: pa.Array | None = None, dist: str = "euclidean", border: float = 1.0
+    a: pa.Array, b: pa.Array, fa: pa.Array | None = None, fb: pa.Array | None = None, dist: str | Callable = "euclidean", border: float = 1.0
 ) -> np.ndarray:
     """Restricted edit distance with adjacent swaps.
 
     Without features: unit costs. With features: equal symbols cost the distance
     of their features, different symbols the sum of both distances to zero, a
     removal or insertion the distance to zero; the table's edges grow by
-    ``border`` per position.
+    ``border`` per position. ``dist`` is a name of ``DISTANCES`` or a function of two arrays of vectors.
     """
+    return edit_distances(a, b, fa, fb, [(dist, border)])[0]
+
+
+def edit_distances(a: pa.Array, b: pa.Array, fa: pa.Array | None, fb: pa.Array | None, costs: list[tuple[str | Callable, float]]) -> list[np.ndarray]:
+    """:func:`edit_distance` for several (distance, border), with one reading and padding of the pairs."""
     la, lb = Lists(a), Lists(b)
     xa, xb = (Lists(fa), Lists(fb)) if fa is not None else (None, None)
-    out = np.zeros(len(a))
+    out = [np.zeros(len(a)) for _ in costs]
     for rows in blocks(la, lb):
-        out[rows] = _edit_block(la, lb, xa, xb, rows, DISTANCES[dist], border)
+        sa, sb, na, nb = la.padded(rows, -1), lb.padded(rows, -2), la.size[rows], lb.size[rows]
+        if xa is None:
+            found = _unit_costs(sa, sb, na, nb, costs[0][1])
+            for o in out:
+                o[rows] = found
+            continue
+        va, vb = xa.padded(rows, 0.0), xb.padded(rows, 0.0)
+        for o, (dist, border) in zip(out, costs):
+            o[rows] = _feature_costs(sa, sb, na, nb, va, vb, DISTANCES[dist] if isinstance(dist, str) else dist, border)
     return out
 
 
-def _edit_block(la, lb, xa, xb, rows, dist, border) -> np.ndarray:
-    sa, sb = la.padded(rows, -1), lb.padded(rows, -2)
-    na, nb = la.size[rows], lb.size[rows]
-    m, width = len(rows), sb.shape[1]
-    if xa is None:
-        drop, add = np.ones(sa.shape), np.ones(sb.shape)
-    else:
-        va, vb = xa.padded(rows, 0.0), xb.padded(rows, 0.0)
+def _unit_costs(sa, sb, na, nb, border) -> np.ndarray:
+    """Unit costs: a distance within the band cannot leave it, so the band doubles only for pairs that are farther apart."""
+    band = None if border != 1.0 or max(sa.shape[1], sb.shape[1]) <= BAND else max(BAND, int(np.abs(na - nb).max(initial=0)))
+    out, left = np.zeros(len(sa)), np.arange(len(sa))
+    while left.size:
+        wide = None if band is not None and band >= max(sa.shape[1], sb.shape[1]) else band
+        found = _edits(Wave(sa[left], sb[left], border, np.inf, wide), na[left], nb[left])
+        fine = np.ones(left.size, dtype=bool) if wide is None else found <= wide
+        out[left[fine]] = found[fine]
+        left = left[~fine]
+        band = 2 * band if band is not None else None
+    return out
+
+
+def _feature_costs(sa, sb, na, nb, va, vb, dist, border) -> np.ndarray:
+    return _edits(Wave(sa, sb, border, np.inf), na, nb, va, vb, dist)
+
+
+def _edits(wave: Wave, na, nb, va=None, vb=None, dist=None) -> np.ndarray:
+    if dist is not None:
         drop, add = dist(va, np.zeros_like(va)), dist(vb, np.zeros_like(vb))
-    above2 = np.full((m, width + 1), np.inf)
-    above = np.tile(np.arange(width + 1) * border, (m, 1))
-    pick = np.arange(m)
-    result = above[pick, nb].copy()  # rows without any symbol on the left
-    for i in range(sa.shape[1]):
-        same = sa[:, i : i + 1] == sb
-        if xa is None:
-            change = np.where(same, 0.0, 1.0)
-        else:
-            change = np.where(same, dist(va[:, i : i + 1], vb), drop[:, i : i + 1] + add)
-        best = np.minimum(above[:, 1:] + drop[:, i : i + 1], above[:, :-1] + change)
-        if i and width > 1:
-            swapped = same[:, :-1] & (sa[:, i - 1 : i] == sb[:, 1:])
-            cost = change[:, 1:] if xa is not None else 1.0
-            best[:, 1:] = np.minimum(best[:, 1:], np.where(swapped, above2[:, :-2] + cost, np.inf))
-        row = np.empty((m, width + 1))
-        row[:, 0] = (i + 1) * border
-        for j in range(width):
-            np.minimum(best[:, j], row[:, j] + add[:, j], out=row[:, j + 1])
-        done = na == i + 1
-        result[done] = row[pick[done], nb[done]]
-        above2, above = above, row
+    pick = np.arange(wave.m)
+    result = np.where(na + nb == 0, 0.0, np.inf)
+    for k, lo, hi, same in wave.steps():
+        if lo < hi:
+            above, left, before = wave.neighbours(k, lo, hi)
+            if dist is None:
+                out, into, change = 1.0, 1.0, np.where(same, 0.0, 1.0)
+            else:
+                out, into = drop[:, lo - 1 : hi - 1], wave.others(add, k, lo, hi)
+                change = out + into
+                if same.any():
+                    at, place = np.nonzero(same)
+                    i = place + lo - 1
+                    change[at, place] = dist(va[at, i], vb[at, k - i - 2])
+            best = np.minimum(above + out, before + change)
+            # swaps: rows lo2 to hi - 1 that have two places before them on both sides
+            lo2, hi2 = max(lo, 2), min(hi, k - 1)
+            if lo2 < hi2:
+                s = slice(lo2 - lo, hi2 - lo)
+                crossed = (wave.sa[:, lo2 - 1 : hi2 - 1] == wave.others(wave.sb, k - 1, lo2, hi2)) & (wave.sa[:, lo2 - 2 : hi2 - 2] == wave.others(wave.sb, k, lo2, hi2))
+                cost = 1.0 if dist is None else change[:, s]
+                best[:, s] = np.minimum(best[:, s], np.where(crossed, wave.at(k - 4)[:, lo2 - 2 : hi2 - 2] + cost, np.inf))
+            wave.at(k)[:, lo:hi] = np.minimum(best, left + into)
+        done = na + nb == k
+        if done.any():
+            result[done] = wave.at(k)[pick[done], na[done]]
     return result
 
 
@@ -126,71 +206,56 @@ def _aligned(a: pa.Array, b: pa.Array, block: Callable) -> np.ndarray:
     return out
 
 
-def _local_alignment(sa, sb, na, nb):
-    """Best local alignment: match 1, mismatch 0, gap -1."""
-    above = np.zeros((len(sa), sb.shape[1] + 1))
-    top = np.zeros(len(sa))
-    for i in range(sa.shape[1]):
-        live = (i < na)[:, None] & (np.arange(sb.shape[1])[None, :] < nb[:, None])
-        best = np.maximum(np.maximum(above[:, 1:] - 1.0, above[:, :-1] + (sa[:, i : i + 1] == sb)), 0.0)
-        row = np.zeros_like(above)
-        for j in range(sb.shape[1]):
-            row[:, j + 1] = np.where(live[:, j], np.maximum(best[:, j], row[:, j] - 1.0), 0.0)
-        top = np.maximum(top, row.max(axis=1))
-        above = row
+def _at_ends(wave: Wave, na, nb, cell: Callable) -> np.ndarray:
+    """The value of the last cell of each pair; ``cell`` gives inner cells from those above, left and before, and equal symbols."""
+    pick, result = np.arange(wave.m), np.zeros(wave.m)
+    for k, lo, hi, same in wave.steps():
+        if lo < hi:
+            wave.at(k)[:, lo:hi] = cell(*wave.neighbours(k, lo, hi), same)
+        done = na + nb == k
+        result[done] = wave.at(k)[pick[done], na[done]]
+    return result
+
+
+def _highest(wave: Wave, cell: Callable) -> np.ndarray:
+    """The highest value of any cell."""
+    top = np.zeros(wave.m)
+    for k, lo, hi, same in wave.steps():
+        if lo < hi:
+            wave.at(k)[:, lo:hi] = found = cell(*wave.neighbours(k, lo, hi), same)
+            top = np.maximum(top, found.max(axis=1))
     return top
 
 
+def _local_alignment(sa, sb, na, nb):
+    """Best local alignment: match 1, mismatch 0, gap -1. Beyond the end of a trace nothing matches, so nothing rises there."""
+    return _highest(Wave(sa, sb, 0.0, 0.0), lambda above, left, before, same: np.maximum(np.maximum(above, left) - 1.0, np.maximum(before + same, 0.0)))
+
+
 def _global_alignment(sa, sb, na, nb):
     """Global alignment score: match 1, mismatch 0, gap -1."""
-    above = np.tile(-np.arange(sb.shape[1] + 1, dtype=float), (len(sa), 1))
-    pick = np.arange(len(sa))
-    result = above[pick, nb].copy()
-    for i in range(sa.shape[1]):
-        best = np.maximum(above[:, 1:] - 1.0, above[:, :-1] + (sa[:, i : i + 1] == sb))
-        row = np.empty_like(above)
-        row[:, 0] = -(i + 1.0)
-        for j in range(sb.shape[1]):
-            np.maximum(best[:, j], row[:, j] - 1.0, out=row[:, j + 1])
-        done = na == i + 1
-        result[done] = row[pick[done], nb[done]]
-        above = row
-    return result
+    return _at_ends(Wave(sa, sb, -1.0, 0.0), na, nb, lambda above, left, before, same: np.maximum(np.maximum(above, left) - 1.0, before + same))
 
 
 def _common_subsequence(sa, sb, na, nb):
-    above = np.zeros((len(sa), sb.shape[1] + 1))
-    for i in range(sa.shape[1]):
-        same = sa[:, i : i + 1] == sb
-        row = np.zeros_like(above)
-        for j in range(sb.shape[1]):
-            row[:, j + 1] = np.where(same[:, j], above[:, j] + 1, np.maximum(above[:, j + 1], row[:, j]))
-        above = row
-    return above[:, -1]
+    return _at_ends(Wave(sa, sb, 0.0, 0.0), na, nb, lambda above, left, before, same: np.where(same, before + 1.0, np.maximum(above, left)))
 
 
 def _common_run(sa, sb, na, nb):
-    above = np.zeros((len(sa), sb.shape[1] + 1))
-    top = np.zeros(len(sa))
-    for i in range(sa.shape[1]):
-        row = np.zeros_like(above)
-        row[:, 1:] = np.where(sa[:, i : i + 1] == sb, above[:, :-1] + 1, 0.0)
-        top = np.maximum(top, row.max(axis=1))
-        above = row
-    return top
+    return _highest(Wave(sa, sb, 0.0, 0.0), lambda above, left, before, same: np.where(same, before + 1.0, 0.0))
 
 
 def _jaro_winkler(sa, sb, na, nb):
     m = len(sa)
-    reach = np.maximum(np.maximum(na, nb) // 2 - 1, 0)
+    reach = np.maximum(np.maximum(na, nb) // 2 - 1, 0)[:, None]
     ma, mb = np.zeros(sa.shape, bool), np.zeros(sb.shape, bool)
-    for i in range(sa.shape[1]):
-        open_ = np.ones(m, bool)
-        for j in range(sb.shape[1]):
-            hit = open_ & (np.abs(i - j) <= reach) & ~mb[:, j] & (sa[:, i] == sb[:, j])
-            ma[:, i] |= hit
-            mb[:, j] |= hit
-            open_ &= ~hit
+    places, pick = np.arange(sb.shape[1])[None, :], np.arange(m)
+    for i in range(sa.shape[1] if sb.shape[1] else 0):
+        fits = (np.abs(i - places) <= reach) & ~mb & (sa[:, i : i + 1] == sb)
+        first = fits.argmax(axis=1)
+        hit = fits[pick, first]
+        ma[:, i] = hit
+        mb[pick[hit], first[hit]] = True
     n = ma.sum(1)
     width = int(n.max(initial=0))
     ga = np.take_along_axis(sa, np.argsort(~ma, axis=1, kind="stable"), 1)[:, :width]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,20 +76,59 @@ def edit_distance_transposition(a: Column, b: Column) -> Column:
     return _pair_udf(kernels.edit_distance)(a, b)
 
 
-def edit_distance_features(a: Column, b: Column, fa: Column, fb: Column, distance: str, border: float) -> Column:
+@dataclass(frozen=True)
+class Cost:
+    """A distance between feature vectors: a name and a function of two NumPy arrays whose last axis is the vector.
+
+    It has to be symmetric and not negative; any such function may be given.
+    """
+
+    name: str
+    between: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+EUCLIDEAN, DIFFERING, COSINE = (Cost(n, f) for n, f in kernels.DISTANCES.items())
+
+
+def as_cost(cost: str | Cost) -> Cost:
+    return cost if isinstance(cost, Cost) else Cost(cost, kernels.DISTANCES[cost])
+
+
+def edit_distance_features(a: Column, b: Column, fa: Column, fb: Column, distance: str | Cost, border: float) -> Column:
     """Edit distance with feature-aware costs over all events of both traces.
 
-    ``border`` is one constant per log (see ``measures.border_scale``), so a
+    ``border`` is one constant per log (see ``measures.border_scales``), so a
     result does not depend on which pairs share a batch.
     """
+    return edit_distances_features(a, b, fa, fb, [(distance, border)])[0]
 
-    @F.arrow_udf(T.DoubleType())
+
+def edit_distances_features(a: Column, b: Column, fa: Column, fb: Column, costs: Sequence[tuple[str | Cost, float]]) -> Column:
+    """:func:`edit_distance_features` under several costs, as one array from one pass over the pairs."""
+    pairs = [(as_cost(c).between, float(border)) for c, border in costs]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def run(a: pa.Array, b: pa.Array, fa: pa.Array, fb: pa.Array) -> pa.Array:
-        return pa.array(kernels.edit_distance(a, b, fa, fb, distance, border))
+        found = np.stack(kernels.edit_distances(a, b, fa, fb, pairs), axis=1)
+        return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * len(pairs), pa.array(found.reshape(-1)))
 
     return run(a, b, fa, fb)
 
 
+def costs_to_zero(x: Column, costs: Sequence[str | Cost]) -> Column:
+    """What it costs under each of several costs to add or remove an event with these features."""
+    named = [as_cost(c).between for c in costs]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(x: pa.Array) -> pa.Array:
+        v = kernels.Lists(x).padded(np.arange(len(x)), 0.0)
+        zero = np.zeros_like(v)
+        found = np.stack([f(v, zero) for f in named], axis=1).astype(float)
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(named), pa.array(found.reshape(-1)))
+
+    return run(x)
+
+
 def longest(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -41,26 +43,31 @@ def align_factual_with_candidate(pairs: DataFrame, keys: list[str], a: str = "fa
 # -- similarity and sparsity --------------------------------------------------
 
 
-def border_scale(events: DataFrame, x: str = "x", distance: str = "euclidean") -> float:
+def border_scales(events: DataFrame, costs: Sequence[str | ds.Cost], x: str = "x") -> list[float]:
+    """For each cost, the largest cost of any event's features to zero: constants of the log, from one aggregation."""
+    found = events.select(ds.costs_to_zero(F.col(x), costs).alias("c"))
+    row = found.agg(*[F.max(F.get("c", F.lit(i))).alias(f"m{i}") for i in range(len(costs))]).first()
+    return [float(v or 0.0) for v in row]
+
+
+def border_scale(events: DataFrame, x: str = "x", distance: str | ds.Cost = "euclidean") -> float:
     """Largest distance of any event's features to zero: one constant per log."""
-    zero = F.transform(x, lambda v: F.lit(0.0))
-    fn = {"euclidean": ds.distance_euclidean, "differing": ds.distance_count_differences}[distance]
-    return float(one_row(events.agg(F.max(fn(F.col(x), zero)).alias("m")))["m"] or 0.0)
+    return border_scales(events, [distance], x)[0]
 
 
-def edit_similarity(pairs: DataFrame, distance: str, border: float) -> Column:
-    """``1 - distance / constant`` with ``constant = border * (both lengths)``."""
-    d = ds.edit_distance_features(F.col("fa_acts"), F.col("acts"), F.col("fa_feats"), F.col("feats"), distance, border)
-    const = (F.size("fa_acts") + F.size("acts")) * F.lit(border)
-    return F.when(const > 0, F.lit(1.0) - d / const).otherwise(1.0)
+def edit_similarities(costs: Sequence[tuple[str | ds.Cost, float]]) -> list[Column]:
+    """``1 - distance / constant`` with ``constant = border * (both lengths)``, all from one pass over the pairs."""
+    d = ds.edit_distances_features(F.col("fa_acts"), F.col("acts"), F.col("fa_feats"), F.col("feats"), costs)
+    n = F.size("fa_acts") + F.size("acts")
+    return [F.when(n * F.lit(border) > 0, F.lit(1.0) - d[i] / (n * F.lit(border))).otherwise(1.0) for i, (_, border) in enumerate(costs)]
 
 
-def similarity(pairs: DataFrame, border: float) -> DataFrame:
-    return pairs.withColumn("similarity", edit_similarity(pairs, "euclidean", border))
+def similarity(pairs: DataFrame, border: float, cost: str | ds.Cost = "euclidean") -> DataFrame:
+    return pairs.withColumn("similarity", edit_similarities([(cost, border)])[0])
 
 
-def sparsity(pairs: DataFrame, border: float) -> DataFrame:
-    return pairs.withColumn("sparsity", edit_similarity(pairs, "differing", border))
+def sparsity(pairs: DataFrame, border: float, cost: str | ds.Cost = "differing") -> DataFrame:
+    return pairs.withColumn("sparsity", edit_similarities([(cost, border)])[0])
 
 
 # -- feasibility --------------------------------------------------------------
@@ -120,15 +127,20 @@ def trace_helpers(acts: Column, pad: int = 0) -> dict[str, Column]:
 # -- delta and viability ------------------------------------------------------
 
 
-def delta_raw(factual: Column, candidate: Column, evaluator: str = "difference") -> Column:
+#: How far two outcome scores are apart: a name here, or any function of two columns.
+EVALUATORS = {"difference": ds.score_difference, "odds_ratio": ds.score_odds_ratio}
+Evaluator = str | Callable[[Column, Column], Column]
+
+
+def delta_raw(factual: Column, candidate: Column, evaluator: Evaluator = "difference") -> Column:
     """Size of the outcome change: positive if 0.5 is crossed or the score rises."""
-    fn = {"difference": ds.score_difference, "odds_ratio": ds.score_odds_ratio}[evaluator]
+    fn = EVALUATORS[evaluator] if isinstance(evaluator, str) else evaluator
     size = F.abs(fn(factual, candidate))
     flips = (factual > 0.5) != (candidate > 0.5)
     return F.when(flips | (candidate > factual), size).otherwise(-size)
 
 
-def delta(factual: Column, candidate: Column, evaluator: str = "difference") -> Column:
+def delta(factual: Column, candidate: Column, evaluator: Evaluator = "difference") -> Column:
     return (delta_raw(factual, candidate, evaluator) + 0.5) / 1.5
 
 
@@ -204,11 +216,65 @@ def d4e_category_change(a: Column, b: Column) -> Column:
 
 
 def score_pairs(pairs: DataFrame, feasible: DataFrame, border: float, border_counts: float, keys: list[str]) -> DataFrame:
-    """All four measures and viability; ``fa_score`` and ``score`` must be present."""
-    out = similarity(pairs, border)
-    out = sparsity(out, border_counts)
+    """All four measures and viability; ``fa_score`` and ``score`` must be present. Both edit distances come from one pass."""
+    both = edit_similarities([("euclidean", border), ("differing", border_counts)])
+    out = pairs.withColumns({"similarity": both[0], "sparsity": both[1]})
     out = out.join(feasible, keys)
     out = out.withColumn("delta", delta(F.col("fa_score"), F.col("score")))
     return out.withColumn("viability", viability())
 
 
+# -- configurations of the measures -------------------------------------------
+
+
+@dataclass(frozen=True)
+class MeasureConfig:
+    """One choice for each measure: costs of similarity and sparsity, normaliser of feasibility, evaluator of the outcome, and which count."""
+
+    similarity: ds.Cost = ds.EUCLIDEAN
+    sparsity: ds.Cost = ds.DIFFERING
+    feasibility: int = 2
+    evaluator: Evaluator = "difference"
+    mask: str = "1111"
+
+    @property
+    def name(self) -> str:
+        by = self.evaluator if isinstance(self.evaluator, str) else self.evaluator.__name__
+        return "-".join([self.similarity.name, self.sparsity.name, str(self.feasibility), by, self.mask])
+
+
+def registry(
+    similarity: Sequence[ds.Cost] = (ds.EUCLIDEAN,), sparsity: Sequence[ds.Cost] = (ds.DIFFERING,), feasibility: Sequence[int] = (2,),
+    evaluators: Sequence[Evaluator] = ("difference",), masks: Sequence[str] = ("1111",),
+) -> list[MeasureConfig]:
+    """Every combination of the choices."""
+    return [MeasureConfig(*choice) for choice in product(similarity, sparsity, feasibility, evaluators, masks)]
+
+
+def score_configs(pairs: DataFrame, totals: DataFrame, configs: Sequence[MeasureConfig], borders: dict[str, float], keys: list[str], max_len: int) -> DataFrame:
+    """``config``, the four measures and ``viability`` of every pair under every configuration, from one pass over the pairs.
+
+    ``totals`` has ``log_p, n_events`` by ``keys`` (see :func:`feasibility_totals`) and ``borders`` the constant of each cost by its name.
+    Each cost, normaliser and evaluator is worked out once, however many configurations share it; a configuration is then a literal row of columns.
+    """
+    costs = list({c.name: c for cfg in configs for c in (cfg.similarity, cfg.sparsity)}.values())
+    by_cost = edit_similarities([(c, borders[c.name]) for c in costs])
+    out = pairs.withColumns({f"_cost_{c.name}": v for c, v in zip(costs, by_cost)}).join(totals, keys, "left")
+    n, log_p = F.coalesce("n_events", F.lit(0)), F.coalesce("log_p", F.lit(0.0))
+    modes = {f"_mode_{m}": normalise_feasibility(m, log_p, n, F.size("fa_acts"), max_len) for m in {cfg.feasibility for cfg in configs}}
+    deltas = {f"_delta_{i}": delta(F.col("fa_score"), F.col("score"), e) for i, e in enumerate(_evaluators(configs))}
+    kept = [c for c in pairs.columns if c not in ("config", *MEASURES, "viability")]
+    rows = [
+        F.struct(
+            F.lit(cfg.name).alias("config"), F.col(f"`_cost_{cfg.similarity.name}`").alias("similarity"), F.col(f"`_cost_{cfg.sparsity.name}`").alias("sparsity"),
+            F.col(f"_mode_{cfg.feasibility}").alias("feasibility"), F.col(f"_delta_{_evaluators(configs).index(cfg.evaluator)}").alias("delta"), F.lit(cfg.mask).alias("_mask"),
+        )
+        for cfg in configs
+    ]
+    long = out.withColumns(modes | deltas).select(*kept, F.inline(F.array(*rows)))
+    used = [F.when(F.substring("_mask", i + 1, 1) == "1", F.col(m)).otherwise(0.0) for i, m in enumerate(MEASURES)]
+    return long.withColumn("viability", sum(used[1:], used[0])).drop("_mask")
+
+
+def _evaluators(configs: Sequence[MeasureConfig]) -> list[Evaluator]:
+    return list(dict.fromkeys(cfg.evaluator for cfg in configs))

@@ -204,6 +204,9 @@ def _vec(fn: str) -> dict[str, str]:
     if fn == "euclidean":
         pair = "sqrt((x[i][1] - y[j][1]) ** 2 + (x[i][2] - y[j][2]) ** 2 + (x[i][3] - y[j][3]) ** 2)"
         one = "sqrt({0}[1] ** 2 + {0}[2] ** 2 + {0}[3] ** 2)"
+    elif fn == "manhattan":
+        pair = "(" + " + ".join(f"abs(x[i][{k}] - y[j][{k}])" for k in (1, 2, 3)) + ")"
+        one = "(" + " + ".join(f"abs({{0}}[{k}])" for k in (1, 2, 3)) + ")"
     else:
         pair = "(" + " + ".join(f"(CASE WHEN x[i][{k}] <> y[j][{k}] THEN 1.0 ELSE 0.0 END)" for k in (1, 2, 3)) + ")"
         one = "(" + " + ".join(f"(CASE WHEN {{0}}[{k}] <> 0 THEN 1.0 ELSE 0.0 END)" for k in (1, 2, 3)) + ")"
@@ -224,7 +227,7 @@ _EDIT_DF = _feature_edit("differing", "df")
 
 def _with_borders(spark, sf):
     events = scaled_events(spark, sf).withColumn("x", F.array(F.col("zq"), F.col("zd"), F.col("untaxed").cast("double")))
-    return events, ms.border_scale(events), ms.border_scale(events, distance="differing")
+    return events, *ms.border_scales(events, ["euclidean", "differing"])
 
 
 @query("edit_distance_features", f"WITH RECURSIVE {CPAIRS}, {_EDIT_EU} SELECT factual_id, cand_id, {r6_sql('above[lb + 1]')} AS distance FROM eu WHERE i = la")
@@ -373,6 +376,34 @@ def _(spark, sf):
     return grid.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("viability"), "mean_viability"))
 
 
+MANHATTAN = ds.Cost("manhattan", lambda a, b: abs(a - b).sum(-1))  # a cost of the user's own
+_RATIO = "(CASE WHEN (s > 0.5) <> (c > 0.5) OR c > s THEN abs(s / c) ELSE -abs(s / c) END)"
+
+
+@query(
+    "measure_configurations",
+    f"""WITH RECURSIVE {CPAIRS}, {FULL_MODEL}, {_EDIT_EU}, {_EDIT_DF}, {_feature_edit("manhattan", "mh")},
+sim AS (SELECT 'euclidean' AS cost, factual_id, cand_id, 1 - above[lb + 1] / (edge * (la + lb)) AS similarity FROM eu WHERE i = la
+  UNION ALL SELECT 'manhattan', factual_id, cand_id, 1 - above[lb + 1] / (edge * (la + lb)) FROM mh WHERE i = la),
+spa AS (SELECT factual_id, cand_id, 1 - above[lb + 1] / (edge * (la + lb)) AS sparsity FROM df WHERE i = la),
+fea AS (SELECT case_id AS cand_id, unnest([1, 2]) AS mode, unnest([exp(log_p), exp(log_p / n)]) AS feasibility FROM ft),
+del AS (SELECT factual_id, cand_id, unnest(['difference', 'odds_ratio']) AS evaluator, unnest([({DELTA} + 0.5) / 1.5, ({_RATIO} + 0.5) / 1.5]) AS delta FROM ({_SCORES})),
+masks AS (SELECT unnest(['1111', '1010']) AS mask)
+SELECT cost || '-differing-' || mode || '-' || evaluator || '-' || mask AS config, factual_id, cand_id, {r6_sql('similarity')} AS similarity, {r6_sql('delta')} AS delta,
+  {r6_sql("similarity + feasibility + CASE WHEN mask = '1111' THEN sparsity + delta ELSE 0 END")} AS viability
+FROM sim JOIN spa USING (factual_id, cand_id) JOIN fea USING (cand_id) JOIN del USING (factual_id, cand_id), masks""",
+)
+def _(spark, sf):
+    events = scaled_events(spark, sf).withColumn("x", F.array(F.col("zq"), F.col("zd"), F.col("untaxed").cast("double")))
+    configs = ms.registry([ds.EUCLIDEAN, MANHATTAN], [ds.DIFFERING], [1, 2], ["difference", "odds_ratio"], ["1111", "1010"])
+    costs = [ds.EUCLIDEAN, MANHATTAN, ds.DIFFERING]
+    borders = dict(zip([c.name for c in costs], ms.border_scales(events, costs)))
+    totals = _event_totals(spark, sf).withColumnRenamed("case_id", "cand_id")
+    pairs = _scored_pairs(spark, sf)
+    out = ms.score_configs(pairs, totals, configs, borders, ["cand_id"], 1)
+    return out.select("config", *KEYS, r6("similarity", "similarity"), r6("delta", "delta"), r6("viability", "viability"))
+
+
 @query(
     "viability_ranked",
     f"""{VIABILITY} SELECT factual_id, cand_id, {r6_sql('(count(*) OVER (PARTITION BY factual_id) - row_number() OVER (PARTITION BY factual_id ORDER BY round(delta, 9) DESC, round(feasibility, 9) DESC, round(sparsity, 9) DESC, round(similarity, 9) DESC, cand_id) + 1) / count(*) OVER (PARTITION BY factual_id)')} AS ranked FROM via""",

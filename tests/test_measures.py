@@ -117,12 +117,11 @@ def test_diversity_and_masks(spark):
 
 
 @pytest.mark.parametrize("block", [2, 3, 512])
-def test_front_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(pareto, "BLOCK", block)
+def test_front_against_brute_force(spark, block):
     rng = random.Random(9)
     rows = [(g, i, rng.randint(0, 6), rng.randint(0, 6), rng.randint(0, 3)) for g in range(3) for i in range(40 if g == 0 else 6)]
     df = spark.createDataFrame(rows, "factual_id int, cand_id int, a int, b int, c int")
-    got = {tuple(r) for r in pareto.pareto_front(df, ["a", "b", "c"]).collect()}
+    got = {tuple(r) for r in pareto.pareto_front(df, ["a", "b", "c"], block=block).collect()}
     want = {
         r[:2]
         for r in rows
@@ -134,3 +133,85 @@ def test_front_against_brute_force(spark, monkeypatch, block):
 def test_known_front(spark):
     df = spark.createDataFrame([(1, 0, 1, 4), (1, 1, 2, 3), (1, 2, 3, 1), (1, 3, 2, 2), (1, 4, 1, 1)], "factual_id int, cand_id int, a int, b int")
     assert sorted(r["cand_id"] for r in pareto.pareto_front(df, ["a", "b"]).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("dims", [2, 3])
+def test_anti_correlated_front_of_one_large_group(spark, dims):
+    rng = np.random.default_rng(5)
+    n = 100_000 if dims == 2 else 20_000
+    x = np.round(rng.random((n, dims)), 5)
+    x[:, -1] = np.round(dims - x[:, :-1].sum(axis=1), 5)  # nothing dominates anything but by rounding
+    x[: n // 10] -= 0.01  # but for these
+    names = [f"m{i}" for i in range(dims)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(x.tolist())], f"factual_id int, cand_id int, {', '.join(f'{m} double' for m in names)}")
+    got = {r["cand_id"] for r in pareto.pareto_front(df, names).collect()}
+    if dims == 2:  # best first by the first measure; a point stays if the second rises
+        order = np.lexsort((-x[:, 1], -x[:, 0]))
+        best, want = -np.inf, set()
+        for a, b in itertools.groupby(order.tolist(), key=lambda i: x[i, 0]):
+            same = list(b)
+            top = max(x[i, 1] for i in same)
+            if top > best:
+                want |= {i for i in same if x[i, 1] == top}
+                best = top
+    else:
+        want = set(np.flatnonzero(~pareto.dominated(x, x)).tolist())
+    assert got == want and len(got) > n // 2
+
+
+def test_front_with_nulls_ties_and_empty_groups(spark):
+    rows = [(1, 0, 1.0, None), (1, 1, 1.0, None), (1, 2, 0.5, 2.0), (1, 3, None, None), (None, 4, 1.0, 1.0), (None, 5, 0.0, 1.0), (2, 6, -0.0, 0.0), (2, 7, 0.0, -0.0)]
+    df = spark.createDataFrame(rows, "factual_id int, cand_id int, a double, b double")
+    assert sorted(r["cand_id"] for r in pareto.pareto_front(df, ["a", "b"]).collect()) == [0, 1, 2, 4, 6, 7]
+    assert pareto.pareto_front(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_kernels_on_long_traces_and_in_small_blocks(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(12):
+        a = [rng.randint(1, 4) for _ in range(rng.randint(60, 160))]
+        b = [x if rng.random() < 0.95 else rng.randint(1, 4) for x in a][rng.randint(0, 3) :]
+        pairs.append((a, b if rng.random() < 0.8 else b[::-1]))
+    a, b = (pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (0, 1))
+    want = [osa(*p) for p in pairs]
+    assert np.allclose(kernels.edit_distance(a, b), want)
+    monkeypatch.setattr(kernels, "CELLS", 500)
+    assert np.allclose(kernels.edit_distance(a, b), want)
+    kind = pa.list_(pa.list_(pa.float64()))
+    fa, fb = (pa.array([[[float(x), 1.0] for x in p[k]] for p in pairs], kind) for k in (0, 1))
+    both = kernels.edit_distances(a, b, fa, fb, [("euclidean", 2.0), (lambda x, y: abs(x - y).sum(-1), 3.0)])
+    assert all(np.allclose(x, kernels.edit_distance(a, b, fa, fb, *c)) for x, c in zip(both, [("euclidean", 2.0), (lambda x, y: abs(x - y).sum(-1), 3.0)]))
+
+
+def test_long_pairs_stay_small():
+    import tracemalloc
+
+    rng = random.Random(2)
+    a = [[rng.randint(1, 9) for _ in range(10_000)] for _ in range(2)]
+    b = [[x if rng.random() < 0.995 else 10 for x in s] for s in a]
+    left, right = (pa.array(s, pa.list_(pa.int32())) for s in (a, b))
+    tracemalloc.start()
+    got = kernels.edit_distance(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and all(0 < g < 200 for g in got)
+
+
+def test_measure_configurations_take_user_costs_and_evaluators(spark):
+    rows = [(1, 2, [1, 2], [[1.0], [2.0]], [1, 2], [[1.5], [2.0]], 0.4, 0.8)]
+    df = spark.createDataFrame(rows, "factual_id int, cand_id int, fa_acts array<int>, fa_feats array<array<double>>, acts array<int>, feats array<array<double>>, fa_score double, score double")
+    totals = spark.createDataFrame([(2, -1.0, 2)], "cand_id int, log_p double, n_events long")
+    squared = ds.Cost("squared", lambda x, y: ((x - y) ** 2).sum(-1))
+
+    def gap(a, b):
+        return (a - b) * 10
+
+    configs = ms.registry([ds.EUCLIDEAN, squared], feasibility=[1, 2], evaluators=["difference", gap], masks=["1111", "0001"])
+    assert len(configs) == len({c.name for c in configs}) == 16
+    got = {r["config"]: r for r in ms.score_configs(df, totals, configs, {"euclidean": 2.0, "squared": 4.0, "differing": 1.0}, ["cand_id"], 5).collect()}
+    assert len(got) == 16
+    assert got["euclidean-differing-1-difference-1111"]["similarity"] == pytest.approx(1 - 0.5 / 8)
+    assert got["squared-differing-1-difference-1111"]["similarity"] == pytest.approx(1 - 0.25 / 16)
+    assert got["squared-differing-2-gap-0001"]["viability"] == got["squared-differing-2-gap-0001"]["delta"] == pytest.approx((4 + 0.5) / 1.5)
+    assert got["squared-differing-2-gap-0001"]["feasibility"] == pytest.approx(math.exp(-0.5))

@@ -63,7 +63,8 @@ def build_traces(
 ) -> DataFrame:
     """One row per case with ordered arrays of all its events.
 
-    An array must fit one row: a case of more than ``max_events`` events stops with an error and is never cut. Large
+    An array must fit one row: a case of more than ``max_events`` events stops with an error and is never cut; ``operators.pages`` takes
+    cases of any size. Large
     cases are found by the hash sample of ``plans.ordering`` and counted before any array is built; what the sample
     misses fails in the row itself. Steps that need no array (positions, neighbours, running sums) take cases of any size.
     """

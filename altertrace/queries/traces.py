@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from altertrace.functions.draws import uniform_sql
+from altertrace.operators import pages as pg
 from altertrace.operators import prefixes as px
 from altertrace.operators import traces as tr
 from altertrace.queries.base import (
@@ -233,6 +234,55 @@ def _(spark, sf):
     return t.select("case_id", _text().alias("event_view"), r6(total, "quantity_sum"), F.col("n_events").cast("bigint").alias("n_events"))
 
 
+# -- pages --------------------------------------------------------------------
+
+UTR = UEV + """,
+uvoc AS (SELECT activity, CAST(row_number() OVER (ORDER BY activity) AS INTEGER) AS act_id FROM (SELECT DISTINCT activity FROM uev)),
+utr AS (SELECT case_id, list(act_id ORDER BY pos) AS acts, count(*) AS n FROM uev JOIN uvoc USING (activity) GROUP BY case_id)"""
+
+
+def _user_pages(spark, sf, page=5):
+    """Users' traces in pages of a few events, so that most cases have several."""
+    ev = user_events(spark, sf)
+    coded = tr.encode_activities(ev, tr.fit_vocabulary(ev))
+    return cut(pg.build_pages(coded, USER_KEYS, {"acts": F.col("act_id")}, page=page))
+
+
+@query("build_pages", f"WITH {UTR} SELECT case_id, k AS page, 5 * k AS first_pos, {text('acts[5 * k + 1:5 * k + 5]')} AS acts, acts[5 * k] AS before, acts[5 * k + 6] AS after FROM (SELECT *, unnest(range(0, (n + 4) // 5)) AS k FROM utr)")
+def _(spark, sf):
+    p = _user_pages(spark, sf)
+    return p.select("case_id", "page", "first_pos", _text().alias("acts"), F.col("before_acts").alias("before"), F.col("after_acts").alias("after"))
+
+
+@query("transition_counts_pages", f"WITH {UTR} SELECT a AS act_from, b AS act_to, count(*) AS n FROM (SELECT acts[k] AS a, acts[k + 1] AS b FROM (SELECT acts, unnest(range(1, n)) AS k FROM utr)) GROUP BY ALL")
+def _(spark, sf):
+    return pg.transitions(_user_pages(spark, sf))
+
+
+@query("trace_variants_pages", f"WITH {UTR} SELECT n AS length, count(*) AS n_cases, min(case_id) AS example FROM utr GROUP BY acts, n")
+def _(spark, sf):
+    return pg.variants(_user_pages(spark, sf)).select(F.col("node.length").cast("bigint").alias("length"), "n_cases", "example")
+
+
+@query("reverse_traces_pages", f"WITH {UTR} SELECT case_id, {text('list_reverse(acts)')} AS reversed, {text('list_concat(acts[2:], [0])')} AS target, acts[n] AS last FROM utr")
+def _(spark, sf):
+    p = _user_pages(spark, sf)
+    back = pg.joined(pg.reversed_pages(p)).select("case_id", _text().alias("reversed"))
+    ahead = pg.joined(pg.shifted(p), "target").select("case_id", tr.sequence_text("target").alias("target"))
+    return back.join(ahead, "case_id").join(pg.last_events(p).withColumnRenamed("target", "last"), "case_id")
+
+
+@query(
+    "d4e_proximity_pages",
+    f"WITH {UTR} SELECT a.case_id AS a, b.case_id AS b, {r6_sql('list_sum(list_transform(range(1, greatest(a.n, b.n) + 1), lambda k: CASE WHEN a.acts[k] = b.acts[k] THEN 1 ELSE 0 END)) / greatest(a.n, b.n)')} AS proximity FROM utr a JOIN utr b ON b.case_id = a.case_id + 1",
+)
+def _(spark, sf):
+    p = _user_pages(spark, sf)
+    ids = pg.lengths(p).select(F.col("case_id").alias("a"), (F.col("case_id") + 1).alias("b"))
+    pairs = ids.join(pg.lengths(p).select(F.col("case_id").alias("b")), "b", "left_semi").select("a", "b")
+    return pg.matches(pairs, p, p).select("a", "b", r6(F.col("n_same") / F.col("n_longer"), "proximity"))
+
+
 # -- targets ------------------------------------------------------------------
 
 

@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 SCALE = float(1 << 52)
 
 
+def _primes(start: int, n: int) -> list[int]:
+    """The first ``n`` primes from ``start`` on."""
+    small = [p for p in range(2, math.isqrt(2 * start) + 1) if all(p % q for q in range(2, math.isqrt(p) + 1))]
+    out = []
+    while len(out) < n:
+        if all(start % p for p in small):
+            out.append(start)
+        start += 1
+    return out
+
+
+#: Multipliers of permutations: more than two factuals ever share by design, and far from any table's size.
+STRIDES = _primes(1_000_003, 1024)
+
+
 def _text(part) -> Column:
     return part.cast("string") if isinstance(part, Column) else F.lit(str(part))
 
@@ -30,6 +45,30 @@ def integer(low: int, high, seed: int | str, *ids) -> Column:
     return (F.floor(uniform(seed, *ids) * span) + F.lit(low)).cast("int")
 
 
+def strides(size: int) -> list[int]:
+    """The multipliers that permute positions below ``size``: those that do not divide it."""
+    return [p for p in STRIDES if size % p]
+
+
+def position(size: int, place: Column, seed: int | str, *ids) -> Column:
+    """Place ``place`` (below ``size``) of a permutation of 0 .. size - 1 that is drawn for ``ids``.
+
+    ``(start + place * stride) mod size`` with a drawn start and a drawn prime stride: a stride that shares no factor with ``size`` meets every
+    position once, and other ids walk the positions in another order.
+    """
+    known = strides(size)
+    stride = F.element_at(F.array(*[F.lit(p) for p in known]), integer(1, len(known) + 1, seed, *ids, "stride"))
+    start = F.floor(uniform(seed, *ids, "start") * F.lit(size))
+    return ((start + place.cast("bigint") * stride) % F.lit(size)).cast("bigint")
+
+
+def position_sql(size: str, place: str, seed: int | str, *ids: str) -> str:
+    """The same position as SQL; ``size`` is an expression."""
+    known = f"list_filter({STRIDES}, lambda p: {size} % p <> 0)"
+    stride = f"{known}[CAST(floor({uniform_sql(seed, *ids, chr(39) + 'stride' + chr(39))} * len({known})) AS BIGINT) + 1]"
+    return f"((CAST(floor({uniform_sql(seed, *ids, chr(39) + 'start' + chr(39))} * {size}) AS BIGINT) + {place} * {stride}) % {size})"
+
+
 def normal(seed: int | str, *ids) -> Column:
     """Standard normal draw (Box-Muller on two uniforms)."""
     u = F.lit(1.0) - uniform(seed, *ids, "a")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altertrace.operators.measures import MEASURES
-from altertrace.plans.ordering import exact_median, number_rows, ordered
+from altertrace.plans.ordering import exact_median, number_globally, number_rows, ordered
 from altertrace.plans.tables import one_row
 
 # -- candidates ---------------------------------------------------------------
@@ -233,7 +233,7 @@ def paired_distances(df: DataFrame, value: str, label: str, a, b, ident: str) ->
 
     def side(which, name):
         rows = df.where(F.col(label) == F.lit(which)).select(ident, F.col(value).alias(name))
-        return number_rows(rows, [], [ident], "_i").select("_i", name)
+        return number_globally(rows, [ident], "_i").select("_i", name)
 
     x, y = F.col("_x"), F.col("_y")
     both = side(a, "_x").join(side(b, "_y"), "_i")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from altertrace.functions import draws
 from altertrace.operators import emissions as em
 from altertrace.operators import logmodel as lm
-from altertrace.plans.ordering import number_rows
+from altertrace.plans.ordering import number_globally
 
 KEYS = ("factual_id", "cand_id")
 
@@ -54,25 +54,22 @@ def generate_random(factuals: DataFrame, n: int, v: int, d: int, max_len: int, s
 def generate_case_based(factuals: DataFrame, traces: DataFrame, n: int, seed: int, replacement: bool = False) -> DataFrame:
     """``n`` logged traces per factual, picked by position with an equi-join.
 
-    Without replacement: the log is put in hash order once and every factual takes
-    ``n`` consecutive positions from a drawn start (wrapping around), so its
-    traces are distinct. With replacement: one drawn position per candidate.
+    Without replacement every factual walks the log in a permutation of its own (``draws.position``), so its traces are distinct and
+    those of two factuals meet as by chance. With replacement: one drawn position per candidate. Ids alone are numbered,
+    over ranges of the table; the arrays move once, to the picks.
     """
     size = traces.count()
     if size == 0:
         raise ValueError("the log has no traces")
-    log = traces.select(F.col("case_id"), "acts", "feats")
+    ids = number_globally(traces.select("case_id"), ["case_id"], "_slot")
     if replacement:
-        placed = number_rows(log, [], ["case_id"], "_slot")
-        picks = numbered_candidates(factuals, n).withColumn(
-            "_slot", F.floor(draws.uniform(seed, F.col("factual_id"), F.col("cand_id")) * F.lit(size))
-        )
+        slot = F.floor(draws.uniform(seed, F.col("factual_id"), F.col("cand_id")) * F.lit(size))
+        picks = numbered_candidates(factuals, n).withColumn("_slot", slot)
     else:
-        hashed = log.withColumn("_u", draws.uniform(seed, F.col("case_id")))
-        placed = number_rows(hashed, [], ["_u", "case_id"], "_slot").drop("_u")
-        start = F.floor(draws.uniform(seed, F.col("factual_id"), "start") * F.lit(size))
-        picks = numbered_candidates(factuals, min(n, size)).withColumn("_slot", (start + F.col("cand_id")) % F.lit(size))
-    return picks.join(placed, "_slot").select(*KEYS, "acts", "feats")
+        picks = numbered_candidates(factuals, min(n, size))
+        picks = picks.withColumn("_slot", draws.position(size, F.col("cand_id"), seed, F.col("factual_id")))
+    picked = picks.join(ids, "_slot").select(*KEYS, "case_id")
+    return picked.join(traces.select("case_id", "acts", "feats"), "case_id").select(*KEYS, "acts", "feats")
 
 
 def attach_sampled_features(candidates: DataFrame, fitted: em.Emissions, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from altertrace.functions import draws
 from altertrace.operators.encode import category_codes
-from altertrace.plans.ordering import ONE_IN, large_groups, number_rows, ordered
+from altertrace.plans.ordering import ONE_IN, large_groups, number_globally, number_rows, ordered
 from altertrace.plans.tables import lookup, one_row
 
 PAD = 0
@@ -266,13 +266,14 @@ def subset_cases(cases: DataFrame, label: str, per_label: int, case: str = "case
 
 
 def sample_cases(cases: DataFrame, n: int, seed: int, case: str = "case_id") -> DataFrame:
-    """``n`` cases without replacement, in hash order (top-n per task, then merged)."""
-    return cases.withColumn("_u", draws.uniform(seed, F.col(case))).orderBy("_u", case).limit(n).drop("_u")
+    """``n`` cases without replacement: the first in hash order, whatever their number, by positions over ranges."""
+    placed = number_globally(cases.withColumn("_u", draws.uniform(seed, F.col(case))), ["_u", case], "_at")
+    return placed.where(F.col("_at") < n).drop("_u", "_at")
 
 
 def sample_with_replacement(cases: DataFrame, n_draws: DataFrame, seed: int, case: str = "case_id") -> DataFrame:
     """One drawn case per row of ``n_draws`` (column ``draw_id``)."""
-    placed = number_rows(cases, [], [case], "_at")
+    placed = number_globally(cases, [case], "_at")
     size = cases.count()
     picks = n_draws.withColumn("_at", F.floor(draws.uniform(seed, F.col("draw_id")) * F.lit(size)))
     return picks.join(placed, "_at").drop("_at")

@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from altertrace.plans.tables import lookup
+from altertrace.plans.tables import cut, lookup
 
 ONE_IN = 1 << 20
 STEPS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
@@ -183,6 +183,25 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return ordered(df, keys, order, number=name, one_in=one_in)
 
 
+def number_globally(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Dense 0-based position of every row in the whole table, without a task that sees all of it.
+
+    Rows are dealt by ranges of their order, sorted in their range and written with their place in it; a range's first position
+    is the size of the ranges before, a table of one row for each range.
+    """
+    ordered_rows, order, helpers = _order_columns(df, order)
+    ranged = ordered_rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # range in the upper bits, place in the lower 33
+    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()).drop(*helpers))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_range")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lookup(sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")))
+    joined = placed.withColumn("_range", part).join(starts, "_range")
+    position = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.select(*[c for c in df.columns if c != name], position.cast("bigint").alias(name))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str) -> DataFrame:
     """Exact median of ``value`` per group without holding a group in memory.
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from altertrace.functions import draws
-from altertrace.functions.draws import uniform_sql
+from altertrace.functions.draws import position_sql, uniform_sql
 from altertrace.operators import evolve as ev
 from altertrace.operators import generate as gen
 from altertrace.operators import logmodel as lm
@@ -54,10 +54,9 @@ def _(spark, sf):
 
 @query(
     "generate_case_based",
-    f"""WITH {FIRSTS}, ring AS (SELECT acts, row_number() OVER (ORDER BY {uniform_sql(SEED, 'case_id')}, case_id) - 1 AS slot FROM mtr),
-p AS (SELECT factual_id, cand_id, (CAST(floor({uniform_sql(SEED, 'factual_id', "'start'")} * (SELECT count(*) FROM mtr)) AS BIGINT) + cand_id) % (SELECT count(*) FROM mtr) AS slot
-      FROM fa, range({N}) t(cand_id))
-SELECT factual_id, cand_id, {text()} AS acts FROM p JOIN ring USING (slot)""",
+    f"""WITH {FIRSTS}, line AS (SELECT acts, row_number() OVER (ORDER BY case_id) - 1 AS slot FROM mtr), z AS (SELECT count(*) AS size FROM mtr),
+p AS (SELECT factual_id, cand_id, {position_sql('size', 'cand_id', SEED, 'factual_id')} AS slot FROM fa, range({N}) t(cand_id), z)
+SELECT factual_id, cand_id, {text()} AS acts FROM p JOIN line USING (slot)""",
 )
 def _(spark, sf):
     from altertrace.queries.scores import model_traces

@@ -73,3 +73,31 @@ def test_lookup_falls_back_to_a_table_when_too_large(spark):
     assert tables.lookup(df, max_rows=10).count() == 1000
     assert tables.lookup(df, max_rows=1000).count() == 1000
     assert tables.lookup(df.where("id < 0")).count() == 0
+
+
+def test_global_numbers_follow_the_order_over_ranges(spark):
+    from altertrace.plans.ordering import number_globally
+
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003).alias("k"), F.lit("x").alias("more")).repartition(7)
+    got = number_globally(df, ["k"], "at").orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(5000)) and [r["k"] for r in got] == sorted(r["k"] for r in got)
+    down = number_globally(df, ["-k"], "at").orderBy("at").collect()
+    assert [r["k"] for r in down] == sorted((r["k"] for r in got), reverse=True) and down[0].asDict().keys() == {"k", "more", "at"}
+    assert number_globally(df.where("false"), ["k"], "at").count() == 0
+
+
+def test_positions_are_a_permutation_and_meet_by_chance(spark):
+    from altertrace.functions import draws
+
+    for size in (1, 2, 10, 1_000_003):
+        n = min(size, 200)
+        rows = spark.range(n).crossJoin(spark.range(30).withColumnRenamed("id", "f")).select("f", draws.position(size, F.col("id"), 3, F.col("f")).alias("at")).collect()
+        picks = {}
+        for r in rows:
+            picks.setdefault(r["f"], set()).add(r["at"])
+        assert all(len(p) == n and min(p) >= 0 and max(p) < size for p in picks.values())
+    # 30 sets of 200 out of 2000 share 20 on average
+    rows = spark.range(200).crossJoin(spark.range(30).withColumnRenamed("id", "f")).select("f", draws.position(2000, F.col("id"), 3, F.col("f")).alias("at")).collect()
+    sets = [{r["at"] for r in rows if r["f"] == f} for f in range(30)]
+    shared = [len(a & b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 15 < sum(shared) / len(shared) < 25 and max(shared) < 120

@@ -37,11 +37,39 @@ def _moments(df: DataFrame, cont: Sequence[str], binary: Sequence[str], by: list
     return df.groupBy(*by).agg(*aggs)
 
 
+def merged_moments(rows: DataFrame, d: int, n_binary: int = 0) -> DataFrame:
+    """Moments rows of the same activity put together: the moments of all their events, exactly as if fitted at once.
+
+    A covariance about the common mean is the mean of the parts' covariances and of what their means differ by. Features must not be null.
+    """
+    n = F.col("support")
+    mean = lambda c, i: F.sum(n * F.get(c, F.lit(i))) / F.sum(n)
+    share = lambda c, k: F.array(*[mean(c, i) for i in range(k)]).cast("array<double>").alias(c)
+    whole = rows.groupBy("act_id").agg(F.sum(n).alias("support"), share("mean", d), share("p_binary", n_binary))
+    about = rows.join(whole.select("act_id", F.col("mean").alias("_m")), "act_id")
+    off = [F.get("mean", F.lit(i)) - F.get("_m", F.lit(i)) for i in range(d)]
+    cell = {(i, j): F.sum(n * (F.get(F.get("cov_pop", F.lit(i)), F.lit(j)) + off[i] * off[j])) / F.sum(n) for i in range(d) for j in range(i, d)}
+    table = F.array(*[F.array(*[cell[min(i, j), max(i, j)] for j in range(d)]) for i in range(d)]).cast("array<array<double>>")
+    return whole.join(about.groupBy("act_id").agg(table.alias("cov_pop")), "act_id").select("act_id", "support", "mean", "cov_pop", "p_binary")
+
+
 def fit_moments(df: DataFrame, cont: Sequence[str], binary: Sequence[str] = (), act: str = "act_id") -> DataFrame:
-    """Support, means, population covariance and 0/1 shares per activity, plus the fallback."""
-    per = _moments(df, cont, binary, [F.col(act).cast("int").alias("act_id")])
-    rest = _moments(df, cont, binary, [F.lit(FALLBACK).alias("act_id")])
-    return per.unionByName(rest)
+    """Support, means, population covariance and 0/1 shares per activity, plus the fallback.
+
+    One scan: the fallback over all events is merged from the activities' rows. Moments of more events are added by :func:`updated_moments`.
+    """
+    per = lookup(_moments(df, cont, binary, [F.col(act).cast("int").alias("act_id")]))
+    return _with_fallback(per, len(cont), len(binary))
+
+
+def _with_fallback(per: DataFrame, d: int, n_binary: int) -> DataFrame:
+    return per.unionByName(merged_moments(per.withColumn("act_id", F.lit(FALLBACK)), d, n_binary))
+
+
+def updated_moments(moments: DataFrame, more: DataFrame, d: int, n_binary: int = 0) -> DataFrame:
+    """The moments of two logs together, without reading either again."""
+    per = merged_moments(moments.unionByName(more).where(F.col("act_id") != FALLBACK), d, n_binary)
+    return _with_fallback(lookup(per), d, n_binary)
 
 
 def sample_covariance(kind: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from altertrace.operators import encode, events, profile
+from altertrace.operators import encode, events, profile, steps
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import scratch_path
 from altertrace.queries.base import (
@@ -604,6 +604,56 @@ def _(spark, sf):
     return back.select("case_id", "line", "state", "priority", r6("quantity", "quantity"), r6("tax", "tax"))
 
 
+def _own_steps():
+    """A pipeline with a step of the user's own: quantities as logarithms above their least value."""
+
+    def learn(df):
+        return df.agg(F.min("quantity").alias("least"))
+
+    def least(state):
+        return F.lit(state.first()["least"])
+
+    logs_of = steps.Function(
+        "logarithm",
+        lambda df, state: df.withColumn("quantity", F.log1p(F.col("quantity") - least(state))),
+        lambda df, state: df.withColumn("quantity", F.expm1("quantity") + least(state)),
+        learn,
+    )
+    numbers = lambda df: [c for c, kind in df.dtypes if kind == "double"]
+    return [logs_of, steps.Label("state"), steps.Base2("priority"), steps.TimeParts("ts"), steps.Scale(numbers)]
+
+
+def _step_rows(spark, sf):
+    rows = order_events(spark, sf).join(order_cases(spark, sf).select("case_id", "priority"), "case_id")
+    return rows.select("case_id", "line", "ts", F.substring("activity", 2, 1).alias("state"), "priority", "quantity", "tax")
+
+
+@query(
+    "pipeline_steps",
+    f"""WITH {EV}, {CASES}, l AS (SELECT case_id, line, activity[2:2] AS state, priority, ln(1 + quantity - (SELECT min(quantity) FROM ev)) AS q, tax, ts FROM ev JOIN cases USING (case_id)),
+m AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(tax) AS mt, stddev_pop(tax) AS st FROM l),
+s AS (SELECT state, row_number() OVER (ORDER BY state) - 1 AS code FROM (SELECT DISTINCT state FROM l)), p AS (SELECT priority, row_number() OVER (ORDER BY priority) AS code FROM (SELECT DISTINCT priority FROM l))
+SELECT case_id, line, s.code AS state, CAST(p.code % 2 AS INTEGER) AS priority_0, CAST((p.code // 2) % 2 AS INTEGER) AS priority_1, CAST((p.code // 4) % 2 AS INTEGER) AS priority_2,
+  {r6_sql('(q - mq) / sq')} AS quantity, {r6_sql('(tax - mt) / st')} AS tax, CAST(day(ts) AS INTEGER) AS ts_day FROM l JOIN s USING (state) JOIN p USING (priority), m""",
+)
+def _(spark, sf):
+    rows = _step_rows(spark, sf)
+    out = steps.fit(rows, _own_steps()).transform(rows)
+    return out.select("case_id", "line", "state", *[f"priority_{k}" for k in range(3)], r6("quantity", "quantity"), r6("tax", "tax"), "ts_day")
+
+
+@query(
+    "pipeline_steps_inverse",
+    f"WITH {EV}, {CASES} SELECT case_id, line, strftime(ts, '{DAY_SQL}') AS ts, activity[2:2] AS state, priority, {r6_sql('quantity')} AS quantity, {r6_sql('tax')} AS tax FROM ev JOIN cases USING (case_id)",
+)
+def _(spark, sf):
+    rows, path = _step_rows(spark, sf), scratch_path(spark, "steps")
+    steps.fit(rows, _own_steps()).save(path)
+    again = steps.load(spark, path, _own_steps())  # as another session would
+    back = again.inverse(again.transform(rows))
+    return back.select("case_id", "line", F.date_format("ts", DAY).alias("ts"), "state", "priority", r6("quantity", "quantity"), r6("tax", "tax"))
+
+
 @query(
     "decode_results",
     f"WITH {EV}, {CASES} SELECT case_id, CAST(pos AS INTEGER) AS pos, activity, priority, {r6_sql('quantity')} AS quantity FROM ev JOIN cases USING (case_id)",

@@ -429,6 +429,95 @@ def evolve(
     return population, stats
 
 
+@dataclass(frozen=True)
+class Config:
+    """One choice of every operator of a search: names of the registries below, or functions with their signatures."""
+
+    initiator: str | Callable = "random"
+    selector: str | Callable = "elite"
+    crosser: str | Callable = "one_point"
+    mutator: str | Callable = "random"
+    recombiner: str | Callable = "fittest"
+
+    @property
+    def name(self) -> str:
+        return "-".join(x if isinstance(x, str) else x.__name__ for x in (self.initiator, self.selector, self.crosser, self.mutator, self.recombiner))
+
+
+def keyed_factuals(factuals: DataFrame, configs: Sequence[Config]) -> DataFrame:
+    """Every factual under every configuration: ``factual_id`` becomes ``{config, id}``, the key of all that follows."""
+    names = F.explode(F.array(*[F.lit(c.name) for c in configs]))
+    rows = factuals.select("*", names.alias("_config"))
+    return rows.withColumn("factual_id", F.struct(F.col("_config").alias("config"), F.col("factual_id").alias("id"))).drop("_config")
+
+
+def _by_operator(rows: DataFrame, configs: Sequence[Config], role: str, known: dict[str, Callable], run: Callable[[Callable, DataFrame], DataFrame]) -> DataFrame:
+    """Rows of all configurations through the operator that each names; configurations with the same one go together."""
+    users: dict[str | Callable, list[str]] = {}
+    for c in configs:
+        users.setdefault(getattr(c, role), []).append(c.name)
+    out = None
+    for operator, names in users.items():
+        part = rows if len(users) == 1 else rows.where(F.col("factual_id.config").isin(names))
+        done = run(known[operator] if isinstance(operator, str) else operator, part)
+        out = done if out is None else out.unionByName(done, allowMissingColumns=True)
+    return out
+
+
+def run_configurations(
+    factuals: DataFrame,
+    configs: Sequence[Config],
+    evaluate: Callable[[DataFrame], DataFrame],
+    initiators: dict[str, Callable[[DataFrame, int], DataFrame]],
+    mutators: dict[str, Callable[[DataFrame, int], DataFrame]],
+    sizes: Strategy,
+    seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Searches under all configurations at once; returns the last populations and statistics by ``{config, factual}`` and generation.
+
+    The configuration is part of the key of every group, draw and join, so one plan a generation serves them all: its size grows
+    with the operators in use, not with the configurations, and a configuration gives the same whether it runs alone or with others.
+    ``factuals`` are those of :func:`keyed_factuals`, as ``evaluate`` knows them.
+    """
+    s = sizes
+    slim = ["factual_id", "cand_id", "acts", "feats"]
+    start = _by_operator(factuals, configs, "initiator", initiators, lambda f, rows: f(rows, s.population).select(*slim))
+    population = cut(evaluate(start).withColumn("generation", F.lit(0)))
+    stats = population_statistics(population)
+    for gen in range(1, s.generations + 1):
+        at = seed * 1000 + gen
+
+        def chosen(f, rows):
+            picked = f(rows, s.sample, at)  # noqa: B023
+            return (picked.drop("cand_id").withColumnRenamed("draw", "cand_id") if "draw" in picked.columns else picked).select(*slim)
+
+        parents = cut(_by_operator(population.select(*slim, "viability"), configs, "selector", SELECTORS, chosen))
+        pairs = cut(pair_parents(parents, at))
+        children = _by_operator(pairs, configs, "crosser", CROSSERS, lambda f, rows: f(rows, at).select(*slim))  # noqa: B023
+        children = _by_operator(children, configs, "mutator", mutators, lambda f, rows: f(rows, at))  # noqa: B023
+        # ids of a generation follow those of all generations before it
+        children = cut(children.withColumn("cand_id", F.col("cand_id") + F.lit(gen * 2 * (s.sample + s.population))))
+        scored = evaluate(children.drop(*EDITS)).join(children.select(*KEYS, *EDITS), list(KEYS))
+        scored = cut(scored.withColumn("generation", F.lit(gen)))
+        both = scored.withColumn("_new", F.lit(True)).unionByName(population.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+
+        def joined(f, rows):
+            return f(rows.where("_new").drop("_new"), rows.where("NOT _new").drop("_new"), s.population)
+
+        population = cut(_by_operator(both, configs, "recombiner", RECOMBINERS, joined))
+        row = population_statistics(population.drop("generation").withColumn("generation", F.lit(gen)))
+        stats = stats.unionByName(row.join(mutation_summary(scored, ["factual_id"]), "factual_id", "left"), allowMissingColumns=True)
+    return population, stats
+
+
+def rank_configurations(stats: DataFrame) -> DataFrame:
+    """``config, rank`` and the mean viability of its factuals' last populations, and what it gained since the first."""
+    last = stats.agg(F.max("generation")).first()[0] or 0
+    mean = lambda g: F.avg(F.when(F.col("generation") == g, F.col("mean_viability")))
+    by = stats.groupBy(F.col("factual_id.config").alias("config")).agg(mean(last).alias("viability"), (mean(last) - mean(0)).alias("gain"), F.count_distinct("factual_id").alias("n_factuals"))
+    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("viability"), "config")))  # one row for each configuration
+
+
 def population_statistics(population: DataFrame) -> DataFrame:
     """Per factual and generation: size, mean length, and mean/min/max of every measure."""
     names = [*MEASURES, "viability"]

@@ -13,7 +13,7 @@ from altertrace.operators import logmodel as lm
 from altertrace.operators import measures as ms
 from altertrace.operators import pareto as pa
 from altertrace.operators import traces as tr
-from altertrace.plans.tables import lookup
+from altertrace.plans.tables import cut, lookup
 from altertrace.queries.base import order_cases, query, r6, r6_sql, table, text
 from altertrace.queries.model import BAYES, CUM, MEV, MOMENTS, draw_features_sql, fit_default, step_events, walk_sql
 from altertrace.queries.scores import CPAIRS, KEYS, customer_groups, fitted_model, scorer, _with_borders
@@ -454,12 +454,12 @@ def _(spark, sf):
     return out.withColumns({c: r6(c) for c in out.columns if c not in ("factual_id", "generation", "n")})
 
 
-def search_model(spark, sf):
-    """``(factuals, evaluate)``: scoring of arbitrary candidates against their factual."""
+def search_model(spark, sf, configs=()):
+    """``(factuals, evaluate)``: scoring of arbitrary candidates against their factual; factuals are keyed by configuration, if there are any."""
     events, border, border_counts = _with_borders(spark, sf)
     _, chain, fitted = fitted_model(spark, sf)
     factuals = customer_groups(spark, sf, events)[0]
-    factuals = ms.lm.lookup(factuals)
+    factuals = ms.lm.lookup(ev.keyed_factuals(factuals, configs) if configs else factuals)
 
     def evaluate(candidates):
         cands = candidates.select(*KEYS, "acts", "feats")
@@ -504,6 +504,44 @@ def _(spark, sf):
     return stats
 
 
+CONFIGS = [
+    ev.Config("random", "roulette", "uniform", "random", "fittest"),
+    ev.Config("case_based", "elite", "one_point", "random", "best_breed"),
+    ev.Config("case_based", "tournament", "two_point", "sampled_features", "fittest"),
+    ev.Config("sampled", "elite", "uniform", "sampled_features", "ranked"),
+    ev.Config("sampled", "uniform", "one_point", "random", "pareto"),
+    ev.Config("factual", "first_k", "two_point", "random", "ranked_pareto"),
+]
+
+
+def run_experiment(spark, sf, configs=CONFIGS):
+    """All configurations over all factuals, with what they need of the log."""
+    from altertrace.queries.scores import model_traces
+
+    factuals, evaluate = search_model(spark, sf, configs)
+    traces = cut(model_traces(spark, sf))
+    steps, fitted = cut(step_events(spark, sf)), fit_default(spark, sf)
+    longest, options = lm.log_length(steps), lm.cumulative_chain(steps)
+    initiators = {
+        "random": lambda f, n: gen.generate_random(f, n, V, D, longest, SEED),
+        "case_based": lambda f, n: gen.generate_case_based(f, traces, n, SEED),
+        "sampled": lambda f, n: gen.generate_sampled(f, options, fitted, n, longest, SEED),
+        "factual": gen.initiate_factual,
+    }
+    rates = STRATEGY.rates
+    mutators = {
+        "random": lambda rows, at: ev.mutate(rows, rates, V, D, longest, at),
+        "sampled_features": lambda rows, at: ev.mutate_sampled_features(rows, rates, fitted, V, D, longest, at),
+    }
+    return ev.run_configurations(factuals, configs, evaluate, initiators, mutators, STRATEGY, SEED)
+
+
+@query("rank_configurations")
+def _(spark, sf):
+    _, stats = run_experiment(spark, sf)
+    return ev.rank_configurations(stats)
+
+
 _GRID = [dict(g) for g in ev.operator_grid()]
 
 

@@ -96,6 +96,14 @@ def order_traces(spark: SparkSession, sf: str, feats: bool = False, vocab: DataF
     return tr.build_traces(order_encoded(spark, sf, vocab), ORDER_KEYS, value)
 
 
+def longest_case(spark: SparkSession, sf: str) -> int:
+    """Events of the longest case of the order log."""
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
+#: The same in SQL.
+LONGEST = "(SELECT coalesce(max(n), 0) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey))"
+
 EV = """
 ev AS (
   SELECT l_orderkey AS case_id, l_returnflag || l_linestatus AS activity, l_shipdate AS ts,

@@ -11,7 +11,7 @@ from altertrace.operators import logmodel as lm
 from altertrace.operators import traces as tr
 from altertrace.plans.ordering import ordered
 from altertrace.plans.tables import cut
-from altertrace.queries.base import EV, ORDER_KEYS, VOC, order_cases, order_encoded, order_traces, query, r6, r6_sql, table, text
+from altertrace.queries.base import EV, LONGEST, ORDER_KEYS, VOC, longest_case, order_cases, order_encoded, order_traces, query, r6, r6_sql, table, text
 
 SEED = 11
 CONT = ["zq", "zd"]
@@ -103,12 +103,12 @@ def _(spark, sf):
 
 @query(
     "transition_counts_padded",
-    f"""WITH {MEV}, padded AS (SELECT case_id, list_concat(list_concat(list_transform(range(13 - count(*)), lambda x: 0), list(act_id ORDER BY pos)), [0]) AS a
+    f"""WITH {MEV}, padded AS (SELECT case_id, list_concat(list_concat(list_transform(range({LONGEST} - count(*)), lambda x: 0), list(act_id ORDER BY pos)), [0]) AS a
 FROM mev GROUP BY case_id), p AS (SELECT a[k] AS act_from, a[k + 1] AS act_to FROM (SELECT a, unnest(range(1, len(a))) AS k FROM padded))
 SELECT CAST(act_from AS INTEGER) AS act_from, CAST(act_to AS INTEGER) AS act_to, count(*) AS n FROM p GROUP BY ALL""",
 )
 def _(spark, sf):
-    return lm.transition_counts(step_events(spark, sf), padded_to=13)
+    return lm.transition_counts(step_events(spark, sf), padded_to=longest_case(spark, sf))
 
 
 @query(

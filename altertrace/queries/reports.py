@@ -12,7 +12,7 @@ from altertrace.operators import analysis as an
 from altertrace.operators import logmodel as lm
 from altertrace.operators import measures as ms
 from altertrace.operators import traces as tr
-from altertrace.queries.base import order_cases, query, r6, r6_sql, table, text
+from altertrace.queries.base import LONGEST, longest_case, order_cases, query, r6, r6_sql, table, text
 from altertrace.queries.model import CHAIN, CUM, EPS_SQL, MEV, fitted_chain, walk_sql
 from altertrace.queries.scores import KEYS, VIABILITY, viable_pairs
 from altertrace.queries.search import FIT, fitness
@@ -256,9 +256,9 @@ def _(spark, sf):
     return an.split_config_name(named, "name", ["brand", "kind", "size"]).drop("name")
 
 
-@query("event_ratio", f"WITH {MEV}, c AS (SELECT case_id, 1.0 - count(*) / 20 AS pad FROM mev GROUP BY case_id) SELECT case_id, {r6_sql('1.0 - pad')} AS ratio FROM c")
+@query("event_ratio", f"WITH {MEV}, c AS (SELECT case_id, 1.0 - count(*) / {LONGEST} AS pad FROM mev GROUP BY case_id) SELECT case_id, {r6_sql('1.0 - pad')} AS ratio FROM c")
 def _(spark, sf):
-    sizes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg((1.0 - F.count(F.lit(1)) / 20).alias("pad"))
+    sizes = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg((1.0 - F.count(F.lit(1)) / longest_case(spark, sf)).alias("pad"))
     return sizes.select("case_id", r6(an.event_ratio(F.col("pad")), "ratio"))
 
 

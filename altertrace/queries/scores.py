@@ -16,7 +16,7 @@ from altertrace.operators import prefixes as px
 from altertrace.operators import scoring as sc
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import cut
-from altertrace.queries.base import ORDER_KEYS, TR, CASES, order_cases, order_events, order_vocabulary, query, r6, r6_sql, table, text
+from altertrace.queries.base import LONGEST, ORDER_KEYS, TR, CASES, longest_case, order_cases, order_events, order_vocabulary, query, r6, r6_sql, table, text
 from altertrace.queries.model import BAYES, BERN, CHAIN, CONT, BINARY, EPS_SQL, MEV, MOMENTS, maha_sql, model_events, scaled_events, step_events
 from altertrace.operators import emissions as em
 
@@ -284,14 +284,14 @@ def _(spark, sf):
 @query(
     "feasibility_normalisers",
     f"""WITH {CPAIRS}, {FULL_MODEL} SELECT factual_id, cand_id, {r6_sql('exp(log_p)')} AS joint, {r6_sql('exp(log_p / n)')} AS per_event,
-{r6_sql('greatest(abs(n - na), 1) * exp(log_p / 13)')} AS by_difference, {r6_sql('13 * exp(log_p / n)')} AS by_length
+{r6_sql(f'greatest(abs(n - na), 1) * exp(log_p / {LONGEST})')} AS by_difference, {r6_sql(f'{LONGEST} * exp(log_p / n)')} AS by_length
 FROM cpairs JOIN ft ON ft.case_id = cand_id""",
 )
 def _(spark, sf):
     totals = _event_totals(spark, sf).withColumnRenamed("case_id", "cand_id")
     p = customer_pairs(spark, sf).select(*KEYS, F.size("fa_acts").alias("na")).join(totals, "cand_id")
-    names = {1: "joint", 2: "per_event", 3: "by_difference", 4: "by_length"}
-    value = {n: ms.normalise_feasibility(k + 4, F.col("log_p"), F.col("n_events"), F.col("na"), 13) for k, n in names.items()}
+    names, most = {1: "joint", 2: "per_event", 3: "by_difference", 4: "by_length"}, longest_case(spark, sf)
+    value = {n: ms.normalise_feasibility(k + 4, F.col("log_p"), F.col("n_events"), F.col("na"), most) for k, n in names.items()}
     return p.select(*KEYS, *[r6(v, n) for n, v in value.items()])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from altertrace.operators import measures as ms
 from altertrace.operators import pareto as pa
 from altertrace.operators import traces as tr
 from altertrace.plans.tables import cut, lookup
-from altertrace.queries.base import order_cases, query, r6, r6_sql, table, text
+from altertrace.queries.base import LONGEST, longest_case, order_cases, query, r6, r6_sql, table, text
 from altertrace.queries.model import BAYES, CUM, MEV, MOMENTS, draw_features_sql, fit_default, step_events, walk_sql
 from altertrace.queries.scores import CPAIRS, KEYS, customer_groups, fitted_model, scorer, _with_borders
 
@@ -45,11 +46,11 @@ _RAND_SLOT = uniform_sql(SEED, "factual_id", "cand_id", "k", "'act'")
 
 @query(
     "generate_random",
-    f"""WITH {FIRSTS}, g AS (SELECT factual_id, cand_id, k, floor({_RAND_SLOT} * {V + 1}) AS act FROM fa, range({N}) t(cand_id), range(8) s(k))
+    f"""WITH {FIRSTS}, g AS (SELECT factual_id, cand_id, k, floor({_RAND_SLOT} * {V + 1}) AS act FROM fa, range({N}) t(cand_id), range({LONGEST}) s(k))
 SELECT factual_id, cand_id, coalesce(string_agg(CAST(CAST(act AS INTEGER) AS VARCHAR), '>' ORDER BY k) FILTER (act <> 0), '') AS acts FROM g GROUP BY ALL""",
 )
 def _(spark, sf):
-    return _text(gen.generate_random(factuals_of(spark, sf), N, V, D, 8, SEED))
+    return _text(gen.generate_random(factuals_of(spark, sf), N, V, D, longest_case(spark, sf), SEED))
 
 
 @query(
@@ -238,7 +239,12 @@ def _(spark, sf):
 
 # -- mutation -----------------------------------------------------------------
 
-SLOTS = 14
+FREE = 7  # empty slots beyond the longest trace, for inserts
+SLOTS_SQL = f"({LONGEST} + {FREE})"
+
+
+def slots(spark, sf):
+    return longest_case(spark, sf) + FREE
 
 
 def _hit_sql(kind: str, rate: float) -> str:
@@ -258,7 +264,7 @@ def _mutated_sql(rates: ev.Rates) -> str:
 
     swap = f"i > 1 AND i < len - 2 AND {_hit_sql('transpose', rates.transpose)}"
     return f"""{CANDS},
-g0 AS (SELECT factual_id, cand_id, greatest({SLOTS}, n) AS len, list_concat({_zeros(f'greatest({SLOTS}, n) - n')}, acts) AS g FROM cand),
+g0 AS (SELECT factual_id, cand_id, greatest({SLOTS_SQL}, n) AS len, list_concat({_zeros(f'greatest({SLOTS_SQL}, n) - n')}, acts) AS g FROM cand),
 g1 AS (SELECT * REPLACE (list_transform(range(len), lambda i: CASE WHEN g[i + 1] = 0 AND {_hit_sql('insert', rates.insert)} THEN {_new_sql('insert')} ELSE g[i + 1] END) AS g),
         {count('insert', rates.insert, 'g[i + 1] = 0')} AS n_insert FROM g0),
 g2 AS (SELECT * REPLACE (list_transform(range(len), lambda i: CASE WHEN {_hit_sql('delete', rates.delete)} THEN 0 ELSE g[i + 1] END) AS g),
@@ -287,7 +293,7 @@ def _edited(df):
 
 @query("mutate", f"WITH {_mutated_sql(RATES)} SELECT factual_id, cand_id, acts, {_EDITS_SQL} FROM mut")
 def _(spark, sf):
-    return _edited(ev.mutate(_candidates(spark, sf), RATES, V, D, SLOTS, SEED))
+    return _edited(ev.mutate(_candidates(spark, sf), RATES, V, D, slots(spark, sf), SEED))
 
 
 for _kind, _fn, _rates in (
@@ -298,7 +304,7 @@ for _kind, _fn, _rates in (
 ):
 
     def _single(spark, sf, fn=_fn):
-        return _edited(fn(_candidates(spark, sf), 0.2, V, D, SLOTS, SEED))
+        return _edited(fn(_candidates(spark, sf), 0.2, V, D, slots(spark, sf), SEED))
 
     query(f"mutate_{_kind}", f"WITH {_mutated_sql(_rates)} SELECT factual_id, cand_id, acts, {_EDITS_SQL} FROM mut")(_single)
 
@@ -311,7 +317,7 @@ SELECT CAST(i AS BIGINT) AS n_insert, CAST(d AS BIGINT) AS n_delete, CAST(c AS B
 {r6_sql('t / (i + d + c + t)')} AS share_transpose FROM s""",
 )
 def _(spark, sf):
-    out = ev.mutation_summary(ev.mutate(_candidates(spark, sf), RATES, V, D, SLOTS, SEED))
+    out = ev.mutation_summary(ev.mutate(_candidates(spark, sf), RATES, V, D, slots(spark, sf), SEED))
     return out.withColumns({c: r6(c) for c in out.columns if c.startswith("share_")})
 
 
@@ -326,7 +332,7 @@ SELECT factual_id, cand_id, mut.acts, n_insert + n_change > 0 AS redrawn, {r6_sq
 FROM mut LEFT JOIN fs USING (factual_id, cand_id)""",
 )
 def _(spark, sf):
-    out = ev.mutate_sampled_features(_candidates(spark, sf), RATES, fit_default(spark, sf), V, D, SLOTS, SEED)
+    out = ev.mutate_sampled_features(_candidates(spark, sf), RATES, fit_default(spark, sf), V, D, slots(spark, sf), SEED)
     redrawn = (F.col("n_insert") + F.col("n_change")) > 0
 
     def total(i):
@@ -441,7 +447,7 @@ _STAT = ", ".join(
     "evolution_statistics",
     f"""WITH {FIT}, sz AS (SELECT l_orderkey AS cand_id, count(*) AS n_ev FROM lineitem GROUP BY l_orderkey),
 p AS (SELECT fit.*, CASE status WHEN 'F' THEN 1 ELSE 0 END AS generation, n_ev FROM fit JOIN sz USING (cand_id))
-SELECT factual_id, generation, count(*) AS n, {r6_sql('avg(n_ev)')} AS mean_events, {_STAT}, {r6_sql('avg(1.0 - n_ev / 20)')} AS pad_ratio,
+SELECT factual_id, generation, count(*) AS n, {r6_sql('avg(n_ev)')} AS mean_events, {_STAT}, {r6_sql(f'avg(1.0 - n_ev / {LONGEST})')} AS pad_ratio,
 {r6_sql('avg(CASE WHEN delta > 0.5 THEN 1.0 ELSE 0.0 END)')} AS mean_outcome FROM p GROUP BY factual_id, generation""",
 )
 def _(spark, sf):
@@ -450,7 +456,7 @@ def _(spark, sf):
     gens = F.when(F.col("status") == "F", 1).otherwise(0)
     acts = order_traces(spark, sf).select(F.col("case_id").alias("cand_id"), "acts")
     pop = fitness(spark, sf).join(acts, "cand_id").withColumns({"generation": gens, "score": F.col("delta")})
-    out = ev.evolution_statistics(pop, 20)
+    out = ev.evolution_statistics(pop, longest_case(spark, sf))
     return out.withColumns({c: r6(c) for c in out.columns if c not in ("factual_id", "generation", "n")})
 
 
@@ -480,7 +486,7 @@ STRATEGY = ev.Strategy(
     population=6,
     sample=4,
     generations=2,
-    max_len=13,
+    max_len=13,  # replaced by the log's longest case in run_search
 )
 
 
@@ -489,7 +495,7 @@ def run_search(spark, sf):
     from altertrace.queries.scores import model_traces
 
     start = gen.generate_case_based(factuals, model_traces(spark, sf), STRATEGY.population, SEED)
-    return ev.evolve(start, evaluate, STRATEGY, V, D, SEED)
+    return ev.evolve(start, evaluate, replace(STRATEGY, max_len=longest_case(spark, sf)), V, D, SEED)
 
 
 @query("evolve")

@@ -13,6 +13,7 @@ from altertrace.queries.base import (
     CEV,
     EV,
     FEATURES,
+    LONGEST,
     ORDER_KEYS,
     PAIRS,
     TR,
@@ -20,6 +21,7 @@ from altertrace.queries.base import (
     USER_KEYS,
     VOC,
     chat_events,
+    longest_case,
     order_cases,
     order_encoded,
     order_events,
@@ -182,10 +184,10 @@ def _(spark, sf):
 # -- array shaping ------------------------------------------------------------
 
 
-@query("pad_traces", f"WITH {TR} SELECT case_id, {text('list_concat(list_concat(list_transform(range(20 - n_events), lambda x: 0), acts), [0])')} AS padded FROM tr")
+@query("pad_traces", f"WITH {TR} SELECT case_id, {text(f'list_concat(list_concat(list_transform(range({LONGEST} - n_events), lambda x: 0), acts), [0])')} AS padded FROM tr")
 def _(spark, sf):
     t = order_traces(spark, sf)
-    return t.select("case_id", tr.sequence_text(tr.pad_left(F.col("acts"), 20, tail=1)).alias("padded"))
+    return t.select("case_id", tr.sequence_text(tr.pad_left(F.col("acts"), longest_case(spark, sf), tail=1)).alias("padded"))
 
 
 @query(
@@ -200,18 +202,18 @@ def _(spark, sf):
     )
 
 
-@query("reverse_traces", f"WITH {TR} SELECT case_id, {text('list_concat(list_transform(range(20 - n_events), lambda x: 0), list_reverse(acts))')} AS reversed FROM tr")
+@query("reverse_traces", f"WITH {TR} SELECT case_id, {text(f'list_concat(list_transform(range({LONGEST} - n_events), lambda x: 0), list_reverse(acts))')} AS reversed FROM tr")
 def _(spark, sf):
     t = order_traces(spark, sf)
-    return t.select("case_id", tr.sequence_text(tr.reverse_padded(tr.pad_left(F.col("acts"), 20))).alias("reversed"))
+    return t.select("case_id", tr.sequence_text(tr.reverse_padded(tr.pad_left(F.col("acts"), longest_case(spark, sf)))).alias("reversed"))
 
 
 @query(
     "padding_helpers",
-    f"WITH {TR} SELECT case_id, 20 - n_events AS starts_at, repeat('0', CAST(20 - n_events AS INTEGER)) || repeat('1', CAST(n_events + 1 AS INTEGER)) AS mask, {text()} AS trimmed FROM tr",
+    f"WITH {TR} SELECT case_id, {LONGEST} - n_events AS starts_at, repeat('0', CAST({LONGEST} - n_events AS INTEGER)) || repeat('1', CAST(n_events + 1 AS INTEGER)) AS mask, {text()} AS trimmed FROM tr",
 )
 def _(spark, sf):
-    padded = tr.pad_left(F.col("acts"), 20, tail=1)
+    padded = tr.pad_left(F.col("acts"), longest_case(spark, sf), tail=1)
     t = order_traces(spark, sf).select("case_id", padded.alias("p"))
     return t.select(
         "case_id",

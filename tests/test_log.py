@@ -109,7 +109,7 @@ def test_presets_and_csv(spark, tmp_path):
     df = logs.read_preset(spark, PRESETS["bpic12_outcome"], str(path))
     assert [(r["activity"], r["outcome"]) for r in df.collect()] == [("A_X", "regular")]
     assert limited("bpic12_outcome", 25).max_events == 25
-    assert len(PRESETS) == 17
+    assert len(PRESETS) == 16
 
 
 def test_xes_file(spark, tmp_path):

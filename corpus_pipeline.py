@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from altertrace.llm import bpe, mix, ngrams, quality, toxicity
 from altertrace.plans.tables import cut, lookup
 
-#: SQL cannot express the trained first stage; the stages are tested against brute force.
+#: SQL cannot express the trained first stage; the operators that the stages call have tests of their own.
 ORACLE_SQL = None
 
 

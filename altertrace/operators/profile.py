@@ -1,14 +1,30 @@
-"""Column profile: one row per column, and the keep/drop decision on it."""
+"""Column profile: one row per column, and the keep/drop decision on it.
+
+Distinct values are counted by theta sketches, which merge: one aggregation over the table fills a sketch of fixed size for
+each column, sketches of parts unite into that of the whole (``merge_sketches``), and no row is expanded by columns. A sketch
+that holds fewer values than its size is an exact count. Larger columns are estimated, and counted exactly afterwards
+where that is asked for or where a threshold lies within the error of the estimate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from altertrace.plans.tables import cut
+
+#: A sketch keeps 2^LG_SIZE hashes of a column (8 bytes each).
+LG_SIZE = 12
+#: Tasks' sketches are first united in so many groups, so that no task receives those of all others.
+FIRST_LEVEL = 64
+#: Standard errors that an estimate is trusted to be within.
+SIGMAS = 6
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -27,6 +43,76 @@ def _kind(field: T.StructField) -> str:
     return "text"
 
 
+def sketch_columns(df: DataFrame, cols: Sequence[str] | None = None, lg_size: int = LG_SIZE) -> DataFrame:
+    """``column, kind, n_rows, n_missing, sketch`` of each column, from one pass. Such tables of several parts of a log can be
+    kept, united and merged. An empty table gives no rows.
+
+    Values are sketched by their 64-bit hashes; null is no value.
+    """
+    cols = list(cols or df.columns)
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(_kind(df.schema[c])).alias("kind"),
+            F.count_if(F.col(c).isNull()).alias("n_missing"),
+            F.theta_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), lg_size).alias("sketch"),
+        )
+        for c in cols
+    ]
+    parts = (
+        df.withColumn("_part", F.spark_partition_id() % FIRST_LEVEL)
+        .groupBy("_part")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.array(*stats).alias("stats"))
+        .select("n_rows", F.inline("stats"))
+    )
+    return merge_sketches(parts, lg_size)
+
+
+def merge_sketches(parts: DataFrame, lg_size: int = LG_SIZE) -> DataFrame:
+    """One row per column from the sketches of several parts."""
+    return parts.groupBy("column", "kind").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_missing").alias("n_missing"),
+        F.theta_union_agg("sketch", lg_size).alias("sketch"),
+    )
+
+
+def count_columns(df: DataFrame, cols: Sequence[str], written: bool = True) -> dict[str, int]:
+    """Exact distinct counts, column by column: each is a scan of one column whose values combine before the shuffle.
+
+    The columns are written once in between; ``written=False`` scans the frame itself for each (files that are cheap to read).
+    """
+    cols = list(cols)
+    if not cols:
+        return {}
+    held = cut(df.select(*cols)) if written and len(cols) > 1 else df
+    counts = [held.agg(F.count_distinct(c).alias("n")).select(F.lit(c).alias("column"), "n") for c in cols]
+    return {r["column"]: r["n"] for r in reduce(DataFrame.union, counts).collect()}
+
+
+def _interval(count: int, lg_size: int) -> tuple[float, float]:
+    """Where the true count lies if ``count`` came from a sketch."""
+    if count < 1 << lg_size:
+        return count, count
+    error = SIGMAS / ((1 << lg_size) - 1) ** 0.5
+    return count / (1 + error), count / (1 - error)
+
+
+def _ratio(a: float, b: float) -> float:
+    """The intracase similarity of two counts."""
+    return min(a, b) / max(a, b) if max(a, b) else 1.0
+
+
+def _in_doubt(unique: tuple[float, float], cases: tuple[float, float], n_rows: int, limits: Thresholds) -> bool:
+    """Whether a flag could change between the ends of the intervals."""
+    (low, high), (few, many) = unique, cases
+    least = min(_ratio(low, many), _ratio(high, few))
+    most = 1.0 if low <= many and few <= high else max(_ratio(high, few), _ratio(low, many))
+    similar = (least > limits.max_similarity) != (most > limits.max_similarity)
+    diverse = (low / n_rows > limits.min_diversity) != (high / n_rows > limits.min_diversity)
+    return similar or diverse
+
+
 def profile_columns(
     df: DataFrame,
     case: str,
@@ -35,27 +121,43 @@ def profile_columns(
     outcome: str | None = None,
     cols: Sequence[str] | None = None,
     approx: bool = False,
+    limits: Thresholds | None = None,
+    lg_size: int = LG_SIZE,
+    written: bool = True,
 ) -> DataFrame:
     """Distinct counts, null counts and type/role flags per column.
 
-    One aggregation over the table. Exact distinct counts are combined on the map
-    side per value, so a column dominated by one value shuffles one row per task
-    for it. ``approx`` uses HyperLogLog sketches, which need no shuffle of values.
+    One aggregation fills a sketch for each column. Columns that outgrow their sketch are counted exactly afterwards. With
+    ``limits`` only those are whose flags under these limits lie within the error of the estimate, so the flags are
+    the same and the counts of the others are estimates; ``approx`` counts none again. An empty table has all counts 0.
     """
     cols = list(cols or df.columns)
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    stats = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(_kind(df.schema[c])).alias("kind"),
-            distinct(c).alias("n_values"),
-            F.count_if(F.col(c).isNull()).alias("n_missing"),
-        )
-        for c in cols
-    ]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("n_rows"), distinct(case).alias("n_cases"), F.array(*stats).alias("stats")
-    ).select("n_rows", "n_cases", F.inline("stats"))
+    sketched = sketch_columns(df, dict.fromkeys([*cols, case]), lg_size)
+    rows = {r["column"]: r for r in sketched.select("*", F.theta_sketch_estimate("sketch").alias("n")).drop("sketch").collect()}
+    n_rows = max((r["n_rows"] for r in rows.values()), default=0)
+    count = {c: rows[c]["n"] if c in rows else 0 for c in [*cols, case]}
+    span = {c: _interval(n, lg_size) for c, n in count.items()}
+    missing = {c: rows[c]["n_missing"] if c in rows else 0 for c in cols}
+
+    def recount(names):
+        for c, n in count_columns(df, names, written).items():
+            count[c], span[c] = n, (n, n)
+
+    def doubtful():
+        found = [c for c in cols if c != case]
+        null = {c: 1 if missing[c] else 0 for c in found}
+        return [c for c in found if _in_doubt((span[c][0] + null[c], span[c][1] + null[c]), span[case], n_rows, limits)]
+
+    large = [c for c, (low, high) in span.items() if low != high]
+    if limits is None:
+        recount([] if approx else large)
+    elif large and not approx and doubtful():
+        recount([c for c in [case] if c in large])
+        recount([c for c in doubtful() if span[c][0] != span[c][1]])
+    counted = df.sparkSession.createDataFrame(
+        [(n_rows, count[case], c, _kind(df.schema[c]), count[c], missing[c]) for c in cols],
+        "n_rows long, n_cases long, column string, kind string, n_values long, n_missing long",
+    )
     unique = F.col("n_values") + F.when(F.col("n_missing") > 0, 1).otherwise(0)
     is_text = F.col("kind") == "text"
 
@@ -69,9 +171,9 @@ def profile_columns(
             "column",
             "kind",
             F.when(F.col("n_unique") > 1, F.col("n_unique") / F.col("n_rows")).otherwise(0.0).alias("diversity"),
-            (F.col("n_missing") / F.col("n_rows")).alias("missing_ratio"),
+            F.try_divide("n_missing", "n_rows").alias("missing_ratio"),
             (
-                1 - F.abs(F.col("n_unique") - F.col("n_cases")) / F.greatest("n_unique", "n_cases")
+                1 - F.try_divide(F.abs(F.col("n_unique") - F.col("n_cases")), F.greatest("n_unique", "n_cases"))
             ).alias("intracase_similarity"),
             (F.col("kind") == "numeric").alias("is_numeric"),
             (F.col("kind") == "timestamp").alias("is_timestamp"),

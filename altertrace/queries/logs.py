@@ -309,20 +309,23 @@ _ORDER_COLS = {
     "part_id": "numeric",
     "supp_id": "numeric",
     "quantity": "numeric",
+    "price": "numeric",
     "discount": "numeric",
     "tax": "numeric",
+    "customer": "numeric",
     "priority": "text",
+    "order_date": "timestamp",
     "status": "text",
     "total": "numeric",
 }
 _WIDE = (
-    f"WITH {EV}, {CASES} SELECT case_id, activity, ts, line, part_id, supp_id, quantity, discount, tax, priority, status, "
-    "total FROM ev JOIN cases USING (case_id)"
+    f"WITH {EV}, {CASES} SELECT case_id, activity, ts, line, part_id, supp_id, quantity, price, discount, tax, customer, "
+    "priority, order_date, status, total FROM ev JOIN cases USING (case_id)"
 )
 _ORDER_PROFILE = _profile_sql(_WIDE, "case_id", _ORDER_COLS, {"case": "case_id", "activity": "activity", "ts": "ts", "outcome": "status"})
-_DOC_COLS = {"doc_id": "numeric", "lang": "text", "source": "text", "n_chars": "numeric", "quality": "numeric", "toxic": "numeric"}
+_DOC_COLS = {"doc_id": "numeric", "text": "text", "lang": "text", "source": "text", "n_chars": "numeric", "quality": "numeric", "toxic": "numeric"}
 _DOC_SRC = (
-    "SELECT d.doc_id, nullif(lang, 'missing') AS lang, source, n_chars, quality, toxic "
+    "SELECT d.doc_id, text, nullif(lang, 'missing') AS lang, source, n_chars, quality, toxic "
     "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 )
 _DOC_PROFILE = _profile_sql(_DOC_SRC, "doc_id", _DOC_COLS, {"case": "doc_id"})
@@ -338,7 +341,7 @@ def _order_profile(spark, sf):
 
 
 def _docs(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     labels = table(spark, sf, "labels")
     return events.replace_na_token(docs.join(labels, "doc_id", "left"), ["lang"])
 
@@ -363,6 +366,25 @@ def _(spark, sf):
     return profile.flag_useless_columns(profile.profile_columns(_docs(spark, sf), "doc_id"))
 
 
+_FLAGS = ["useless_singular", "useless_not_diverse", "useless_unique_to_case", "useless_missing", "is_useless"]
+
+
+def _sketched(df, *roles):
+    """Flags whose columns are counted again only where a limit lies within the error of a small sketch."""
+    limits = profile.Thresholds()
+    return profile.flag_useless_columns(profile.profile_columns(df, *roles, limits=limits, lg_size=10), limits)
+
+
+@query("flag_useless_columns_sketched", f'WITH {_ORDER_PROFILE} SELECT "column", {", ".join(_FLAGS)} FROM decided')
+def _(spark, sf):
+    return _sketched(_wide(spark, sf), "case_id", "activity", "ts", "status").select("column", *_FLAGS)
+
+
+@query("flag_useless_columns_documents_sketched", f'WITH {_DOC_PROFILE} SELECT "column", {", ".join(_FLAGS)} FROM decided')
+def _(spark, sf):
+    return _sketched(_docs(spark, sf), "doc_id").select("column", *_FLAGS)
+
+
 @query(
     "select_columns_by_kind",
     f"""WITH {_ORDER_PROFILE}
@@ -374,7 +396,7 @@ SELECT "column", kind_group FROM (
   UNION ALL SELECT "column", 'timestamps' FROM decided WHERE is_timestamp)""",
 )
 def _(spark, sf):
-    groups = profile.select_columns_by_kind(profile.flag_useless_columns(_order_profile(spark, sf)))
+    groups = profile.select_columns_by_kind(_sketched(_wide(spark, sf), "case_id", "activity", "ts", "status"))
     rows = [(c, g) for g, cols in groups.items() for c in cols]
     return spark.createDataFrame(rows, "column string, kind_group string")
 
@@ -386,10 +408,10 @@ def _(spark, sf):
 
 @query(
     "drop_columns_with_nulls",
-    "SELECT d.doc_id, lang, source, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    "SELECT d.doc_id, text, lang, source, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     return profile.drop_columns_with_nulls(docs.join(table(spark, sf, "labels"), "doc_id", "left"))
 
 

@@ -48,6 +48,33 @@ def test_approximate_profile_has_the_same_shape(spark):
     assert exact.columns == rough.columns and exact.count() == rough.count()
 
 
+def test_sketched_flags_equal_exact_ones(spark):
+    """Sketches of 16 values are estimates for most columns; those near a limit are counted again."""
+    log = spark.range(4000).select(
+        (F.col("id") % 400).alias("case_id"), "id", (F.col("id") % 401).alias("close"), (F.col("id") % 660).alias("limit"),
+        (F.col("id") % 3000).alias("far"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("holes"),
+        F.lit(None).cast("string").alias("empty"), F.lit("").alias("blank"),
+    )
+    flags = ["useless_singular", "useless_not_diverse", "useless_unique_to_case", "useless_missing", "is_useless"]
+    for limits in (profile.Thresholds(), profile.Thresholds(min_diversity=0.165, max_similarity=0.606, max_missing=0.8)):
+        want = profile.flag_useless_columns(profile.profile_columns(log, "case_id"), limits)
+        got = profile.profile_columns(log, "case_id", limits=limits, lg_size=4)
+        assert profile.flag_useless_columns(got, limits).select("column", *flags).sort("column").collect() == want.select("column", *flags).sort("column").collect()
+    counts = {r["column"]: r["n_unique"] for r in profile.profile_columns(log, "case_id", lg_size=4).collect()}
+    assert counts == {"case_id": 400, "id": 4000, "close": 401, "limit": 660, "far": 3000, "holes": 801, "empty": 1, "blank": 1}
+
+
+def test_sketches_of_parts_merge(spark):
+    log = spark.range(3000).select("id", (F.col("id") % 7).alias("few"), F.col("id").cast("string").alias("name"))
+    parts = profile.sketch_columns(log.where("id < 2000")).unionByName(profile.sketch_columns(log.where("id >= 1000")))
+    merged = profile.merge_sketches(parts).select("column", "n_rows", F.theta_sketch_estimate("sketch").alias("n"))
+    assert {r["column"]: (r["n_rows"], r["n"]) for r in merged.collect()} == {"id": (4000, 3000), "few": (4000, 7), "name": (4000, 3000)}
+    plan = profile.sketch_columns(log)._jdf.queryExecution().toString()
+    assert "Expand" not in plan and plan.count("Range (0, 3000") >= 1
+    assert {r["n_rows"] for r in profile.profile_columns(log.where("id < 0"), "id").collect()} == {0}
+    assert profile.flag_useless_columns(profile.profile_columns(log.where("id < 0"), "id")).count() == 3
+
+
 def test_encoders_invert(spark):
     log = drawn_log(spark)
     enc = encode.fit_encoder(log, ["a_binary"], ["a_categorical"], ["ft_2"], ["tm"])

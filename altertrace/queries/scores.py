@@ -494,7 +494,57 @@ def _(spark, sf):
     return customer_pairs(spark, sf).select(*KEYS, *[r6(suite[n], n) for n in ("levenshtein", "jaro_winkler", "overlap")])
 
 
-@query("sequence_similarity_suite")
+def _diagonals(cells: dict[str, tuple[str, str, str]]) -> str:
+    """SQL of ``ends``: dynamic programs over the distinct pairs of sequences, all in one recursion over anti-diagonals.
+
+    A cell (i, j) of step k = i + j lies at i of its step's list, null outside of the table. ``cells`` maps a name to the
+    border's value (of k), an inner cell (of ``up``, ``lft``, ``diag``, ``swap`` and ``same``) and ``last`` or ``top``: the
+    result is the last cell, or the highest.
+    """
+
+    def step(name):
+        border, inner, _ = cells[name]
+        at = {"up": f"{name}1[i]", "lft": f"{name}1[i + 1]", "diag": f"{name}2[i]", "same": "CAST(fa[i] = ca[k + 1 - i] AS INTEGER)"}
+        at["swap"] = f"CASE WHEN i > 1 AND k - i > 0 AND fa[i] = ca[k - i] AND fa[i - 1] = ca[k + 1 - i] THEN {name}4[i - 1] + 1 END"
+        inside = inner.format(**at)
+        return (
+            f"list_transform(range(0, na + 1), lambda i: CASE WHEN i > k + 1 OR k + 1 - i > nc THEN NULL "
+            f"WHEN i = 0 OR i = k + 1 THEN {border.format(k='(k + 1)')} ELSE {inside} END)"
+        )
+
+    lists = ", ".join(f"{n}1, {n}2, {n}3, {n}4, {n}" for n in cells)
+    empty = "CAST([] AS INTEGER[])"
+    start = ", ".join(f"list_transform(range(0, na + 1), lambda i: CASE WHEN i = 0 THEN 0 END), {empty}, {empty}, {empty}, 0" for _ in cells)
+    moved = ", ".join(f"new_{n}, {n}1, {n}2, {n}3, " + (f"greatest({n}, list_max(new_{n}))" if cells[n][2] == "top" else f"coalesce(new_{n}[na + 1], 0)") for n in cells)
+    news = ", ".join(f"{step(n)} AS new_{n}" for n in cells)
+    return f"""seqs AS (SELECT DISTINCT fa, ca, CAST(na AS INTEGER) AS na, CAST(nc AS INTEGER) AS nc FROM cpairs),
+wave(fa, ca, na, nc, k, {lists}) AS (
+  SELECT fa, ca, na, nc, 0, {start} FROM seqs
+  UNION ALL
+  SELECT fa, ca, na, nc, k + 1, {moved} FROM (SELECT *, {news} FROM wave WHERE k < na + nc)),
+ends AS (SELECT fa, ca, {', '.join(cells)} FROM wave WHERE k = na + nc)"""
+
+
+_CELLS = {
+    "osa": ("{k}", "least({up} + 1, {lft} + 1, {diag} + 1 - {same}, {swap})", "last"),
+    "sw": ("0", "greatest({up} - 1, {lft} - 1, {diag} + {same}, 0)", "top"),
+    "nw": ("-{k}", "greatest({up} - 1, {lft} - 1, {diag} + {same})", "last"),
+    "seq": ("0", "CASE WHEN {same} = 1 THEN {diag} + 1 ELSE greatest({up}, {lft}) END", "last"),
+    "run": ("0", "CASE WHEN {same} = 1 THEN {diag} + 1 ELSE 0 END", "top"),
+}
+
+
+@query(
+    "sequence_similarity_suite",
+    f"""WITH RECURSIVE {CPAIRS}, {_diagonals(_CELLS)}
+SELECT factual_id, cand_id, {r6_sql(f'1 - levenshtein({_FA}, {_CA}) / greatest(na, nc)')} AS levenshtein,
+{r6_sql('1 - osa / greatest(na, nc)')} AS osa, {r6_sql('sw / least(na, nc)')} AS smith_waterman,
+{r6_sql('(nw + greatest(na, nc)) / (2 * greatest(na, nc))')} AS needleman_wunsch,
+{r6_sql(f'jaro_winkler_similarity({_FA}, {_CA})')} AS jaro_winkler,
+{r6_sql('seq / greatest(na, nc)')} AS lcs_subsequence, {r6_sql('run / greatest(na, nc)')} AS lcs_substring,
+{r6_sql('list_sum(list_transform(list_distinct(fa), lambda v: least(len(list_filter(fa, lambda x: x = v)), len(list_filter(ca, lambda x: x = v))))) / least(na, nc)')} AS overlap
+FROM cpairs JOIN ends USING (fa, ca)""",
+)
 def _(spark, sf):
     suite = ds.sequence_similarity_suite(F.col("fa_acts"), F.col("acts"))
     return customer_pairs(spark, sf).select(*KEYS, *[r6(c, n) for n, c in suite.items()])

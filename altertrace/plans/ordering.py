@@ -50,16 +50,12 @@ def _order_columns(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, list
 
 def _cut_points(df: DataFrame, keys: list[str], order: list[str], one_in: int) -> DataFrame | None:
     """Cut points of the large groups, or None if every group is ordinary."""
-    picked = (
-        df.select(*keys, *order)
-        .where(F.pmod(F.xxhash64(*keys, *order), F.lit(one_in)) == 0)
-        .distinct()
-    )
+    picked = df.select(*keys, *order).where(F.pmod(F.xxhash64(*keys, *order), F.lit(one_in)) == 0)
     limit = 2 * STEPS[0] - 1
     stride = F.ceil(F.size("_all") / F.lit(limit)).cast("int")
     cuts = lookup(
         picked.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_all"))
+        .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_all"))
         .where(F.size("_all") >= 2)
         .select(*keys, F.filter("_all", lambda x, i: i % stride == 0).alias("_cuts"))
     )

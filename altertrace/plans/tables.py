@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_ROWS = 200_000
 MAX_BYTES = 64 << 20
@@ -44,17 +46,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _row_bytes(df: DataFrame) -> tuple[int, Column | None]:
+    """Bytes of the columns of fixed width, and of the others in each row."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in wide]
+    return 8 * len(df.columns), sum(sizes[1:], sizes[0]).cast("bigint") if sizes else None
+
+
 def lookup(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Materialise a fitted table once and make it cheap to join.
 
-    At most ``max_rows + 1`` rows are fetched. If that was the whole table and it
-    is small in bytes, the result is a local relation with a broadcast hint.
-    Otherwise it is written out and joined like any other table (adaptive
-    execution splits skewed partitions of the other side).
+    Rows are fetched until their number or their bytes pass a limit, whatever the width of a row. If that was the whole
+    table, the result is a local relation with a broadcast hint. Otherwise it is written out (computed anew) and joined like
+    any other table (adaptive execution splits skewed partitions of the other side).
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
-        return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    fixed, wide = _row_bytes(df)
+    head = df.limit(min(max_rows, max_bytes // fixed) + 1)
+    if wide is not None:
+        # a limit leaves one partition, which this sum passes row by row
+        upto = Window.orderBy(F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sized = head.withColumn("_size", wide + fixed).withColumn("_upto", F.sum("_size").over(upto))
+        head = sized.where(F.col("_upto") - F.col("_size") <= max_bytes).drop("_upto")
+    found = head.toArrow()
+    held = fixed * found.num_rows if wide is None else pc.sum(found.column("_size")).as_py() or 0
+    if found.num_rows <= max_rows and held <= max_bytes:
+        return F.broadcast(df.sparkSession.createDataFrame(found.select(df.columns), schema=df.schema))
     return cut(df)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from altertrace.operators import logmodel as lm
 from altertrace.operators.traces import build_traces
 from altertrace.plans import tables
+from altertrace.plans.tables import lookup
 from altertrace.plans.ordering import exact_median, number_rows, ordered, segmented
 from altertrace.queries.base import ORDER_KEYS, order_events
 
@@ -75,6 +76,17 @@ def test_lookup_falls_back_to_a_table_when_too_large(spark):
     assert tables.lookup(df.where("id < 0")).count() == 0
 
 
+def test_lookup_counts_bytes_before_it_fetches(spark):
+    rows = spark.range(40).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array_repeat(F.lit(7), 3).alias("few"))
+    for limit, local in ((1 << 20, True), (20_000, False), (60_000, True)):
+        got = lookup(rows, max_bytes=limit)
+        assert ("LocalRelation" in got._jdf.queryExecution().toString()) == local
+        assert sorted(got.collect()) == sorted(rows.collect()) and got.columns == rows.columns
+    assert lookup(rows.where("id < 0")).collect() == []
+    numbers = rows.select("id")
+    assert "LocalRelation" not in lookup(numbers, max_bytes=100)._jdf.queryExecution().toString()
+
+
 def test_global_numbers_follow_the_order_over_ranges(spark):
     from altertrace.plans.ordering import number_globally
 

@@ -1,7 +1,9 @@
+import pytest
 """XES files with all their attributes, and the presets' clean-up."""
 
 import datetime
 
+from altertrace.sources import results
 from altertrace.schema import PRESETS, LogSchema, Preset, limited, subset
 from altertrace.sources import logs, xes
 
@@ -68,3 +70,25 @@ def test_csv_presets_follow_the_order_of_their_schema(spark, tmp_path):
     assert [(r["activity"], r["pos"], r["outcome"]) for r in got] == [("a", 0, 1), ("b", 1, 1)]
     other = Preset(LogSchema(case="Case ID", activity="Activity", ts="Complete Timestamp", outcome="label", order=("Complete Timestamp",)))
     assert [r["activity"] for r in logs.read_preset(spark, other, str(tmp_path)).orderBy("pos").collect()] == ["b-COMPLETE", "a-COMPLETE"]
+
+
+def test_result_files_keep_their_own_columns(spark, tmp_path):
+    files = {
+        "e1/runs/a.csv": 'id,"name, full",score\n1,"x, y",2.5\n2,,3\n',
+        "e1/runs/b.csv": 'score,id\n9,7\n',
+        "e2/other/c.csv": "id\n",
+        "e2/other/d.csv": 'id,name\n5,"say ""hi"""\nid,name\n6,\n\n',
+    }
+    for name, text in files.items():
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    got = results.collect_result_files(spark, str(tmp_path))
+    rows = {(r["experiment_name"], r["wrapper_type"], r["filename"], r["id"], r["name, full"], r["name"], r["score"]) for r in got.collect()}
+    assert rows == {
+        ("e1", "runs", "a.csv", "1", "x, y", None, "2.5"), ("e1", "runs", "a.csv", "2", None, None, "3"),
+        ("e1", "runs", "b.csv", "7", None, None, "9"), ("e2", "other", "d.csv", "5", None, 'say "hi"', None), ("e2", "other", "d.csv", "6", None, None, None),
+    }
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "none").mkdir()
+        results.collect_result_files(spark, str(tmp_path / "none"))

@@ -189,3 +189,28 @@ def test_grids():
     assert len(ev.operator_grid()) == 4 * 5 * 3 * 2 * 5
     assert len(ev.mutation_rate_grid()) == 6**4
     assert 0 <= ev.random_rates(3).insert < 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mutation_draws_once_a_slot_and_only_what_is_read(spark):
+    pop = spark.createDataFrame([(1, 1, [1, 2], [[0.1], [0.2]])], "factual_id long, cand_id long, acts array<int>, feats array<array<double>>")
+    acts = _plan(ev.mutate(pop, ev.Rates(0.1, 0.1, 0.1, 0.1), 5, 1, 8, 1).select("acts", *ev.EDITS))
+    assert acts.count(", delete") == acts.count(", transpose") == 1  # counted and applied from one draw
+    assert "COS(" not in acts.upper()  # features of new events, which nobody reads
+    one = _plan(ev.mutate(pop, ev.Rates(0.1, 0, 0, 0), 5, 1, 8, 1).select("acts", *ev.EDITS))
+    assert ", delete" not in one and ", transpose" not in one
+
+
+def test_features_to_draw_anew_are_not_made_before(spark):
+    rows = [(a, float(a + i % 3), float(i % 5)) for a in (1, 2) for i in range(20)]
+    fitted = em.fit_emissions(spark.createDataFrame(rows, "act_id int, a double, b double"), ["a", "b"])
+    pop = spark.range(40).selectExpr("id AS factual_id", "id AS cand_id", "array(1, 2) AS acts", "array(array(7d, 7d), array(8d, 8d)) AS feats")
+    out = ev.mutate_sampled_features(pop, ev.Rates(0.1, 0.1, 0.1, 0.1), fitted, 2, 2, 6, 3).collect()
+    new = [r for r in out if r.n_insert + r.n_change]
+    assert 0 < len(new) < len(out) == 40
+    assert all(len(r.acts) == len(r.feats) for r in out)
+    assert all(f not in ([7.0, 7.0], [8.0, 8.0]) for r in new for f in r.feats)
+    assert all(f in ([7.0, 7.0], [8.0, 8.0]) for r in out if not r.n_insert + r.n_change for f in r.feats)

@@ -39,16 +39,13 @@ def split_genes(df: DataFrame, genes: Column, keep: Sequence[str]) -> DataFrame:
 
 def generate_random(factuals: DataFrame, n: int, v: int, d: int, max_len: int, seed: int) -> DataFrame:
     """``max_len`` slots with a uniform activity in 0..v each; 0 leaves the slot empty."""
-    ids = numbered_candidates(factuals, n)
-    key = [F.col(c) for c in KEYS]
-
-    def slot(k):
-        act = draws.integer(0, v + 1, seed, *key, k, "act")
-        feats = F.array(*[draws.normal(seed, *key, k, f"f{j}") for j in range(d)])
-        return F.struct(act.alias("acts"), feats.alias("feats"))
-
-    genes = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)), slot), lambda g: g["acts"] != 0)
-    return split_genes(ids, genes, KEYS)
+    keys = F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in KEYS])  # all draws of a row begin with this
+    ids = numbered_candidates(factuals, n).withColumn("_key", keys)
+    every = F.sequence(F.lit(0), F.lit(max_len - 1))
+    drawn = ids.withColumn("_slots", F.transform(every, lambda k: draws.integer(0, v + 1, F.col("_key"), k, "act")))
+    feats = lambda k: F.array(*[draws.normal(F.col("_key"), k, f"f{j}") for j in range(d)])
+    filled = F.filter(every, lambda k: F.get("_slots", k) != 0)
+    return drawn.select(*KEYS, F.filter("_slots", lambda a: a != 0).alias("acts"), F.transform(filled, feats).alias("feats"))
 
 
 def generate_case_based(factuals: DataFrame, traces: DataFrame, n: int, seed: int, replacement: bool = False) -> DataFrame:

@@ -214,3 +214,11 @@ def test_features_to_draw_anew_are_not_made_before(spark):
     assert all(len(r.acts) == len(r.feats) for r in out)
     assert all(f not in ([7.0, 7.0], [8.0, 8.0]) for r in new for f in r.feats)
     assert all(f in ([7.0, 7.0], [8.0, 8.0]) for r in out if not r.n_insert + r.n_change for f in r.feats)
+
+
+def test_random_traces_draw_only_what_is_read(spark):
+    from altertrace.operators.generate import generate_random
+
+    out = generate_random(spark.range(2).withColumnRenamed("id", "factual_id"), 2, 5, 3, 8, 1)
+    assert "COS(" not in _plan(out.select("acts")).upper() and "COS(" in _plan(out).upper()
+    assert all(len(r.acts) == len(r.feats) for r in out.collect())

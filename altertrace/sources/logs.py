@@ -14,6 +14,8 @@ from altertrace.sources import xes
 
 _PAIRS = "array<struct<_key: string, _value: string>>"
 XES_KINDS = ("string", "date", "int", "float", "boolean")
+#: Traces of one XES file.
+TRACES_PER_FILE = 20_000
 _ATTRS = ", ".join(f"`{k}`: {_PAIRS}" for k in XES_KINDS)
 XES_TRACE = f"{_ATTRS.replace(': array', ' array')}, event array<struct<{_ATTRS}>>"
 
@@ -76,18 +78,20 @@ def write_event_log_xes(log: DataFrame, path: str, order: Sequence[str], attribu
     """``case_id, activity, ts`` to XES, with more columns given by their XES kinds.
 
     A column named ``parent/child`` is written inside the attribute ``parent``. Case attributes take their smallest value in the case.
+
+    One shuffle moves the bare values; the elements, which repeat the name of every attribute for every event, are made behind it.
+    Files are gzipped and hold ``TRACES_PER_FILE`` traces at most: XML is read by one task a file, compressed or not.
     """
     case_attributes = case_attributes or {}
     event = {"concept:name": "string", "time:timestamp": "date", **(attributes or {})}
     named = log.withColumns({"concept:name": F.col("activity"), "time:timestamp": F.col("ts")})
-    traces = build_traces(named, order, {"event": F.struct(*xes.elements(event))})
-    if case_attributes:
-        own = log.groupBy("case_id").agg(*[F.min(f"`{c}`").alias(c) for c in case_attributes])
-        traces = traces.join(own, "case_id", "left")
-    traces = traces.withColumn("concept:name", F.col("case_id"))
-    trace = xes.elements({"concept:name": "string", **case_attributes})
-    out = traces.select(*trace, "event").write.format("xml").option("rootTag", "log").option("rowTag", "trace")
-    out.mode("overwrite").save(path)
+    at = {c: f"_{i}" for i, c in enumerate(dict.fromkeys([*event, *case_attributes]))}
+    traces = build_traces(named, order, {"_values": F.struct(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])})
+    own = {c: F.array_min(F.transform("_values", lambda x: x[at[c]])) for c in case_attributes}  # noqa: B023
+    trace = xes.elements({"concept:name": "string", **case_attributes}, lambda name: own[name] if name in own else F.col("case_id"))
+    events = F.transform("_values", lambda x: F.struct(*xes.elements(event, lambda name: x[at[name]])))
+    out = traces.select(*trace, events.alias("event")).write.format("xml").option("rootTag", "log").option("rowTag", "trace")
+    out.option("compression", "gzip").option("maxRecordsPerFile", TRACES_PER_FILE).mode("overwrite").save(path)
 
 
 def read_preset(spark: SparkSession, preset: Preset, path: str, columns: str | None = None, cases: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ over (scope, key, kind) finds them, so a log of any size costs one extra pass an
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,9 +128,12 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     return as_columns(rows, attribute_columns(rows))
 
 
-def elements(attributes: dict[str, str]) -> list[Column]:
-    """Arrays of XES elements by kind, for columns given with their kinds; ``parent/child`` is an attribute inside another."""
-    pair = lambda name, key, *held: F.struct(F.lit(key).alias("_key"), as_text(F.col(f"`{name}`"), attributes[name]).alias("_value"), *held)
+def elements(attributes: dict[str, str], value: Callable[[str], Column] = lambda name: F.col(f"`{name}`")) -> list[Column]:
+    """Arrays of XES elements by kind, for columns given with their kinds; ``parent/child`` is an attribute inside another.
+
+    ``value`` says where the value of a name is, if it is no column.
+    """
+    pair = lambda name, key, *held: F.struct(F.lit(key).alias("_key"), as_text(value(name), attributes[name]).alias("_value"), *held)
     inside = {n: [c for c in attributes if c.rpartition("/")[0] == n] for n in attributes}
     children = {c for below in inside.values() for c in below}
     used = sorted({attributes[c] for c in children})  # every element of an array has the same fields

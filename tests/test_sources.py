@@ -92,3 +92,19 @@ def test_result_files_keep_their_own_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         (tmp_path / "none").mkdir()
         results.collect_result_files(spark, str(tmp_path / "none"))
+
+
+def test_written_xes_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(logs, "TRACES_PER_FILE", 3, raising=False)
+    log = spark.range(40).selectExpr("id div 4 AS case_id", "concat('a', id % 3) AS activity", "timestamp_seconds(id) AS ts", "id % 4 AS line", "IF(id % 4 = 1, NULL, id) AS amount", "100 - id AS total")
+    path = str(tmp_path / "log")
+    logs.write_event_log_xes(log, path, ["ts", "line"], {"line": "int", "amount": "int"}, {"total": "int"})
+    parts = list((tmp_path / "log").glob("part-*"))
+    assert parts and all(gzip.open(p).read().count(b"<trace>") <= 3 for p in parts)
+    back = xes.read_xes(spark, path).collect()
+    rows = sorted((int(r["case:concept:name"]), r["pos"], r["concept:name"], r["line"], r["amount"], r["case:total"]) for r in back)
+    assert [r[:4] for r in rows] == [(i // 4, i % 4, f"a{i % 3}", i % 4) for i in range(40)]
+    assert [r[4] for r in rows] == [None if i % 4 == 1 else i for i in range(40)]
+    assert [r[5] for r in rows] == [100 - (i // 4 * 4 + 3) for i in range(40)]  # the smallest of the case

@@ -215,3 +215,30 @@ def test_measure_configurations_take_user_costs_and_evaluators(spark):
     assert got["squared-differing-1-difference-1111"]["similarity"] == pytest.approx(1 - 0.25 / 16)
     assert got["squared-differing-2-gap-0001"]["viability"] == got["squared-differing-2-gap-0001"]["delta"] == pytest.approx((4 + 0.5) / 1.5)
     assert got["squared-differing-2-gap-0001"]["feasibility"] == pytest.approx(math.exp(-0.5))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_groups_need_no_call_each(spark):
+    rng = random.Random(4)
+    rows = [(g, i, float(rng.randrange(5)), float(rng.randrange(5))) for g in range(30) for i in range(rng.randrange(1, 12))]
+    rows += [(99, 0, float("nan"), 9.0), (99, 1, 1.0, 1.0), (99, 2, 1.0, 0.0)]
+    front = pareto.pareto_front(spark.createDataFrame(rows, "factual_id int, cand_id int, a double, b double"), ["a", "b"])
+    want = set()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        x = np.array([r[2:] for r in own])
+        want |= {r[:2] for r, gone in zip(own, pareto.dominated(x, x)) if not gone}
+    assert {tuple(r) for r in front.collect()} == want
+    assert "InArrow" not in _plan(front) and "InPandas" not in _plan(front)
+
+
+def test_ranked_fronts_are_found_once(spark):
+    from altertrace.operators import evolve as ev
+
+    measures = ", ".join(f"CAST(id * {k} % 5 AS double) AS {m}" for k, m in enumerate((*ms.MEASURES, "viability"), 2))
+    pool = spark.range(40).selectExpr("id % 4 AS factual_id", "id AS cand_id", *measures.split(", "))
+    best = ev.recombine_ranked_pareto(pool.where("cand_id < 20"), pool.where("cand_id >= 20"), 5)
+    assert "LeftSemi" not in _plan(best) and best.count() == 20

@@ -524,6 +524,7 @@ def population_statistics(population: DataFrame) -> DataFrame:
 def evolution_statistics(population: DataFrame, max_len: int) -> DataFrame:
     """Population statistics with exact medians, padding share and mean outcome."""
     by = ["factual_id", "generation"]
+    population = cut(population)  # every median passes it
     out = population_statistics(population)
     for m in [*MEASURES, "viability"]:
         out = out.join(exact_median(population, by, m, ["cand_id"], f"median_{m}"), by)

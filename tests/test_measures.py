@@ -242,3 +242,13 @@ def test_ranked_fronts_are_found_once(spark):
     pool = spark.range(40).selectExpr("id % 4 AS factual_id", "id AS cand_id", *measures.split(", "))
     best = ev.recombine_ranked_pareto(pool.where("cand_id < 20"), pool.where("cand_id >= 20"), 5)
     assert "LeftSemi" not in _plan(best) and best.count() == 20
+
+
+def test_statistics_read_their_population_once(spark):
+    from altertrace.operators import evolve as ev
+
+    measures = [f"CAST(id * {k} % 5 AS double) AS {m}" for k, m in enumerate((*ms.MEASURES, "viability", "score"), 2)]
+    pop = spark.range(20).selectExpr("CAST(length(md5(CAST(id AS string))) AS bigint) AS factual_id", "id AS cand_id", "0 AS generation", "array(1, 2) AS acts", *measures)
+    out = ev.evolution_statistics(pop, 4)
+    assert "md5(" not in _plan(out)
+    assert [(r["n"], r["pad_ratio"]) for r in out.collect()] == [(20, 0.5)]

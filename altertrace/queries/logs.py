@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from altertrace.operators import encode, events, profile, steps
 from altertrace.operators import traces as tr
-from altertrace.plans.tables import scratch_path
+from altertrace.plans.tables import cut, scratch_path
 from altertrace.queries.base import (
     CASES,
     CEV,
@@ -595,7 +595,8 @@ def _(spark, sf):
 
 def _case_encoder(spark, sf):
     rows = order_events(spark, sf).join(order_cases(spark, sf).select("case_id", "priority"), "case_id")
-    rows = rows.select("case_id", "line", "ts", F.substring("activity", 2, 1).alias("state"), "priority", "quantity", "tax")
+    # every fit and the transformation pass the joined rows
+    rows = cut(rows.select("case_id", "line", "ts", F.substring("activity", 2, 1).alias("state"), "priority", "quantity", "tax"))
     fitted = encode.fit_encoder(rows, binary=["state"], base2=["priority"], numeric=["quantity", "tax"], timestamps=["ts"])
     return rows, fitted
 
@@ -647,7 +648,7 @@ def _own_steps():
 
 def _step_rows(spark, sf):
     rows = order_events(spark, sf).join(order_cases(spark, sf).select("case_id", "priority"), "case_id")
-    return rows.select("case_id", "line", "ts", F.substring("activity", 2, 1).alias("state"), "priority", "quantity", "tax")
+    return cut(rows.select("case_id", "line", "ts", F.substring("activity", 2, 1).alias("state"), "priority", "quantity", "tax"))
 
 
 @query(

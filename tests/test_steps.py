@@ -53,3 +53,12 @@ def test_moments_of_parts_are_the_moments_of_all(spark):
         assert [x for r in got[k]["cov_pop"] for x in r] == pytest.approx([x for r in w["cov_pop"] for x in r], abs=1e-9)
     plain = df.agg(F.avg("a"), F.var_pop("a"), F.covar_pop("a", "b")).first()
     assert want[em.FALLBACK]["mean"][0] == pytest.approx(plain[0]) and want[em.FALLBACK]["cov_pop"][0][0] == pytest.approx(plain[1]) and want[em.FALLBACK]["cov_pop"][0][1] == pytest.approx(plain[2])
+
+
+def test_encoders_and_steps_pass_joined_rows_that_are_written(spark, sf):
+    from altertrace.queries import logs
+
+    rows, _ = logs._case_encoder(spark, sf)
+    for df in (rows, logs._step_rows(spark, sf)):
+        assert df.columns == ["case_id", "line", "ts", "state", "priority", "quantity", "tax"]
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()

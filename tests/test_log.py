@@ -1,11 +1,13 @@
 """Log operators on a drawn log and hand-made logs."""
 
 import datetime
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from altertrace.functions import draws
 from altertrace.operators import emissions as em
 from altertrace.operators import encode, events
 from altertrace.operators import evolve as ev
@@ -222,3 +224,20 @@ def test_random_traces_draw_only_what_is_read(spark):
     out = generate_random(spark.range(2).withColumnRenamed("id", "factual_id"), 2, 5, 3, 8, 1)
     assert "COS(" not in _plan(out.select("acts")).upper() and "COS(" in _plan(out).upper()
     assert all(len(r.acts) == len(r.feats) for r in out.collect())
+
+
+def test_below_is_the_comparison_of_the_draw(spark):
+    ids = spark.range(400).select("id", draws.uniform(5, F.col("id"), "x").alias("u"))
+    drawn = sorted(r["u"] for r in ids.collect())
+    rates = [-0.5, 0.0, 1e-300, 0.1, drawn[200], math.nextafter(drawn[200], 1.0), 1 - 2.0**-52, 1 - 2.0**-53, 1.0, 1.5]
+    for rate in rates:
+        off = ids.where(draws.below(rate, 5, F.col("id"), "x") != (F.col("u") < rate))
+        assert off.count() == 0, rate
+
+
+def test_a_pair_is_cut_by_one_draw_whatever_its_length(spark):
+    rows = spark.range(3).select(F.lit(1).alias("factual_id"), F.col("id").alias("pair"), *[F.sequence(F.lit(1), F.lit(9)).alias(f"{r}_acts") for r in ("mother", "father")])
+    rows = rows.withColumns({f"{r}_feats": F.transform(f"{r}_acts", lambda x: F.array(x * 1.0)) for r in ("mother", "father")})
+    for cross in (ev.crossover_one_point, ev.crossover_two_point):
+        plan = cross(rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(array(" in plan and {r["acts"][-1] for r in cross(rows, 3).collect()} == {9}

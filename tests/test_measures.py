@@ -252,3 +252,27 @@ def test_statistics_read_their_population_once(spark):
     out = ev.evolution_statistics(pop, 4)
     assert "md5(" not in _plan(out)
     assert [(r["n"], r["pad_ratio"]) for r in out.collect()] == [(20, 0.5)]
+
+
+def test_built_in_costs_to_zero_need_no_python(spark):
+    rows = spark.createDataFrame([([0.5, -2.0, 0.0],), ([0.0, 0.0, 0.0],), ([3.0, 4.0, 1.0],)], "x array<double>")
+    quick = rows.select("x", ds.costs_to_zero(F.col("x"), ["euclidean", "differing"]).alias("c"))
+    assert "Python" not in quick._jdf.queryExecution().optimizedPlan().toString()
+    own = ds.Cost("own", lambda a, b: np.sqrt(((a - b) ** 2).sum(-1)))
+    for r in quick.withColumn("o", ds.costs_to_zero(F.col("x"), [own, "differing"])).collect():
+        assert r["c"] == r["o"]
+    assert ms.border_scales(rows.where("false"), ["euclidean", "differing"]) == [0.0, 0.0]
+
+
+def test_the_model_of_the_search_is_fitted_on_the_traces(spark, sf):
+    from altertrace.queries import scores
+
+    events = scores.scaled_events(spark, sf)
+    _, chain, fitted = scores.fitted_model(spark, sf)
+    traces, same, quick = scores.traces_and_model(spark, sf, events)
+    steps = lambda c: {(r["prev_id"], r["act_id"]): r["p_step"] for r in c.steps.collect()}
+    assert steps(chain) == steps(same)
+    assert traces.count() == events.select("case_id").distinct().count()
+    scored = [ms.feasibility(traces, ["case_id"], c, e) for c, e in ((chain, fitted), (same, quick))]
+    both = scored[0].join(scored[1].withColumnRenamed("feasibility", "f"), "case_id")
+    assert both.count() == traces.count() and both.where(F.abs(F.col("f") - F.col("feasibility")) > 1e-9).count() == 0

@@ -124,7 +124,7 @@ def as_columns(rows: DataFrame, columns: Sequence[tuple[str, str, str]]) -> Data
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
     """One row for each event with all attributes of the log as typed columns; the files are parsed once."""
-    rows = cut(read_attributes(spark, path))
+    rows = cut(read_attributes(spark, path), codec="zstd")  # every value is a text here
     return as_columns(rows, attribute_columns(rows))
 
 

@@ -108,3 +108,18 @@ def test_written_xes_is_compressed_in_bounded_files(spark, tmp_path, monkeypatch
     assert [r[:4] for r in rows] == [(i // 4, i % 4, f"a{i % 3}", i % 4) for i in range(40)]
     assert [r[4] for r in rows] == [None if i % 4 == 1 else i for i in range(40)]
     assert [r[5] for r in rows] == [100 - (i // 4 * 4 + 3) for i in range(40)]  # the smallest of the case
+
+
+def test_parsed_attributes_are_written_with_zstd(spark, sf):
+    import pyarrow.parquet as pq
+
+    from altertrace.plans.tables import scratch_path
+    from altertrace.queries import logs as q
+    from altertrace.sources import logs, xes
+
+    path, wide = scratch_path(spark, "xes-zstd"), q._wide_events(spark, sf)
+    logs.write_event_log_xes(wide, path, ["ts", "line", "part", "supp"], q._XES_EVENT, q._XES_CASE)
+    back = xes.read_xes(spark, path)
+    parts = [pq.ParquetFile(f.removeprefix("file:")) for f in back.inputFiles()]
+    assert {p.metadata.row_group(0).column(0).compression for p in parts} == {"ZSTD"}
+    assert back.count() == wide.count()

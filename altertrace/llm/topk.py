@@ -186,7 +186,8 @@ def search_equal(rows: DataFrame, asked: DataFrame, d: int, count: int, k: int,
     held = blocks(rows, spread(n_rows))
     queries = blocks(asked, spread(n_asked)).select(F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
     queries = queries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))).alias("block"))
-    pairs = queries.join(held, "block").select("block", "q_ids", "q_x", "ids", "x")
+    # a copy of the queries for every block is far larger than Spark estimates: merged, it is never sent whole through the driver
+    pairs = queries.hint("merge").join(held, "block").select("block", "q_ids", "q_x", "ids", "x")
 
     def run(batches):
         key, index = None, None

@@ -118,6 +118,13 @@ def test_topk_equals_brute_force(spark, bits, scale):
     assert topk.search(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_sends_no_side_through_the_driver(spark):
+    frame = spark.range(600).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(F.col("id") + i)).alias("embedding"))
+    found = topk.search(frame, F.col("vec_id") % 50 == 0, k=5, rows_per_block=20, queries_per_block=2)
+    assert found.count() == 60 and len(found.collect()) == 60
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_mix_stays_within_a_block(spark):
     rows = [(i, f"t{i}", ["a", "b", "c", None][min(3, i % 7)], 9) for i in range(4000)] + [(None, None, "a", 9)] * 3 + [(1, "t1", "b", 9)] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_slot int")

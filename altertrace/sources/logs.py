@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from altertrace.functions import elements
 from altertrace.operators.traces import build_traces
 from altertrace.schema import LogSchema, Preset
 from altertrace.sources import xes
@@ -79,8 +80,8 @@ def write_event_log_xes(log: DataFrame, path: str, order: Sequence[str], attribu
 
     A column named ``parent/child`` is written inside the attribute ``parent``. Case attributes take their smallest value in the case.
 
-    One shuffle moves the bare values; the elements, which repeat the name of every attribute for every event, are made behind it.
-    Files are gzipped and hold ``TRACES_PER_FILE`` traces at most: XML is read by one task a file, compressed or not.
+    One shuffle moves the bare values; the elements, which repeat the name of every attribute for every event, are made behind it, in
+    Arrow batches. A file is a row with the text of ``TRACES_PER_FILE`` traces at most, and gzipped: such a file is read by one task.
     """
     case_attributes = case_attributes or {}
     event = {"concept:name": "string", "time:timestamp": "date", **(attributes or {})}
@@ -88,10 +89,12 @@ def write_event_log_xes(log: DataFrame, path: str, order: Sequence[str], attribu
     at = {c: f"_{i}" for i, c in enumerate(dict.fromkeys([*event, *case_attributes]))}
     traces = build_traces(named, order, {"_values": F.struct(*[F.col(f"`{c}`").alias(n) for c, n in at.items()])})
     own = {c: F.array_min(F.transform("_values", lambda x: x[at[c]])) for c in case_attributes}  # noqa: B023
-    trace = xes.elements({"concept:name": "string", **case_attributes}, lambda name: own[name] if name in own else F.col("case_id"))
-    events = F.transform("_values", lambda x: F.struct(*xes.elements(event, lambda name: x[at[name]])))
-    out = traces.select(*trace, events.alias("event")).write.format("xml").option("rootTag", "log").option("rowTag", "trace")
-    out.option("compression", "gzip").option("maxRecordsPerFile", TRACES_PER_FILE).mode("overwrite").save(path)
+    kinds = {"concept:name": "string", **case_attributes}
+    case = [xes.as_text(own.get(c, F.col("case_id")), kind).alias(f"_{i}") for i, (c, kind) in enumerate(kinds.items())]
+    events = F.transform("_values", lambda x: F.struct(*[xes.as_text(x[at[c]], kind).alias(at[c]) for c, kind in event.items()]))
+    most = TRACES_PER_FILE
+    files = traces.select(*case, events.alias("event")).mapInArrow(lambda batches: elements.files(batches, kinds, event, most), "value string")
+    files.write.option("compression", "gzip").option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def read_preset(spark: SparkSession, preset: Preset, path: str, columns: str | None = None, cases: DataFrame | None = None) -> DataFrame:

@@ -7,95 +7,55 @@ over (scope, key, kind) finds them, so a log of any size costs one extra pass an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from altertrace.functions import elements
 from altertrace.plans.tables import cut
 
-KINDS = ("string", "date", "int", "float", "boolean", "id")
-#: Elements that have no value of their own, only attributes.
-HOLDERS = ("list", "container")
 #: Spark's type for each kind; keys of several kinds become text, except that whole and decimal numbers are numbers.
 TYPES = {"string": "string", "id": "string", "date": "timestamp", "int": "bigint", "float": "double", "boolean": "boolean"}
 #: Keys that get a column of their own; what is beyond stays in the maps.
 MAX_COLUMNS = 1000
 
 _PAIR = "struct<_key: string, _value: string>"
-_NESTED = ", ".join(f"{k}: array<{_PAIR}>" for k in KINDS)
-_ATTRS = ", ".join([f"{k}: array<struct<_key: string, _value: string, {_NESTED}>>" for k in KINDS] + [f"{k}: array<struct<_key: string, {_NESTED}, values: struct<{_NESTED}>>>" for k in HOLDERS])
-_ENTRY = "array<struct<key: string, kind: string, text: string>>"
+_MAP = "map<string, struct<kind: string, text: string>>"
 
 
-def _trace_schema() -> str:
-    """The trace as a DDL string: top-level fields are parted by blanks, those of structs by colons."""
-    top = [f"{k} array<struct<_key: string, _value: string, {_NESTED}>>" for k in KINDS]
-    top += [f"{k} array<struct<_key: string, {_NESTED}, values: struct<{_NESTED}>>>" for k in HOLDERS]
-    return ", ".join([*top, f"event array<struct<{_ATTRS}>>"])
+def _fitting(attributes: Column) -> Column:
+    """Attributes whose texts are of their kinds; a text that is not counts as a string."""
 
+    def checked(_, v):
+        wrong = [(v["kind"] == k) & v["text"].isNotNull() & v["text"].try_cast(t).isNull() for k, t in TYPES.items() if t != "string"]
+        return F.struct(F.when(reduce(or_, wrong), F.lit("string")).otherwise(v["kind"]).alias("kind"), v["text"].alias("text"))
 
-def _entry(key: Column, kind: str, text: Column) -> Column:
-    """One attribute; a text that is not of its kind counts as a string."""
-    fits = text.try_cast(TYPES[kind]).isNotNull() | text.isNull()
-    return F.struct(key.alias("key"), F.when(fits, F.lit(kind)).otherwise(F.lit("string")).alias("kind"), text.alias("text"))
-
-
-def _or_none(entries: Column) -> Column:
-    return F.coalesce(entries.cast(_ENTRY), F.array().cast(_ENTRY))  # the cast names the fields
-
-
-def _of_kind(elements: Column, kind: str, parent: Column | None = None) -> Column:
-    """The attributes of one kind, named below ``parent`` if there is one."""
-    name = lambda x: x["_key"] if parent is None else F.concat_ws("/", parent, x["_key"])
-    return _or_none(F.transform(elements, lambda x: _entry(name(x), kind, x["_value"])))
-
-
-def _below(holder: Column, key: Column) -> Column:
-    """The attributes inside an attribute."""
-    return F.concat(*[_of_kind(holder[k], k, key) for k in KINDS])
-
-
-def _entries(element: str) -> Column:
-    """All attributes of an element, those inside others too."""
-    parts = []
-    for k in KINDS:
-        own = F.col(f"{element}{k}")
-        parts.append(_of_kind(own, k))
-        holds = F.exists(own, lambda x: F.coalesce(*[x[i] for i in KINDS]).isNotNull())  # few do
-        parts.append(_or_none(F.when(holds, F.flatten(F.transform(own, lambda x: _below(x, x["_key"]))))))
-    for k in HOLDERS:
-        own = F.col(f"{element}{k}")
-        parts.append(_or_none(F.flatten(F.transform(own, lambda x: F.concat(_below(x, x["_key"]), _or_none(F.when(x["values"].isNotNull(), _below(x["values"], x["_key"]))))))))
-    return F.concat(*parts)
-
-
-def _by_key(name: str) -> Column:
-    """Entries as a map; of repeated keys the first counts."""
-    entries = F.filter(name, lambda e: e["key"].isNotNull())
-    keys = F.transform(name, lambda e: e["key"])
-    once = (F.size(keys) == F.size(F.array_distinct(keys))) & ~F.array_contains(F.transform(keys, lambda k: k.isNull()), True)
-    first = F.filter(entries, lambda e, i: F.array_position(F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1)
-    pairs = F.transform(F.when(once, F.col(name)).otherwise(first), lambda e: F.struct(e["key"], F.struct(e["kind"], e["text"])))
-    return F.map_from_entries(pairs).cast("map<string, struct<kind: string, text: string>>")
+    return F.transform_values(attributes, checked)
 
 
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
-    """``case, pos, event``: the attributes of the trace, the event's place in it, the attributes of the event (key -> kind, text)."""
-    traces = spark.read.format("xml").option("rowTag", "trace").schema(_trace_schema()).load(path)
-    cases = traces.select(_entries("").alias("_c"), "event").select(_by_key("_c").alias("case"), "event")
-    rows = cases.select("case", F.posexplode("event").alias("pos", "_e")).select("case", "pos", _entries("_e.").alias("_e"))
-    return rows.select("case", F.col("pos").cast("bigint").alias("pos"), _by_key("_e").alias("event"))
+    """``case, pos, event``: the attributes of the trace, the event's place in it, the attributes of the event (key -> kind, text).
 
+    Spark cuts the files behind each trace, wherever they are and in parts if they are not compressed; the texts are read in Arrow batches
+    (:mod:`altertrace.functions.elements`), which know most values to be of their kinds; the others are cast to see.
+    """
+    texts = spark.read.option("lineSep", elements.END.decode()).text(path).select("value")
+    rows = texts.mapInArrow(lambda batches: elements.read(b.column(0) for b in batches), f"case {_MAP}, pos bigint, event {_MAP}, unsure boolean")
+    known = lambda c: F.when(F.col("unsure"), _fitting(F.col(c))).otherwise(F.col(c)).cast(_MAP).alias(c)
+    return rows.select(known("case"), "pos", known("event"))
 
-def attribute_columns(rows: DataFrame, scopes: Sequence[str] = ("case", "event"), most: int = MAX_COLUMNS) -> list[tuple[str, str, str]]:
-    """Scope, key and type of the ``most`` most frequent attributes, in the order of their names, from one aggregation."""
 
-    def of(scope: str) -> Column:
-        return F.transform(F.map_entries(scope), lambda e: F.struct(F.lit(scope).alias("scope"), e["key"].alias("key"), e["value"]["kind"].alias("kind"))).cast("array<struct<scope: string, key: string, kind: string>>")
+def attribute_columns(rows: DataFrame, scopes: Sequence[str] = ("case", "event"), most: int = MAX_COLUMNS) -> list[tuple[str, str, str]]:
+    """Scope, key and type of the ``most`` most frequent attributes, in the order of their names, from one aggregation.
 
-    every = F.concat(*[of(s) for s in scopes])
-    pairs = rows.select(F.explode(every).alias("a")).groupBy("a.scope", "a.key").agg(F.collect_set("a.kind").alias("kinds"), F.count(F.lit(1)).alias("n"))
+    Tasks count whole batches of keys and kinds, so no row is made for each attribute of each event.
+    """
+    named = [c for s in scopes for c in (F.map_keys(s).alias(f"{s}_keys"), F.map_values(s)["kind"].alias(f"{s}_kinds"))]
+    counts = rows.select(*named).mapInArrow(lambda batches: elements.counted(batches, scopes), "scope string, key string, kind string, n bigint")
+    pairs = counts.groupBy("scope", "key").agg(F.collect_set("kind").alias("kinds"), F.sum("n").alias("n"))
     found = pairs.orderBy(F.desc("n"), "scope", "key").limit(most).collect()
     return sorted((r["scope"], r["key"], common_type(r["kinds"])) for r in found)
 
@@ -119,7 +79,9 @@ def as_columns(rows: DataFrame, columns: Sequence[tuple[str, str, str]]) -> Data
         held = {s: [k for x, k, _ in columns if x == s] for s in ("case", "event")}
         beyond = lambda scope: F.map_filter(scope, lambda k, _: ~k.isin(held[scope]))
         rest = [beyond(s).alias(f"rest:{s}") for s in held]
-    return rows.select("pos", *named, *rest)
+    # with a lambda in it Spark makes many small methods of this projection; as one method it would be too large for the JVM to compile
+    pos = F.get(F.transform(F.array("pos"), lambda x: x), 0).alias("pos")
+    return rows.select(pos, *named, *rest)
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
@@ -128,32 +90,6 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
     return as_columns(rows, attribute_columns(rows))
 
 
-def elements(attributes: dict[str, str], value: Callable[[str], Column] = lambda name: F.col(f"`{name}`")) -> list[Column]:
-    """Arrays of XES elements by kind, for columns given with their kinds; ``parent/child`` is an attribute inside another.
-
-    ``value`` says where the value of a name is, if it is no column.
-    """
-    pair = lambda name, key, *held: F.struct(F.lit(key).alias("_key"), as_text(value(name), attributes[name]).alias("_value"), *held)
-    inside = {n: [c for c in attributes if c.rpartition("/")[0] == n] for n in attributes}
-    children = {c for below in inside.values() for c in below}
-    used = sorted({attributes[c] for c in children})  # every element of an array has the same fields
-    out: dict[str, list[Column]] = {}
-    for name, kind in attributes.items():
-        if name in children:
-            continue
-        held = []
-        for k in used:
-            own = [pair(c, c.rpartition("/")[2]) for c in inside[name] if attributes[c] == k]
-            held.append((_said(F.array(*own)) if own else F.array().cast(f"array<{_PAIR}>")).alias(k))
-        out.setdefault(kind, []).append(pair(name, name, *held))
-    return [_said(F.array(*v)).alias(k) for k, v in out.items()]
-
-
-def _said(pairs: Column) -> Column:
-    """Attributes with a value."""
-    return F.filter(pairs, lambda p: p["_value"].isNotNull())
-
-
 def as_text(value: Column, kind: str) -> Column:
     if kind == "date":
         return F.date_format(value.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")

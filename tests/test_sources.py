@@ -3,6 +3,8 @@ import pytest
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from altertrace.sources import results
 from altertrace.schema import PRESETS, LogSchema, Preset, limited, subset
 from altertrace.sources import logs, xes
@@ -123,3 +125,75 @@ def test_parsed_attributes_are_written_with_zstd(spark, sf):
     parts = [pq.ParquetFile(f.removeprefix("file:")) for f in back.inputFiles()]
     assert {p.metadata.row_group(0).column(0).compression for p in parts} == {"ZSTD"}
     assert back.count() == wide.count()
+
+
+def test_plain_texts_are_read_like_those_that_are_not():
+    """The kernel over bytes and the parser give the same rows, of repeated and nested attributes too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from altertrace.functions import elements
+
+    bodies = [
+        '<trace><string key="concept:name" value="c1"/><int key="label" value=" 1 "/><event><string key="a" value="x>y"><int key="b" value="2"/></string>\n <int key="a/b" value="3"/></event>',
+        '<trace><event><int key="n" value="7"/><string key="n" value="first"/><float key="n" value="2"/></event><event><date key="t" value="2020-02-30T00:00:00Z"/></event><string key="late" value=""><date key="d" value="no"/></string>',
+        ' <trace><string key="p" value="1"><string key="p" value="2"/></string><event></event><event><id key="é" value="ü"/><boolean key="ok" value="true"></boolean></event>\n',
+        "\n</log>",
+    ]
+    texts = [b.encode() for b in bodies]
+    data, bounds = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    batch, odd = elements.plain(data, bounds)
+    assert not odd.any() and batch.num_rows == 5
+
+    def listed(rows):
+        return [(sorted((k, tuple(v.values())) for k, v in r["case"]), r["pos"], sorted((k, tuple(v.values())) for k, v in r["event"])) for r in rows]
+
+    assert listed(batch.to_pylist()) == listed([r for t in texts for x in elements.cut_traces(t + elements.END)[0] for r in elements.rows(x)])
+    assert batch.column("unsure").to_pylist() == [False, True, True, False, False]  # one date is none, and one may be
+    strange = ["<trace><event><string key='a' value='1'/></event>", '<trace><event><string key="a" value="1&amp;2"/></event>', '<trace><event><int key="a" value="1"/></evnt>', "<trace><!-- <event> -->"]
+    texts = [texts[1], *(s.encode() for s in strange), texts[0]]
+    data, bounds = np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    batch, odd = elements.plain(data, bounds)
+    assert odd.tolist() == [False, True, True, True, True, False] and batch.num_rows == 3
+    read = [r for b in elements.read(iter([pa.array([t.decode() for t in texts])])) for r in b.to_pylist()]
+    assert sorted(str(r["event"]) for r in read if len(r["event"]) == 1 and r["event"][0][0] == "a") == sorted(str([("a", {"kind": "string", "text": t})]) for t in ("1", "1&2"))
+
+
+def test_xes_is_cut_behind_traces_wherever_a_comment_hides_an_end(spark, tmp_path):
+    (tmp_path / "log.xes").write_text('<log><!-- <trace> --><trace><string key="concept:name" value="1"/><!-- a </trace> b --><event><int key="n" value="1"/></event></trace><trace/><trace><event><int key="n" value="x"/></event></trace ></log>')
+    rows = xes.read_attributes(spark, str(tmp_path)).collect()
+    assert sorted((r["case"].get("concept:name", ("",))[-1], tuple(r["event"]["n"])) for r in rows) == [("", ("string", "x")), ("1", ("int", "1"))]
+
+
+def test_texts_of_any_characters_survive_xes(spark, tmp_path):
+    texts = ['a & b <c> "d" \'e\'', "tab\there\nline", "é€😀", "plain", None]
+    log = spark.createDataFrame([(i, f"a{i}", t, i) for i, t in enumerate(texts)], "case_id int, activity string, note string, line int").withColumn("ts", F.timestamp_seconds("line"))
+    path = str(tmp_path / "log")
+    logs.write_event_log_xes(log, path, ["line"], {"note": "string", "line": "int"}, {"note": "string"})
+    back = xes.read_xes(spark, path).collect()
+    assert {r["line"]: (r["note"], r["case:note"]) for r in back} == {i: (t, t) for i, t in enumerate(texts)}
+    with pytest.raises(Exception, match="XML cannot hold"):
+        logs.write_event_log_xes(log.withColumn("note", F.lit("\x01")), path, ["line"], {"note": "string"})
+
+
+def test_xes_is_read_in_batches_and_its_columns_are_small_methods(spark, tmp_path):
+    (tmp_path / "log.xes").write_text(LOG)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = plan(xes.read_attributes(spark, str(tmp_path)))
+    assert "MapInArrow" in found and "FileScan text" in found
+    found = plan(xes.read_xes(spark, str(tmp_path)))
+    assert "*(1) Project" not in found and "FileScan parquet" in found
+
+
+def test_a_file_read_by_several_tasks_gives_every_trace_once(spark, tmp_path):
+    body = "".join(f'<trace><string key="concept:name" value="{i}"/><event><int key="n" value="{i}"/></event><event><int key="n" value="-{i}"/></event></trace>\n' for i in range(200))
+    (tmp_path / "log.xes").write_text(f'<?xml version="1.0"?>\n<log>\n{body}</log>')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+    try:
+        df = xes.read_attributes(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        got = sorted((int(r["case"]["concept:name"]["text"]), r["pos"], r["event"]["n"]["text"]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(i, p, f"{'-' * p}{i}") for i in range(200) for p in range(2)]

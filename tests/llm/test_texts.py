@@ -224,3 +224,22 @@ def test_toxicity_learns_and_locates(spark):
     nothing = toxicity.fit(frame, known.where("toxic = 0"))
     assert {r["score"] for r in toxicity.score(frame, nothing).collect()} == {0.0}
     assert toxicity.score(table(spark, []), model).count() == 0
+
+
+def test_small_buckets_are_bounded_at_once_as_by_their_trees():
+    import numpy as np
+    import pyarrow as pa
+
+    from altertrace.llm import ngrams
+
+    rng = np.random.default_rng(5)
+    size = np.array([1, 2, 3, 40, 64, 17, 5])
+    start = np.cumsum(size) - size
+    points = rng.integers(0, 4, (4, 256))[rng.integers(0, 4, size.sum())] + (rng.random((size.sum(), 256)) < 0.08)
+    n, comp = points.sum(axis=1), rng.integers(0, 6, size.sum())
+    comp[start[2] : start[2] + 3] = 1
+    blobs = pa.chunked_array([pa.array([ngrams.packed(p, "<u4") for p in points], pa.binary())])
+    for nearest in (None, 1, 4):
+        got = ngrams.small_linked(start, size, n, comp, blobs, 85, 100, nearest)
+        want = [a + ngrams.tree_linked(points[a : a + m].astype(np.int32), n[a : a + m], comp[a : a + m], 85, 100, nearest) for a, m in zip(start, size) if len(set(comp[a : a + m])) > 1]
+        assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, np.concatenate(want).tolist())) and len(got) > 50, nearest

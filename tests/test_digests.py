@@ -36,7 +36,7 @@ def test_edits_are_decided_by_the_draws_of_their_slots(spark, monkeypatch):
     for at_once in (digests.SLOTS, 30):
         monkeypatch.setattr(digests, "SLOTS", at_once)
         columns = state.select("_key", (F.size("_edit")).alias("n"), "_gap").toArrow().combine_chunks()
-        got = digests.edits(*(c.combine_chunks() for c in columns.columns), {k: getattr(rates, k) for k in kinds}, draws.SCALE).to_pylist()
+        got = digests.edits(*(c.combine_chunks() for c in columns.columns), {k: getattr(rates, k) for k in kinds}, set(kinds), draws.SCALE).to_pylist()
         assert [(g["edit"], g["from"], g["n_transpose"]) for g in got] == [(r["_edit"], r["_from"], r["n_transpose"]) for r in found]
     assert len(found) == 60
     for r in found:
